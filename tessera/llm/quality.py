@@ -83,7 +83,7 @@ def line_features(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         chars = len(line)
         upper = sum(map(str.isupper, words)) if line != line.lower() and n > 2 else 0
         stick = sum(map(str.__eq__, words[1:], words)) if n > 2 else 0
-        x[i, 1] = min(1.0, len(_SYM.findall(line)) / n)
+        x[i, 1] = min(1.0, 3 * len(_SYM.findall(line)) / n)
         x[i, 2] = upper / n
         x[i, 3] = stick / n
         x[i, 4] = min(1.0, line.count("!") / n)
@@ -93,7 +93,7 @@ def line_features(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         x[i, 8] = min(1.0, chars / n / 20)
         x[i, 9] = sum(map(line.count, "0123456789")) / chars
     x[:, 0] = 1
-    faults = (x[:, 1] > 0.3) | (x[:, 2] > 0.6) | (x[:, 3] > 0.3) | (x[:, 7] > 0.75)
+    faults = (x[:, 1] > 0.75) | (x[:, 2] > 0.6) | (x[:, 3] > 0.3) | (x[:, 7] > 0.75)
     return x, n_words, faults
 
 
@@ -111,7 +111,7 @@ class LineField:
         return cls(w, np.array([[0.5, 0.0], [0.0, 0.5]]))
 
     @classmethod
-    def fit(cls, sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 150, rate: float = 0.5, decay: float = 1e-3) -> LineField:
+    def fit(cls, sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 300, rate: float = 1.0, decay: float = 1e-4) -> LineField:
         """Maximum likelihood by full-batch gradient ascent with momentum; sequences of like length are stepped through together."""
         field = cls.prior()
         if not sequences:
