@@ -135,3 +135,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def field(schema: T.StructType, name: str) -> T.DataType:
     return schema[name].dataType
+
+
+def bit_words(ids: DataFrame, name: str) -> DataFrame:
+    """(__w, __bits): a bitmap of 2**22 bits over hashed ids as at most 65,536 rows, built with column functions; that bound is why it may be broadcast."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(F.xxhash64(name), 42).bitwiseAND(63).cast("int"))
+    return ids.select(F.shiftrightunsigned(F.xxhash64(name), 48).alias("__w"), one.alias("__b")).groupBy("__w").agg(F.bit_or("__b").alias("__bits"))
+
+
+def marked(df: DataFrame, key: Column, words: DataFrame) -> DataFrame:
+    """df with __hit: false only where key is surely not among the ids of words."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(F.xxhash64(key), 42).bitwiseAND(63).cast("int"))
+    rows = df.withColumns({"__w": F.shiftrightunsigned(F.xxhash64(key), 48), "__bit": bit}).join(F.broadcast(words), "__w", "left")
+    return rows.withColumn("__hit", F.coalesce(F.col("__bits").bitwiseAND(F.col("__bit")) != 0, F.lit(False))).drop("__w", "__bit", "__bits")
