@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, id_filter, may_hold, runs, stash
+from .common import bit_words, components, id_filter, marked, may_hold, runs, stash
 
 SHINGLE = 5
 #: Heavy shingles that are ordered last, at most: a bound for what the driver and the tasks hold. It changes cost, not results.
@@ -296,11 +296,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id; columns of docs. Repeated rows of that id keep one row."""
-    found = jaccard_components(docs)
-    keep = found.where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    return kept.select(docs.columns)
+    """One document of each component, the one with the smallest id; columns of docs. Equal rows of one id and text keep one row."""
+    found = stash(jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    rows = marked(docs, F.col("doc_id"), bit_words(found, "doc_id"))
+    kept = rows.where("__hit").join(found, "doc_id", "left_anti").select(docs.columns).unionByName(rows.where("not __hit").select(docs.columns))
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates(["doc_id", "text"])
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
