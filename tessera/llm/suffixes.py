@@ -30,9 +30,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import id_filter, may_hold, runs, stash
+from .common import bit_words, marked, runs, stash
 
 LENGTH, GRAM, BLOCK = 100, 24, 8
 REACH = LENGTH - GRAM  # bytes before an anchor that a string over it can hold
@@ -347,13 +346,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def _holding(docs: DataFrame, ids: DataFrame, wanted: bool = True) -> DataFrame:
     """Documents whose id may be among ids (or surely is not), told by a bitmap of fixed size."""
-    bitmap = id_filter(ids)
-
-    @F.pandas_udf(T.BooleanType())
-    def maybe(d: pd.Series) -> pd.Series:
-        return pd.Series(may_hold(bitmap, d) == wanted)
-
-    return docs.where(maybe("d"))
+    rows = marked(docs, F.col("d"), bit_words(ids, "d"))
+    return rows.where("__hit" if wanted else "not __hit").select(docs.columns)
 
 
 def _finish(data: bytes, spans) -> tuple[int, int, int, str]:
