@@ -10,11 +10,11 @@ A document's set holds the hashes of its distinct five-word shingles. Equal sets
 * The boundary is the size at which the two costs, rows emitted and list entries scanned, add up to least over the size
   histogram of the corpus.
 
-Lists are turned into candidate pairs without emitting all pairs of a group: first each member with the list's first member;
-later rounds take members whose components still differ and offer each its best partner of another component whose parity
-bitmap allows a link (the bitmaps' distance never exceeds the sets' symmetric difference, so no link is lost). Every
-candidate is verified on whole texts. Rounds end when no untested pair across components is left, so components are those of
-all links. 64-bit hashes stand for shingles; collisions are the only source of error.
+Lists of up to SHORT members offer their pairs; a longer one offers each member with its first, and later rounds take lists
+whose members still differ in component and offer each member its best untested partner of another component. A pair goes on
+only if the sets' parity bitmaps allow a link (their distance never exceeds the symmetric difference, so no link is lost), and
+is then verified on whole texts. Rounds end when no untested pair across components is left, so components are those of all
+links, and no group's pairs are all made. 64-bit hashes stand for shingles; collisions are the only source of error.
 
 Defined cases: null or wordless text has the empty set and links with nothing; fewer than five words are one shingle; repeated
 rows are in one class and keep their rows; an empty table gives an empty result.
@@ -31,15 +31,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import bit_words, components, id_filter, marked, may_hold, runs, stash
+from .common import bit_words, components, marked, runs, stash
 
 SHINGLE = 5
 #: Heavy shingles that are ordered last, at most: a bound for what the driver and the tasks hold. It changes cost, not results.
-HEAVY = 150_000
-#: 64-bit words of a parity bitmap.
-BITMAP = 16
+HEAVY = 400_000
+#: Lists of up to so many members offer all pairs at once; longer ones offer best partners in rounds.
+SHORT = 32
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -115,56 +114,69 @@ def list_keys(tokens: np.ndarray, heavy: np.ndarray, small: int) -> np.ndarray:
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    bits = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1
-    return np.packbits(bits.astype(bool)).tobytes()
+    """Parity bitmap with four bits or more a shingle: the distance of two sets' bitmaps, folded to one width, never exceeds their symmetric difference."""
+    bits = 1024
+    while bits < 4 * len(tokens):
+        bits *= 2
+    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def folded(bitmap: bytes, size: int) -> np.ndarray:
+    """The bitmap as 64-bit words, folded to size bytes."""
+    return np.bitwise_xor.reduce(np.frombuffer(bitmap, np.uint64).reshape(-1, size // 8), axis=0)
 
 
 def set_digest(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _stats(docs: DataFrame) -> tuple[DataFrame, np.ndarray, dict[int, int]]:
-    """One pass over the texts: (row id, n, class) of every row, heavy shingles, size histogram."""
+def _stats(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, dict[int, int]]:
+    """One pass over the texts: rows (doc_id, n, sig), classes (sig, rep, n, bits), heavy shingles, size histogram."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, ns, sigs, common = [], [], [], []
-            for i, tokens in _batches(pdf):
-                ids.append(pdf["doc_id"].iat[i])
-                ns.append(len(tokens))
-                sigs.append(set_digest(tokens) if len(tokens) else None)
-                common.append(tokens)
-            yield pd.DataFrame({"doc_id": ids, "n": ns, "sig": pd.array(sigs, "Int64"), "token": pd.array([None] * len(ids), "Int64")})
-            tokens, counts = np.unique(np.concatenate(common), return_counts=True) if common else (np.zeros(0, np.uint64), np.zeros(0, int))
-            often = counts >= 3
-            yield pd.DataFrame({"doc_id": None, "n": counts[often], "sig": pd.array([None] * int(often.sum()), "Int64"), "token": tokens[often].view(np.int64)})
+            for at in range(0, len(pdf), 4000):
+                part = pdf.iloc[at : at + 4000]
+                sets = [t for _, t in _batches(part)]
+                sigs = [set_digest(t) if len(t) else None for t in sets]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n": [len(t) for t in sets], "sig": pd.array(sigs, "Int64"), "bits": [parity(t) if len(t) else None for t in sets], "token": pd.array([None] * len(sets), "Int64")})
+                once = {s: t for s, t in zip(sigs, sets, strict=True) if s is not None}
+                if once:
+                    tokens = np.sort(np.concatenate(list(once.values())))
+                    starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+                    counts = np.diff(np.r_[starts, len(tokens)])
+                    often = counts >= 2
+                    yield pd.DataFrame({"doc_id": None, "n": counts[often], "sig": pd.array([None] * int(often.sum()), "Int64"), "bits": None, "token": tokens[starts[often]].view(np.int64)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = stash(docs.select("doc_id", "text").mapInPandas(work, f"doc_id {kind}, n long, sig long, token long"), "sets")
-    heavy = found.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 20").orderBy(F.desc("n"), "token").limit(HEAVY)
-    top = np.sort(np.array([r["token"] for r in heavy.collect()], np.int64).view(np.uint64))  # at most HEAVY
-    rows = found.where("token is null").drop("token")
+    found = stash(docs.select("doc_id", "text").mapInPandas(work, f"doc_id {kind}, n long, sig long, bits binary, token long"), "sets")
+    heavy = found.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 4").orderBy(F.desc("n"), "token").limit(HEAVY)
+    top = np.sort(heavy.select("token").toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64))  # at most HEAVY
+    rows = found.where("token is null").select("doc_id", "n", "sig")
+    classes = found.where("token is null and sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits"))
     coarse = rows.groupBy(F.least("n", F.lit(64)).alias("n")).count().collect()  # at most 65 rows
-    return rows, top, {int(r["n"]): int(r["count"]) for r in coarse}
+    return rows, stash(classes, "classes"), top, {int(r["n"]): int(r["count"]) for r in coarse}
 
 
 def set_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows (doc_id, n, sig) of every row of docs, and (sig, comp) for classes in a component of several."""
-    rows, heavy, histogram = _stats(docs)
+    rows, classes, heavy, histogram = _stats(docs)
     small = boundary(histogram, scanned=2.0)
-    firsts = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for _, tokens in _batches(pdf):
-                if len(tokens):
-                    out.append((list_keys(tokens, heavy, small).view(np.int64), set_digest(tokens), len(tokens)))
-            count = [len(k) for k, _, _ in out]
-            yield pd.DataFrame({"token": np.concatenate([k for k, _, _ in out]) if out else np.zeros(0, np.int64), "sig": np.repeat(np.array([s for _, s, _ in out], np.int64), count), "n": np.repeat(np.array([n for _, _, n in out], np.int32), count)})
+            for at in range(0, len(pdf), 2000):
+                out = {}
+                for _, tokens in _batches(pdf.iloc[at : at + 2000]):
+                    if len(tokens) and (sig := set_digest(tokens)) not in out:
+                        out[sig] = (list_keys(tokens, heavy, small).view(np.int64), len(tokens))
+                if out:
+                    count = [len(k) for k, _ in out.values()]
+                    yield pd.DataFrame({"token": np.concatenate([k for k, _ in out.values()]), "sig": np.repeat(np.array(list(out), np.int64), count), "n": np.repeat(np.array([n for _, n in out.values()], np.int32), count)})
 
     def several(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Members of lists with two classes or more; first is the list's first member, which can link with the most sizes."""
+        """Members of lists with two classes or more, with the list's first member and length."""
         for pdf in runs(batches, "token"):
             t, s = pdf["token"].to_numpy(), pdf["sig"].to_numpy()
             new = np.r_[True, t[1:] != t[:-1]]
@@ -180,86 +192,115 @@ def set_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = docs.select("doc_id", "text").mapInPandas(emit, "token long, sig long, n int")
     lists = keys.repartition("token").sortWithinPartitions("token", "sig").mapInPandas(several, "token long, sig long, n int, first long, first_n int, k long")
     lists = stash(lists, "lists")
-    near = (F.col("n") * 4 >= F.col("first_n") * 3) & (F.col("first_n") * 4 >= F.col("n") * 3)
-    tested = lists.where("sig <> first").where(near).select(F.least("sig", "first").alias("a"), F.greatest("sig", "first").alias("b")).distinct()
-    # only classes in lists go on; their bitmaps are made when members must be compared
-    links, tested = _verify(docs, rows, firsts, tested)
+
+    def pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pairs of short lists; of longer lists each member with the first."""
+        for pdf in runs(batches, "token"):
+            t, s, n, k = (pdf[c].to_numpy() for c in ("token", "sig", "n", "k"))
+            a, b = [], []
+            for back in range(1, SHORT):
+                i = np.flatnonzero((t[back:] == t[:-back]) & (k[back:] <= SHORT)) if len(t) > back else np.zeros(0, int)
+                if not len(i):
+                    break
+                i = i[(4 * n[i] >= 3 * n[i + back]) & (4 * n[i + back] >= 3 * n[i])]
+                a.append(s[i])
+                b.append(s[i + back])
+            i = np.flatnonzero((k > SHORT) & (s != pdf["first"].to_numpy()))
+            a.append(pdf["first"].to_numpy()[i])
+            b.append(s[i])
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    again = lists.repartition("token").sortWithinPartitions("token", "sig")
+    pairs = again.mapInPandas(pairs_of, "a long, b long").distinct()
+    links = _verify(docs, classes, _allowed(pairs, classes))
     comps = components(links)
-    rest = lists.where("k > 2").select("token", "sig", "n")
-    bitmaps = None
+    long = lists.where(F.col("k") > SHORT).select("token", "sig", "n")
+    tested = None
     while True:
-        now = rest.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+        now = long.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
         mixed = now.groupBy("token").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("token")
         now = stash(now.join(mixed, "token").select("token", "sig", "n", "comp"), "mixed")
         if now.isEmpty():
             break
-        if bitmaps is None:
-            bitmaps = stash(_bitmaps(docs, firsts.join(now.select("sig").distinct(), "sig", "left_semi")), "bitmaps")
-        offered = stash(_offers(now, bitmaps).join(tested, ["a", "b"], "left_anti"), "offers")
+        offered = stash(_offers(now, classes, tested), "offers")
         if offered.isEmpty():
-            # the best partners are all tested: offer the others
-            offered = stash(_offers(now, bitmaps, best=False).join(tested, ["a", "b"], "left_anti"), "offers")
-            if offered.isEmpty():
-                break
-        more, new = _verify(docs, rows, firsts, offered)
-        tested = stash(tested.unionByName(new), "tested")
-        links = stash(links.unionByName(more), "links")
+            break
+        links = stash(links.unionByName(_verify(docs, classes, offered)), "links")
+        tested = offered if tested is None else stash(tested.unionByName(offered), "tested")
         comps = components(links)
-        rest = now.select("token", "sig", "n")
+        long = now.select("token", "sig", "n")
     return rows, comps.withColumnRenamed("node", "sig")
 
 
-def _reps(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(sig, text) of the classes in firsts: the text of each class's first row, the other texts filtered before the shuffle."""
-    bitmap = id_filter(firsts.select("rep"))
-
-    @F.pandas_udf(T.BooleanType())
-    def maybe(ids: pd.Series) -> pd.Series:
-        return pd.Series(may_hold(bitmap, ids))
+def _allowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose sizes and bitmaps allow a link."""
+    own = classes.select("sig", "n", "bits")
+    both = pairs.join(own.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a")
+    both = both.join(own.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b").where("4 * na >= 3 * nb and 4 * nb >= 3 * na")
 
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").where(maybe("rep")).join(firsts.select("rep", "sig"), "rep")
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf[[len(t) > 0 and set_digest(t) == s for (_, t), s in zip(_batches(pdf), pdf["sig"], strict=True)]][["sig", "text"]]
+            keep = []
+            for n, m, x, y in zip(pdf["na"], pdf["nb"], pdf["x"], pdf["y"], strict=True):
+                size = min(len(x), len(y))
+                keep.append(7 * int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= n + m)
+            yield pdf[["a", "b"]][keep]
 
-    return texts.mapInPandas(check, "sig long, text string")
+    return both.mapInPandas(work, "a long, b long")
 
 
-def _bitmaps(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _reps(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sig, text) of classes: the text of each class's first row, the other texts filtered before the shuffle."""
+    reps = classes.select("rep", "sig")
+    rows = marked(docs.select(F.col("doc_id").alias("rep"), "text"), F.col("rep"), bit_words(reps, "rep"))
+    texts = rows.where("__hit").select("rep", "text").join(reps, "rep")
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return texts.select("sig", "text")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"sig": pdf["sig"], "bits": [parity(t) for _, t in _batches(pdf)]})
+            yield pdf[[len(t) > 0 and set_digest(t) == s for (_, t), s in zip(_batches(pdf), pdf["sig"], strict=True)]][["sig", "text"]]
 
-    return _reps(docs, firsts).mapInPandas(work, "sig long, bits binary").groupBy("sig").agg(F.min("bits").alias("bits"))
+    return texts.mapInPandas(check, "sig long, text string").groupBy("sig").agg(F.min("text").alias("text"))
 
 
-def _offers(lists: DataFrame, bitmaps: DataFrame, best: bool = True) -> DataFrame:
-    """Pairs of a list's members in different components that the sizes and bitmaps allow: each member's best, or all of them."""
+def _offers(lists: DataFrame, classes: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """For each member of a long list its best partner of another component, by bitmap distance, among pairs not tested yet."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in runs(batches, "token"):
-            out = []
+            out = set()
             for _, g in pdf.groupby("token", sort=False):
-                n, comp, sig = g["n"].to_numpy(np.int64), g["comp"].to_numpy(), g["sig"].to_numpy()
-                bits = np.frombuffer(b"".join(g["bits"]), np.uint64).reshape(-1, BITMAP)
+                n, comp, sig, done = g["n"].to_numpy(np.int64), g["comp"].to_numpy(), g["sig"].to_numpy(), g["done"].tolist()
+                sizes = np.array([len(b) for b in g["bits"]])
+                size = int(sizes.min())
+                bits = np.stack([folded(b, size) for b in g["bits"]])
                 for at in range(len(g)):
                     d = np.bitwise_count(bits ^ bits[at]).sum(1, dtype=np.int64)
                     may = (7 * d <= n + n[at]) & (4 * n >= 3 * n[at]) & (4 * n[at] >= 3 * n) & (comp != comp[at])
+                    if done[at] is not None and len(done[at]):
+                        may &= ~np.isin(sig, done[at])
                     if may.any():
-                        picks = [int(np.where(may, d, 1 << 30).argmin())] if best else np.flatnonzero(may[:at]).tolist()
-                        out += [(min(sig[at], sig[j]), max(sig[at], sig[j])) for j in picks]
-            yield pd.DataFrame(sorted(set(out)), columns=["a", "b"])
-
-    rows = lists.join(bitmaps, "sig").repartition("token").sortWithinPartitions("token", "sig")
+                        j = int(np.where(may, d, 1 << 40).argmin())
+                        out.add((min(sig[at], sig[j]), max(sig[at], sig[j])))
+            yield pd.DataFrame(sorted(out), columns=["a", "b"])
+
+    rows = lists.join(classes.select("sig", "bits"), "sig")
+    if tested is None:
+        rows = rows.withColumn("done", F.lit(None).cast("array<long>"))
+    else:
+        both = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rows = rows.join(both.groupBy(F.col("a").alias("sig")).agg(F.collect_set("b").alias("done")), "sig", "left")
+    rows = rows.repartition("token").sortWithinPartitions("token", "sig")
     return rows.mapInPandas(work, "a long, b long").distinct()
 
 
-def _verify(docs: DataFrame, rows: DataFrame, firsts: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, pairs): the pairs whose sets reach the threshold, and all pairs, as tables. Members travel to their partner's task as text; a partner with many members is split."""
+def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose sets reach the threshold. Members travel to their partner's task as text; a partner with many members is split."""
     pairs = stash(pairs, "pairs")
     involved = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    texts = stash(_reps(docs, firsts.join(involved, "sig", "left_semi")).groupBy("sig").agg(F.min("text").alias("text")), "texts")
+    texts = stash(_reps(docs, classes.join(involved, "sig", "left_semi")), "texts")
     salt = F.pmod(F.xxhash64("b"), F.lit(1 << 20))
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / 200).alias("s"))
     keyed = pairs.join(many, "a").select("a", "b", F.pmod(salt, F.col("s")).alias("z"))
@@ -283,7 +324,7 @@ def _verify(docs: DataFrame, rows: DataFrame, firsts: DataFrame, pairs: DataFram
             out = []
 
     both = left.unionByName(right).repartition("a", "z").sortWithinPartitions("a", "z", "other", "b")
-    return stash(both.mapInPandas(compare, "a long, b long"), "links"), pairs
+    return stash(both.mapInPandas(compare, "a long, b long"), "links")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

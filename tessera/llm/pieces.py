@@ -43,7 +43,9 @@ OTHER = ""
 MAX_UNIT = 1000
 RANK_SHIFT = 1000
 FALLBACK = -60.0
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 4 << 20
+#: Partitions that blocks are dealt over, at most.
+MOST_PARTS = 100_000
 _UNITS = rf"\n|{MARK}?[^{MARK}\n]{{1,{MAX_UNIT}}}|{MARK}"
 
 
@@ -68,10 +70,14 @@ class PieceTable:
                 self.raw.append(piece.replace(MARK, " ").encode())
                 if set(piece) != {MARK} or piece == MARK:
                     self.rows.append((piece, i, -math.log(RANK_SHIFT - model.get_score(i)) - 5))
+        self.spelled = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        self.scores = [FALLBACK] * model.get_piece_size()
+        for _, i, score in self.rows:
+            self.scores[i] = score
         self.longest = max(len(p) for p, _, _ in self.rows)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(pd.DataFrame(self.rows, columns=["sub", "id", "score"]), "sub string, id int, score double")
+        return spark.createDataFrame(pd.DataFrame(self.rows, columns=["sub", "id", "score"])[["sub", "id"]], "sub string, id int")
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
@@ -83,16 +89,20 @@ def marked_text(text: Column) -> Column:
 
 
 def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
-    """words (block, word) with ids: the best path of each; a negative id is a code point that goes by bytes."""
-    keyed = words.withColumn("wid", F.xxhash64("word")).withColumn("n", F.length("word"))
-    begin = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s")
-    spans = keyed.select("block", "wid", "word", "n", begin)
+    """(block, ids): the best path of each of words (block, word); a negative id is a code point that goes by bytes. The ids spell the word.
+
+    An edge is one number, end, start and id + 2^22 in 12, 12 and 24 bits, so that edges sort by end and take little room.
+    """
+    keyed = words.withColumns({"n": F.length("word"), "wid": F.monotonically_increasing_id()})  # used within one task only
+    spans = keyed.select("block", "wid", "word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
     size = F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.col("n") - F.col("s")))).alias("l")
     spans = spans.select("block", "wid", "word", "s", size).withColumn("sub", F.substring("word", F.col("s") + 1, F.col("l")))
     edges = spans.join(F.broadcast(table.frame(words.sparkSession)), "sub", "left").where("id is not null or l = 1")
     code = F.when(F.col("sub") == OTHER, ord(MARK)).otherwise(F.ascii("sub"))
-    edge = F.struct((F.col("s") + F.col("l")).alias("e"), F.col("s").alias("s"), F.coalesce("id", -code).alias("id"), F.coalesce("score", F.lit(FALLBACK)).alias("w"))
-    edges = edges.groupBy("wid", "block", "word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    end = F.shiftleft((F.col("s") + F.col("l")).cast("long"), 36).bitwiseOR(F.shiftleft(F.col("s").cast("long"), 24))
+    edge = end.bitwiseOR((F.coalesce("id", -code) + (1 << 22)).cast("long"))
+    edges = edges.select("wid", "block", edge.alias("edge")).groupBy("wid", "block").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    scores = F.lit(np.array(table.scores, np.float64))
     done = "array<struct<b:double,ids:array<int>>>"
     start = F.struct(F.array(F.struct(F.lit(0.0).alias("b"), F.array().cast("array<int>").alias("ids"))).cast(done).alias("done"), F.lit(1).alias("e"), F.lit(None).cast("double").alias("b"), F.lit(0).alias("s"), F.lit(0).alias("id"))
 
@@ -102,32 +112,43 @@ def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
         return F.array_append(acc["done"], F.struct(acc["b"].alias("b"), ids.alias("ids")))
 
     def step(acc: Column, x: Column) -> Column:
-        before = F.when(acc["e"] == x["e"], acc["done"]).otherwise(close(acc))
-        score = F.get(before, x["s"])["b"] + x["w"]
-        better = (acc["e"] != x["e"]) | acc["b"].isNull() | (score > acc["b"])
-        return F.struct(before.alias("done"), x["e"].alias("e"), F.when(better, score).otherwise(acc["b"]).alias("b"), F.when(better, x["s"]).otherwise(acc["s"]).alias("s"), F.when(better, x["id"]).otherwise(acc["id"]).alias("id"))
+        e, s = F.shiftright(x, 36).cast("int"), F.shiftright(x, 24).bitwiseAND(4095).cast("int")
+        id_ = x.bitwiseAND((1 << 24) - 1).cast("int") - (1 << 22)
+        before = F.when(acc["e"] == e, acc["done"]).otherwise(close(acc))
+        score = F.get(before, s)["b"] + F.coalesce(F.get(scores, id_), F.lit(FALLBACK))
+        better = (acc["e"] != e) | acc["b"].isNull() | (score > acc["b"])
+        return F.struct(before.alias("done"), e.alias("e"), F.when(better, score).otherwise(acc["b"]).alias("b"), F.when(better, s).otherwise(acc["s"]).alias("s"), F.when(better, id_).otherwise(acc["id"]).alias("id"))
 
     path = F.aggregate("edges", start, step, lambda acc: F.element_at(close(acc), -1)["ids"])
-    return edges.select("block", "word", path.alias("ids"))
+    return edges.select("block", path.alias("ids"))
+
+
+def even_labels(spark: SparkSession, parts: int) -> list[int]:
+    """A number for each partition of a hash repartition into parts, so that blocks fill partitions evenly."""
+    ids = spark.range(12 * parts + 200).select(F.col("id").cast("int").alias("i"))
+    rows = ids.groupBy(F.pmod(F.hash("i"), F.lit(parts)).alias("p")).agg(F.min("i").alias("i")).collect()  # parts rows at most
+    return sorted(r["i"] for r in rows)
 
 
 def encode_with(docs: DataFrame, table: PieceTable, finish: Callable[[str | None, list[int] | None], tuple], schema: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row doc_id and finish(text, ids) for every row of docs. schema: finish's columns."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = parts_for(int(size), BLOCK_BYTES, 8)
-    dealt = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(doc_id), F.lit(blocks)).cast("int").alias("block"))
-    dealt = dealt.repartition(blocks, "block")
+    labels = even_labels(docs.sparkSession, parts_for(int(size), BLOCK_BYTES, 8, MOST_PARTS))
+    block = F.get(F.lit(np.array(labels, np.int32)), F.pmod(F.xxhash64(doc_id), F.lit(len(labels))).cast("int"))
+    dealt = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), block.alias("block"))
+    dealt = dealt.repartition(len(labels), "block")
     # doc_id never counts here; naming it keeps this branch on the same columns as the other, so that both read one shuffle
     whole_text = F.coalesce(marked_text(F.col("text")), F.when(F.length("text") > 0, F.col("doc_id").cast("string")))
     units = F.explode(F.regexp_extract_all(whole_text, F.lit(_UNITS), F.lit(0))).alias("word")
     words = dealt.select("block", units).distinct()
     paths = best_paths(words, table).withColumnRenamed("block", "place")
     names = [c.split()[0] for c in schema.split(", ")]
-    find, byte_ids = re.compile(_UNITS).findall, table.byte_ids
+    find, byte_ids, spelled = re.compile(_UNITS).findall, table.byte_ids, table.spelled
 
     def whole(texts: pd.DataFrame, paths: pd.DataFrame) -> pd.DataFrame:
         known = {}
-        for word, ids in zip(paths["word"], paths["ids"], strict=True):
+        for ids in paths["ids"].map(np.ndarray.tolist):
+            word = "".join([spelled[i] if i >= 0 else OTHER if i == -ord(MARK) else chr(-i) for i in ids])
             if min(ids) < 0:
                 ids = [j for i in ids for j in ([i] if i >= 0 else [byte_ids[b] for b in chr(-i).encode("utf-8", "surrogatepass")])]
             known[word] = np.asarray(ids, np.int32).tobytes()
