@@ -1,4 +1,4 @@
-"""Shared pieces: shared-folder tables, word rules, bounded id filters, connected components."""
+"""Shared pieces: shared-folder tables, word rules, bounded id bitmaps, connected components."""
 
 from __future__ import annotations
 
@@ -10,9 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: A word is a maximal run of anything but the six ASCII spaces.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,10 +43,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_rank(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
     """Regroups batches that are sorted by key, so that no key is cut between two frames."""
     rest: list[pd.DataFrame] = []
@@ -69,45 +64,6 @@ def runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
         yield pd.concat(rest, ignore_index=True)
 
 
-def _spread(ids: np.ndarray, bits: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def id_filter(ids: DataFrame, bits: int = 21) -> np.ndarray:
-    """A fixed-size bitmap (2**bits bits, 256 KB) of hashed ids, or-ed on the executors.
-
-    Used to keep rows without partners out of a shuffle; false hits only cost traffic, so its size need not follow the data.
-    """
-    name = ids.columns[0]
-
-    def mark(batches):
-        seen = np.zeros(1 << bits, bool)
-        for pdf in batches:
-            seen[_spread(pdf[name].fillna(0).to_numpy(np.int64), bits)] = True
-        words = np.packbits(seen).view(np.uint8).reshape(64, -1)
-        for i, w in enumerate(words):
-            if w.any():
-                yield pd.DataFrame({"i": [i], "w": [w.tobytes()]})
-
-    def merge(pdf):
-        w = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["w"]])
-        return pd.DataFrame({"i": [int(pdf["i"].iat[0])], "w": [w.tobytes()]})
-
-    rows = ids.mapInPandas(mark, "i int, w binary").groupBy("i").applyInPandas(merge, "i int, w binary").collect()  # 64 rows at most
-    out = np.zeros((64, (1 << bits) // 512), np.uint8)
-    for r in rows:
-        out[r["i"]] = np.frombuffer(r["w"], np.uint8)
-    return out.reshape(-1)
-
-
-def may_hold(bitmap: np.ndarray, ids: pd.Series) -> np.ndarray:
-    bits = int(np.log2(len(bitmap) * 8))
-    h = _spread(ids.fillna(0).to_numpy(np.int64), bits)
-    return (bitmap[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 > 0
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Distributed union-find: (node, comp) with comp the smallest reachable node, for every node of an edge.
 
@@ -125,18 +81,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stash(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        seen = Observation()
+        now = stash(now.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+        state = seen.get
         if state == before:
             break
         before = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 
 
-def field(schema: T.StructType, name: str) -> T.DataType:
-    return schema[name].dataType
-
-
 def bit_words(ids: DataFrame, name: str) -> DataFrame:
     """(__w, __bits): a bitmap of 2**22 bits over hashed ids as at most 65,536 rows, built with column functions; that bound is why it may be broadcast."""
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(F.xxhash64(name), 42).bitwiseAND(63).cast("int"))

@@ -11,7 +11,7 @@ A document's set holds the hashes of its distinct five-word shingles. Equal sets
   histogram of the corpus.
 
 Lists of up to SHORT members offer their pairs; a longer one offers each member with its first, and later rounds take lists
-whose members still differ in component and offer each member its best untested partner of another component. A pair goes on
+whose members still differ in component and offer each member its best untested partners, each of another component. A pair goes on
 only if the sets' parity bitmaps allow a link (their distance never exceeds the symmetric difference, so no link is lost), and
 is then verified on whole texts. Rounds end when no untested pair across components is left, so components are those of all
 links, and no group's pairs are all made. 64-bit hashes stand for shingles; collisions are the only source of error.
@@ -39,6 +39,8 @@ SHINGLE = 5
 HEAVY = 400_000
 #: Lists of up to so many members offer all pairs at once; longer ones offer best partners in rounds.
 SHORT = 32
+#: Partners that a member offers in one round; what is left goes to later rounds.
+OFFERS = 12
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -77,7 +79,7 @@ def shingle_set(text: str | None, seen: dict[bytes, int]) -> np.ndarray:
 def _batches(pdf: pd.DataFrame, column: str = "text") -> Iterator[tuple[int, np.ndarray]]:
     seen: dict[bytes, int] = {}
     for i, text in enumerate(pdf[column]):
-        if len(seen) > 400_000:
+        if len(seen) > 100_000:
             seen.clear()
         yield i, shingle_set(text, seen)
 
@@ -136,8 +138,8 @@ def _stats(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, dict[int,
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 4000):
-                part = pdf.iloc[at : at + 4000]
+            for at in range(0, len(pdf), 1500):
+                part = pdf.iloc[at : at + 1500]
                 sets = [t for _, t in _batches(part)]
                 sigs = [set_digest(t) if len(t) else None for t in sets]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "n": [len(t) for t in sets], "sig": pd.array(sigs, "Int64"), "bits": [parity(t) if len(t) else None for t in sets], "token": pd.array([None] * len(sets), "Int64")})
@@ -166,56 +168,46 @@ def set_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 2000):
+            for at in range(0, len(pdf), 500):
                 out = {}
-                for _, tokens in _batches(pdf.iloc[at : at + 2000]):
+                for _, tokens in _batches(pdf.iloc[at : at + 500]):
                     if len(tokens) and (sig := set_digest(tokens)) not in out:
                         out[sig] = (list_keys(tokens, heavy, small).view(np.int64), len(tokens))
                 if out:
                     count = [len(k) for k, _ in out.values()]
                     yield pd.DataFrame({"token": np.concatenate([k for k, _ in out.values()]), "sig": np.repeat(np.array(list(out), np.int64), count), "n": np.repeat(np.array([n for _, n in out.values()], np.int32), count)})
 
-    def several(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Members of lists with two classes or more, with the list's first member and length."""
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pairs of lists with up to SHORT classes; of longer lists the pairs with the first member, and the members."""
         for pdf in runs(batches, "token"):
-            t, s = pdf["token"].to_numpy(), pdf["sig"].to_numpy()
-            new = np.r_[True, t[1:] != t[:-1]]
-            pdf = pdf[new | np.r_[True, s[1:] != s[:-1]]]
-            t = pdf["token"].to_numpy()
+            t, s, n = (pdf[c].to_numpy() for c in ("token", "sig", "n"))
+            keep = np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])]
+            t, s, n = t[keep], s[keep], n[keep]
             starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
             count = np.diff(np.r_[starts, len(t)])
-            group = np.repeat(np.arange(len(starts)), count)
-            many = count[group] > 1
-            if many.any():
-                yield pdf.assign(first=pdf["sig"].to_numpy()[starts][group], first_n=pdf["n"].to_numpy()[starts][group], k=count[group])[many]
-
-    keys = docs.select("doc_id", "text").mapInPandas(emit, "token long, sig long, n int")
-    lists = keys.repartition("token").sortWithinPartitions("token", "sig").mapInPandas(several, "token long, sig long, n int, first long, first_n int, k long")
-    lists = stash(lists, "lists")
-
-    def pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Pairs of short lists; of longer lists each member with the first."""
-        for pdf in runs(batches, "token"):
-            t, s, n, k = (pdf[c].to_numpy() for c in ("token", "sig", "n", "k"))
+            k, first = np.repeat(count, count), np.repeat(s[starts], count)
+            t, s, n, first, k = (x[k > 1] for x in (t, s, n, first, k))
             a, b = [], []
-            for back in range(1, SHORT):
-                i = np.flatnonzero((t[back:] == t[:-back]) & (k[back:] <= SHORT)) if len(t) > back else np.zeros(0, int)
+            for back in range(1, min(SHORT, len(t))):
+                i = np.flatnonzero((t[back:] == t[:-back]) & (k[back:] <= SHORT))
                 if not len(i):
                     break
                 i = i[(4 * n[i] >= 3 * n[i + back]) & (4 * n[i + back] >= 3 * n[i])]
                 a.append(s[i])
                 b.append(s[i + back])
-            i = np.flatnonzero((k > SHORT) & (s != pdf["first"].to_numpy()))
-            a.append(pdf["first"].to_numpy()[i])
-            b.append(s[i])
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    again = lists.repartition("token").sortWithinPartitions("token", "sig")
-    pairs = again.mapInPandas(pairs_of, "a long, b long").distinct()
+            i = np.flatnonzero((k > SHORT) & (s != first))
+            a, b = np.concatenate([*a, first[i]]), np.concatenate([*b, s[i]])
+            yield pd.DataFrame({"token": 0, "a": np.minimum(a, b), "b": np.maximum(a, b), "n": 0}).drop_duplicates()
+            i = k > SHORT
+            yield pd.DataFrame({"token": t[i], "a": s[i], "b": s[i], "n": n[i]})
+
+    keys = docs.select("doc_id", "text").mapInPandas(emit, "token long, sig long, n int")
+    met = keys.repartition("token").sortWithinPartitions("token", "sig").mapInPandas(meet, "token long, a long, b long, n int")
+    met = stash(met, "met")
+    pairs = met.where("a <> b").select("a", "b").distinct()
     links = _verify(docs, classes, _allowed(pairs, classes))
     comps = components(links)
-    long = lists.where(F.col("k") > SHORT).select("token", "sig", "n")
+    long = met.where("a = b").select("token", F.col("a").alias("sig"), "n")
     tested = None
     while True:
         now = long.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
@@ -266,7 +258,7 @@ def _reps(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _offers(lists: DataFrame, classes: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """For each member of a long list its best partner of another component, by bitmap distance, among pairs not tested yet."""
+    """For each member of a long list its nearest partners by bitmap distance, each of another component, among pairs not tested yet."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in runs(batches, "token"):
@@ -282,8 +274,10 @@ def _offers(lists: DataFrame, classes: DataFrame, tested: DataFrame | None) -> D
                     if done[at] is not None and len(done[at]):
                         may &= ~np.isin(sig, done[at])
                     if may.any():
-                        j = int(np.where(may, d, 1 << 40).argmin())
-                        out.add((min(sig[at], sig[j]), max(sig[at], sig[j])))
+                        i = np.flatnonzero(may)
+                        i = i[np.argsort(d[i], kind="stable")]
+                        for j in i[np.sort(np.unique(comp[i], return_index=True)[1])[:OFFERS]].tolist():
+                            out.add((min(sig[at], sig[j]), max(sig[at], sig[j])))
             yield pd.DataFrame(sorted(out), columns=["a", "b"])
 
     rows = lists.join(classes.select("sig", "bits"), "sig")
@@ -311,7 +305,7 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
         key, own, out, seen = None, None, [], {}
         for pdf in batches:
             for a, z, b, text in zip(pdf["a"], pdf["z"], pdf["b"], pdf["text"], strict=True):
-                if len(seen) > 400_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 tokens = shingle_set(text, seen)
                 if (a, z) != key:
