@@ -28,6 +28,7 @@ import hashlib
 import math
 import re
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ from .common import parts_for
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Stands for a literal mark while pieces are looked up; no piece holds it.
-OTHER = ""
+OTHER = "\ue000"
 MAX_UNIT = 1000
 RANK_SHIFT = 1000
 FALLBACK = -60.0
@@ -89,7 +90,7 @@ def marked_text(text: Column) -> Column:
 
 
 def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(block, ids): the best path of each of words (block, word); a negative id is a code point that goes by bytes. The ids spell the word.
+    """(block, ids): the best path of each of words (block, word). A negative id is a code point that goes by bytes; the ids spell the word.
 
     An edge is one number, end, start and id + 2^22 in 12, 12 and 24 bits, so that edges sort by end and take little room.
     """
@@ -98,7 +99,7 @@ def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
     size = F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.col("n") - F.col("s")))).alias("l")
     spans = spans.select("block", "wid", "word", "s", size).withColumn("sub", F.substring("word", F.col("s") + 1, F.col("l")))
     edges = spans.join(F.broadcast(table.frame(words.sparkSession)), "sub", "left").where("id is not null or l = 1")
-    code = F.when(F.col("sub") == OTHER, ord(MARK)).otherwise(F.ascii("sub"))
+    code = F.ascii("sub")
     end = F.shiftleft((F.col("s") + F.col("l")).cast("long"), 36).bitwiseOR(F.shiftleft(F.col("s").cast("long"), 24))
     edge = end.bitwiseOR((F.coalesce("id", -code) + (1 << 22)).cast("long"))
     edges = edges.select("wid", "block", edge.alias("edge")).groupBy("wid", "block").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
@@ -146,18 +147,27 @@ def encode_with(docs: DataFrame, table: PieceTable, finish: Callable[[str | None
     find, byte_ids, spelled = re.compile(_UNITS).findall, table.byte_ids, table.spelled
 
     def whole(texts: pd.DataFrame, paths: pd.DataFrame) -> pd.DataFrame:
-        known = {}
+        known, odd = {}, {}
+
+        def by_bytes(ids: list[int], others: Iterator[str]) -> bytes:
+            chars = ((i, "" if i >= 0 else next(others) if chr(-i) == OTHER else chr(-i)) for i in ids)
+            return np.array([j for i, c in chars for j in ([i] if i >= 0 else [byte_ids[b] for b in c.encode("utf-8", "surrogatepass")])], np.int32).tobytes()
+
         for ids in paths["ids"].map(np.ndarray.tolist):
-            word = "".join([spelled[i] if i >= 0 else OTHER if i == -ord(MARK) else chr(-i) for i in ids])
-            if min(ids) < 0:
-                ids = [j for i in ids for j in ([i] if i >= 0 else [byte_ids[b] for b in chr(-i).encode("utf-8", "surrogatepass")])]
-            known[word] = np.asarray(ids, np.int32).tobytes()
+            word = "".join([spelled[i] if i >= 0 else chr(-i) for i in ids])
+            if OTHER in word:
+                odd[word] = ids
+            known[word] = by_bytes(ids, repeat(MARK)) if min(ids) < 0 else np.asarray(ids, np.int32).tobytes()
         out = []
         for text in texts["text"]:
             ids = None
             if isinstance(text, str):
                 units = find(MARK + text.replace(MARK, OTHER).replace(" ", MARK)) if text else []
-                ids = np.frombuffer(b"".join(map(known.__getitem__, units)), np.int32).tolist()
+                parts = map(known.__getitem__, units)
+                if OTHER in text:  # a text that holds the stand-in itself: its places are told apart
+                    places = iter([c for c in text if c in (MARK, OTHER)])
+                    parts = [by_bytes(odd[u], places) if u in odd else known[u] for u in units]
+                ids = np.frombuffer(b"".join(parts), np.int32).tolist()
             out.append(finish(text if ids is not None else None, ids))
         return pd.concat([texts[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
