@@ -116,7 +116,8 @@ def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
         e, s = F.shiftright(x, 36).cast("int"), F.shiftright(x, 24).bitwiseAND(4095).cast("int")
         id_ = x.bitwiseAND((1 << 24) - 1).cast("int") - (1 << 22)
         before = F.when(acc["e"] == e, acc["done"]).otherwise(close(acc))
-        score = F.get(before, s)["b"] + F.coalesce(F.get(scores, id_), F.lit(FALLBACK))
+        reached = F.when(acc["e"] == s, acc["b"]).otherwise(F.get(acc["done"], s)["b"])
+        score = reached + F.coalesce(F.get(scores, id_), F.lit(FALLBACK))
         better = (acc["e"] != e) | acc["b"].isNull() | (score > acc["b"])
         return F.struct(before.alias("done"), e.alias("e"), F.when(better, score).otherwise(acc["b"]).alias("b"), F.when(better, s).otherwise(acc["s"]).alias("s"), F.when(better, id_).otherwise(acc["id"]).alias("id"))
 
