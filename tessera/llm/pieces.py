@@ -1,7 +1,7 @@
 """Operator 10: SentencePiece encoding and decoding over a relational lattice.
 
-A text becomes units: a space is written as the piece mark, a mark opens a unit, a line feed is a unit. Documents are dealt into
-blocks of like size; the distinct units of a block are its words. Within a block, all in the place where the shuffle by block
+A text becomes units: a space is written as the piece mark, a mark opens a unit, a line feed is a unit, and letters and other
+characters part where no piece of the table joins them. Documents are dealt into blocks of like size; the distinct units of a block are its words. Within a block, all in the place where the shuffle by block
 has put it:
 
 * bounded-length substrings of each word are exploded and equi-joined to the piece table (a vocabulary file of fixed size, so
@@ -47,7 +47,10 @@ FALLBACK = -60.0
 BLOCK_BYTES = 4 << 20
 #: Partitions that blocks are dealt over, at most.
 MOST_PARTS = 100_000
-_UNITS = rf"\n|{MARK}?[^{MARK}\n]{{1,{MAX_UNIT}}}|{MARK}"
+_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+_UNITS = rf"\n|{MARK}?[{_LETTER}]{{1,{MAX_UNIT}}}|{MARK}?[^{_LETTER}{MARK}\n]{{1,{MAX_UNIT}}}|{MARK}"
+#: Units for tables with pieces that hold both letters and other characters.
+_WHOLE = rf"\n|{MARK}?[^{MARK}\n]{{1,{MAX_UNIT}}}|{MARK}"
 
 
 class PieceTable:
@@ -76,6 +79,9 @@ class PieceTable:
         for _, i, score in self.rows:
             self.scores[i] = score
         self.longest = max(len(p) for p, _, _ in self.rows)
+        cut = re.compile(_UNITS).fullmatch
+        #: No piece may span two units: then the best path of a text is that of its units, one after the other.
+        self.units = _UNITS if all(cut(p) for p, _, _ in self.rows) else _WHOLE
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(pd.DataFrame(self.rows, columns=["sub", "id", "score"])[["sub", "id"]], "sub string, id int")
@@ -98,28 +104,35 @@ def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
     spans = keyed.select("block", "wid", "word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
     size = F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.col("n") - F.col("s")))).alias("l")
     spans = spans.select("block", "wid", "word", "s", size).withColumn("sub", F.substring("word", F.col("s") + 1, F.col("l")))
-    edges = spans.join(F.broadcast(table.frame(words.sparkSession)), "sub", "left").where("id is not null or l = 1")
+    known = table.frame(words.sparkSession).withColumnRenamed("sub", "piece").withColumn("key", F.xxhash64("piece"))
+    spans = spans.withColumn("key", F.xxhash64("sub"))  # a number as key makes the lookup cheap; the pieces themselves decide
+    edges = spans.join(F.broadcast(known), (spans["key"] == known["key"]) & (F.col("sub") == F.col("piece")), "left").where("id is not null or l = 1")
     code = F.ascii("sub")
     end = F.shiftleft((F.col("s") + F.col("l")).cast("long"), 36).bitwiseOR(F.shiftleft(F.col("s").cast("long"), 24))
     edge = end.bitwiseOR((F.coalesce("id", -code) + (1 << 22)).cast("long"))
     edges = edges.select("wid", "block", edge.alias("edge")).groupBy("wid", "block").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     scores = F.lit(np.array(table.scores, np.float64))
-    done = "array<struct<b:double,ids:array<int>>>"
-    start = F.struct(F.array(F.struct(F.lit(0.0).alias("b"), F.array().cast("array<int>").alias("ids"))).cast(done).alias("done"), F.lit(1).alias("e"), F.lit(None).cast("double").alias("b"), F.lit(0).alias("s"), F.lit(0).alias("id"))
+    best = "struct<b:double,x:bigint>"  # x is the edge, negated: of equal scores the smaller start and id wins
+    start = F.struct(F.array(F.struct(F.lit(0.0).alias("b"), F.array().cast("array<int>").alias("ids"))).alias("done"), F.lit(1).alias("e"), F.lit(None).cast(best).alias("best"))
+
+    def place(x: Column) -> Column:
+        return F.shiftright(x, 24).bitwiseAND(4095).cast("int")
+
+    def piece(x: Column) -> Column:
+        return x.bitwiseAND((1 << 24) - 1).cast("int") - (1 << 22)
 
     def close(acc: Column) -> Column:
         """done with the current position's best appended."""
-        ids = F.array_append(F.get(acc["done"], acc["s"])["ids"], acc["id"])
-        return F.array_append(acc["done"], F.struct(acc["b"].alias("b"), ids.alias("ids")))
+        x = -acc["best"]["x"]
+        ids = F.array_append(F.get(acc["done"], place(x))["ids"], piece(x))
+        return F.array_append(acc["done"], F.struct(acc["best"]["b"].alias("b"), ids.alias("ids")))
 
     def step(acc: Column, x: Column) -> Column:
-        e, s = F.shiftright(x, 36).cast("int"), F.shiftright(x, 24).bitwiseAND(4095).cast("int")
-        id_ = x.bitwiseAND((1 << 24) - 1).cast("int") - (1 << 22)
-        before = F.when(acc["e"] == e, acc["done"]).otherwise(close(acc))
-        reached = F.when(acc["e"] == s, acc["b"]).otherwise(F.get(acc["done"], s)["b"])
-        score = reached + F.coalesce(F.get(scores, id_), F.lit(FALLBACK))
-        better = (acc["e"] != e) | acc["b"].isNull() | (score > acc["b"])
-        return F.struct(before.alias("done"), e.alias("e"), F.when(better, score).otherwise(acc["b"]).alias("b"), F.when(better, s).otherwise(acc["s"]).alias("s"), F.when(better, id_).otherwise(acc["id"]).alias("id"))
+        e = F.shiftright(x, 36).cast("int")
+        reached = F.when(acc["e"] == place(x), acc["best"]["b"]).otherwise(F.get(acc["done"], place(x))["b"])
+        score = reached + F.coalesce(F.get(scores, piece(x)), F.lit(FALLBACK))
+        top = F.greatest(F.when(acc["e"] == e, acc["best"]), F.struct(score.alias("b"), (-x).alias("x")))
+        return F.struct(F.when(acc["e"] == e, acc["done"]).otherwise(close(acc)).alias("done"), e.alias("e"), top.alias("best"))
 
     path = F.aggregate("edges", start, step, lambda acc: F.element_at(close(acc), -1)["ids"])
     return edges.select("block", path.alias("ids"))
@@ -141,11 +154,11 @@ def encode_with(docs: DataFrame, table: PieceTable, finish: Callable[[str | None
     dealt = dealt.repartition(len(labels), "block")
     # doc_id never counts here; naming it keeps this branch on the same columns as the other, so that both read one shuffle
     whole_text = F.coalesce(marked_text(F.col("text")), F.when(F.length("text") > 0, F.col("doc_id").cast("string")))
-    units = F.explode(F.regexp_extract_all(whole_text, F.lit(_UNITS), F.lit(0))).alias("word")
+    units = F.explode(F.regexp_extract_all(whole_text, F.lit(table.units), F.lit(0))).alias("word")
     words = dealt.select("block", units).distinct()
     paths = best_paths(words, table).withColumnRenamed("block", "place")
     names = [c.split()[0] for c in schema.split(", ")]
-    find, byte_ids, spelled = re.compile(_UNITS).findall, table.byte_ids, table.spelled
+    find, byte_ids, spelled = re.compile(table.units).findall, table.byte_ids, table.spelled
 
     def whole(texts: pd.DataFrame, paths: pd.DataFrame) -> pd.DataFrame:
         known, odd = {}, {}
