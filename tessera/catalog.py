@@ -11,6 +11,7 @@ from .config import BinsPolicy, QualityPolicy
 from .functions import scalars as S
 from .operators import bins, inference, profiles, quality, shaping, states
 from .plans import views
+from .sources import ladders
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -452,3 +453,24 @@ def _(spark, d):
     labels = c.select(F.col("c_custkey").alias("row_no"), F.col("c_mktsegment").alias("label"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey").cast("string")).alias("lab"), F.when(F.col("c_custkey") % 3 < 2, (F.col("c_custkey") % 50).cast("string")).alias("mid"))
     rows = views.table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("lab"), (F.col("s_suppkey") % 70).cast("string").alias("mid"))
     return shaping.label_precedence(rows, labels, [["lab", "mid"], ["mid"]])
+
+
+@query("file_resolution", """WITH C AS (SELECT CAST(c_nationkey AS VARCHAR) AS fecha, CAST(c_custkey % 3 AS VARCHAR) AS lab, CAST(c_custkey % 10 AS VARCHAR) AS i, c_custkey % 7 AS v, c_mktsegment AS color FROM customer WHERE c_nationkey < 20 AND c_custkey % 4 = 0),
+L AS (SELECT DISTINCT fecha, lab, CASE v WHEN 0 THEN i || 'medRed.csv' WHEN 1 THEN '0' || i || 'medRed.csv' WHEN 2 THEN '00' || i || 'medred.csv' WHEN 3 THEN i || 'MED' || color || '.CSV' WHEN 4 THEN i || 'x.csv' WHEN 5 THEN fecha || '_' || lab || '_00' || i || '.csv' ELSE i || 'medRed.txt' END AS name FROM C),
+M AS (SELECT *, fecha || '_' || lab || '_00' || i AS mid FROM (SELECT s_suppkey, CAST(s_nationkey AS VARCHAR) AS fecha, CAST(s_suppkey % 3 AS VARCHAR) AS lab, CAST(s_suppkey % 10 AS VARCHAR) AS i FROM supplier)),
+X AS (SELECT s_suppkey, name, CASE WHEN name = M.i || 'medRed.csv' THEN 0 WHEN name = mid || '.csv' THEN 1 WHEN name = '0' || M.i || 'medRed.csv' THEN 2 WHEN name = '00' || M.i || 'medRed.csv' THEN 3 WHEN name = '0' || M.i || 'medred.csv' THEN 4 WHEN name = '00' || M.i || 'medred.csv' THEN 5 END AS step FROM M JOIN L USING (fecha, lab)
+   UNION ALL SELECT s_suppkey, min(name), 6 FROM M JOIN L USING (fecha, lab) WHERE lower(name) LIKE '%.csv' AND starts_with(lower(name), i || 'med') GROUP BY s_suppkey HAVING count(*) = 1
+   UNION ALL SELECT s_suppkey, min(name), 7 FROM M JOIN L USING (fecha, lab) WHERE lower(name) LIKE '%.csv' AND TRY_CAST(regexp_extract(name, '^[0-9]+') AS INTEGER) = CAST(i AS INTEGER) GROUP BY s_suppkey HAVING count(*) = 1),
+B AS (SELECT s_suppkey, arg_min(name, step) AS name, min(step) AS step FROM X WHERE step IS NOT NULL GROUP BY s_suppkey)
+SELECT M.s_suppkey, B.name AS found_name, CASE WHEN step = 0 THEN 'expected' WHEN step > 0 THEN 'compat_found' WHEN (M.fecha, M.lab) IN (SELECT (fecha, lab) FROM L) THEN 'missing' ELSE 'missing_dir' END AS resolve_tag FROM M LEFT JOIN B USING (s_suppkey)""")
+def _(spark, d):
+    c = views.table(spark, d, "customer").where("c_nationkey < 20 and c_custkey % 4 = 0")
+    fecha, lab, i = F.col("c_nationkey").cast("string"), (F.col("c_custkey") % 3).cast("string"), (F.col("c_custkey") % 10).cast("string")
+    kinds = [F.concat(i, F.lit("medRed.csv")), F.concat(F.lit("0"), i, F.lit("medRed.csv")), F.concat(F.lit("00"), i, F.lit("medred.csv")), F.concat(i, F.lit("MED"), "c_mktsegment", F.lit(".CSV")), F.concat(i, F.lit("x.csv")), F.concat(S.mid(fecha, lab, i), F.lit(".csv")), F.concat(i, F.lit("medRed.txt"))]
+    name = F.get(F.array(*kinds), (F.col("c_custkey") % 7).cast("int"))
+    listing = c.select(fecha.alias("fecha"), lab.alias("lab"), name.alias("name")).withColumn("path", F.concat_ws("/", "fecha", "lab", "name"))
+    s = views.table(spark, d, "supplier")
+    rows = s.select("s_suppkey", F.col("s_nationkey").cast("string").alias("fecha"), (F.col("s_suppkey") % 3).cast("string").alias("lab"), (F.col("s_suppkey") % 10).cast("int").alias("archivo"), F.lit("Red").alias("color"))
+    rows = rows.withColumn("mid", S.mid(F.col("fecha"), F.col("lab"), F.col("archivo")))
+    rows = rows.withColumn("filename_expected", ladders.expected_name(F.col("mid"), F.col("archivo"), F.col("color"), blind=False))
+    return ladders.resolve_files(rows, listing).select("s_suppkey", "found_name", "resolve_tag")
