@@ -44,7 +44,7 @@ OTHER = "\ue000"
 MAX_UNIT = 1000
 RANK_SHIFT = 1000
 FALLBACK = -60.0
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 #: Partitions that blocks are dealt over, at most.
 MOST_PARTS = 100_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -112,29 +112,29 @@ def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
     edge = end.bitwiseOR((F.coalesce("id", -code) + (1 << 22)).cast("long"))
     edges = edges.select("wid", "block", edge.alias("edge")).groupBy("wid", "block").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     scores = F.lit(np.array(table.scores, np.float64))
-    best = "struct<b:double,x:bigint>"  # x is the edge, negated: of equal scores the smaller start and id wins
-    start = F.struct(F.array(F.struct(F.lit(0.0).alias("b"), F.array().cast("array<int>").alias("ids"))).alias("done"), F.lit(1).alias("e"), F.lit(None).cast(best).alias("best"))
-
     def place(x: Column) -> Column:
         return F.shiftright(x, 24).bitwiseAND(4095).cast("int")
 
     def piece(x: Column) -> Column:
         return x.bitwiseAND((1 << 24) - 1).cast("int") - (1 << 22)
 
-    def close(acc: Column) -> Column:
-        """done with the current position's best appended."""
-        x = -acc["best"]["x"]
-        ids = F.array_append(F.get(acc["done"], place(x))["ids"], piece(x))
-        return F.array_append(acc["done"], F.struct(acc["best"]["b"].alias("b"), ids.alias("ids")))
-
+    # The state is one flat array, for place p the best score at 2 p and the edge that gives it at 2 p + 1 (48 bits, exact as
+    # a double): steps copy their state, so nested states are dear. Edges come in order, so of equal scores the smaller start wins.
     def step(acc: Column, x: Column) -> Column:
-        e = F.shiftright(x, 36).cast("int")
-        reached = F.when(acc["e"] == place(x), acc["best"]["b"]).otherwise(F.get(acc["done"], place(x))["b"])
-        score = reached + F.coalesce(F.get(scores, piece(x)), F.lit(FALLBACK))
-        top = F.greatest(F.when(acc["e"] == e, acc["best"]), F.struct(score.alias("b"), (-x).alias("x")))
-        return F.struct(F.when(acc["e"] == e, acc["done"]).otherwise(close(acc)).alias("done"), e.alias("e"), top.alias("best"))
-
-    path = F.aggregate("edges", start, step, lambda acc: F.element_at(close(acc), -1)["ids"])
+        score = F.get(acc, 2 * place(x)) + F.coalesce(F.get(scores, piece(x)), F.lit(FALLBACK))
+        pair = F.array(score, x.cast("double"))
+        first = F.size(acc) == 2 * F.shiftright(x, 36).cast("int")
+        better = score > F.element_at(acc, -2)
+        return F.when(first, F.concat(acc, pair)).when(better, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 2), pair)).otherwise(acc)
+
+    def back(acc: Column) -> Column:
+        """The edges of the best path, from its end back to its start."""
+        last = F.array(F.element_at(acc, -1).cast("long"))
+        places = F.sequence(F.shiftright(F.size(acc), 1) - 2, F.lit(0), F.lit(-1))
+        return F.aggregate(places, last, lambda out, e: F.when((e > 0) & (e == place(F.element_at(out, -1))), F.array_append(out, F.get(acc, 2 * e + 1).cast("long"))).otherwise(out))
+
+    start = F.array(F.lit(0.0), F.lit(0.0))
+    path = F.aggregate("edges", start, step, lambda acc: F.transform(F.reverse(back(acc)), piece))
     return edges.select("block", path.alias("ids"))
 
 
