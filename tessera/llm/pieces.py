@@ -44,7 +44,7 @@ OTHER = "\ue000"
 MAX_UNIT = 1000
 RANK_SHIFT = 1000
 FALLBACK = -60.0
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Partitions that blocks are dealt over, at most.
 MOST_PARTS = 100_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -122,10 +122,13 @@ def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
     # a double): steps copy their state, so nested states are dear. Edges come in order, so of equal scores the smaller start wins.
     def step(acc: Column, x: Column) -> Column:
         score = F.get(acc, 2 * place(x)) + F.coalesce(F.get(scores, piece(x)), F.lit(FALLBACK))
-        pair = F.array(score, x.cast("double"))
+
+        def put(to: Column) -> Column:
+            return F.array_append(F.array_append(to, score), x.cast("double"))
+
         first = F.size(acc) == 2 * F.shiftright(x, 36).cast("int")
         better = score > F.element_at(acc, -2)
-        return F.when(first, F.concat(acc, pair)).when(better, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 2), pair)).otherwise(acc)
+        return F.when(first, put(acc)).when(better, put(F.slice(acc, F.lit(1), F.size(acc) - 2))).otherwise(acc)
 
     def back(acc: Column) -> Column:
         """The edges of the best path, from its end back to its start."""
