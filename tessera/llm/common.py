@@ -17,14 +17,21 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Temporary folders by application, for sessions without a shared folder; the setting itself is fixed once a session runs.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, found[7:], True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, folder, True)
+        _LOCAL[app] = "file://" + folder
+    return _LOCAL[app]
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
