@@ -10,11 +10,12 @@ A document's set holds the hashes of its distinct five-word shingles. Equal sets
 * The boundary is the size at which the two costs, rows emitted and list entries scanned, add up to least over the size
   histogram of the corpus.
 
-Lists of up to SHORT members offer their pairs; a longer one offers each member with its first, and later rounds take lists
-whose members still differ in component and offer each member its best untested partners, each of another component. A pair goes on
-only if the sets' parity bitmaps allow a link (their distance never exceeds the symmetric difference, so no link is lost), and
-is then verified on whole texts. Rounds end when no untested pair across components is left, so components are those of all
-links, and no group's pairs are all made. 64-bit hashes stand for shingles; collisions are the only source of error.
+Lists of up to SHORT members offer their pairs; a longer one offers each member with its first, and of long lists with equal members
+one goes on. Later rounds take lists whose members still differ in component and offer each member its best untested partners of
+other components: one of each component at first, then any, more in each round. A pair goes on only if the sets' parity bitmaps allow
+a link (their distance never exceeds the symmetric difference, so no link is lost), and is then verified on whole texts. Rounds end
+when no untested pair across components is left, so components are those of all links, and no group's pairs are all made. 64-bit
+hashes stand for shingles; collisions are the only source of error.
 
 Defined cases: null or wordless text has the empty set and links with nothing; fewer than five words are one shingle; repeated
 rows are in one class and keep their rows; an empty table gives an empty result.
@@ -39,8 +40,9 @@ SHINGLE = 5
 HEAVY = 400_000
 #: Lists of up to so many members offer all pairs at once; longer ones offer best partners in rounds.
 SHORT = 32
-#: Partners that a member offers in one round; what is left goes to later rounds.
+#: Partners that a member offers in the first round, and how many times more in each later one, until none is left.
 OFFERS = 12
+MORE = 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -199,35 +201,60 @@ def set_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             a, b = np.concatenate([*a, first[i]]), np.concatenate([*b, s[i]])
             yield pd.DataFrame({"token": 0, "a": np.minimum(a, b), "b": np.maximum(a, b), "n": 0}).drop_duplicates()
             i = k > SHORT
-            yield pd.DataFrame({"token": t[i], "a": s[i], "b": s[i], "n": n[i]})
+            t, s, n = t[i], s[i], n[i]
+            if len(t):  # a list goes on under a digest of its members
+                starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+                mixed = s.view(np.uint64) * _P[0]
+                mixed = (mixed ^ (mixed >> np.uint64(29))) * _P[1]
+                t = np.repeat(np.add.reduceat(mixed, starts), np.diff(np.r_[starts, len(t)])).view(np.int64)
+                yield pd.DataFrame({"token": t, "a": s, "b": s, "n": n}).drop_duplicates()
 
     keys = docs.select("doc_id", "text").mapInPandas(emit, "token long, sig long, n int")
     met = keys.repartition("token").sortWithinPartitions("token", "sig").mapInPandas(meet, "token long, a long, b long, n int")
     met = stash(met, "met")
-    pairs = met.where("a <> b").select("a", "b").distinct()
-    links = _verify(docs, classes, _allowed(pairs, classes))
+    pairs = stash(_allowed(met.where("a <> b").select("a", "b").distinct(), classes), "pairs")
+    repeats = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    links = _verify(stash(_reps(docs, _of(classes, _ends(pairs)), repeats), "texts"), pairs)
     comps = components(links)
-    long = met.where("a = b").select("token", F.col("a").alias("sig"), "n")
-    tested = None
+    long = met.where("a = b").select("token", F.col("a").alias("sig"), "n").distinct()
+    members = tested = None
+    most = OFFERS
     while True:
         now = long.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
         mixed = now.groupBy("token").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("token")
         now = stash(now.join(mixed, "token").select("token", "sig", "n", "comp"), "mixed")
         if now.isEmpty():
             break
-        offered = stash(_offers(now, classes, tested), "offers")
+        if members is None:  # later lists are among these
+            own = stash(_of(classes, now.select("sig").distinct()), "own")
+            members = stash(_reps(docs, own, repeats).join(own.select("sig", "bits"), "sig"), "members")
+        found = stash(_offers(now, members, tested, most), "offers")
+        offered = found.where("a <> b")
         if offered.isEmpty():
             break
-        links = stash(links.unionByName(_verify(docs, classes, offered)), "links")
-        tested = offered if tested is None else stash(tested.unionByName(offered), "tested")
+        links = stash(links.unionByName(_verify(members, offered)), "links")
         comps = components(links)
-        long = now.select("token", "sig", "n")
+        if found.where("a = b").isEmpty():  # no member had more to offer
+            break
+        tested = offered if tested is None else stash(tested.unionByName(offered), "tested")
+        long, most = now.select("token", "sig", "n"), most * MORE
     return rows, comps.withColumnRenamed("node", "sig")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(sig): the classes that pairs name."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+
+
+def _of(classes: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The classes named in sigs; most others are left out before the shuffle."""
+    return marked(classes, F.col("sig"), bit_words(sigs, "sig")).where("__hit").drop("__hit").join(sigs, "sig", "left_semi")
+
+
 def _allowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose sizes and bitmaps allow a link."""
-    own = classes.select("sig", "n", "bits")
+    pairs = stash(pairs, "pairs")
+    own = _of(classes, _ends(pairs)).select("sig", "n", "bits")
     both = pairs.join(own.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a")
     both = both.join(own.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b").where("4 * na >= 3 * nb and 4 * nb >= 3 * na")
 
@@ -242,12 +269,12 @@ def _allowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInPandas(work, "a long, b long")
 
 
-def _reps(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(sig, text) of classes: the text of each class's first row, the other texts filtered before the shuffle."""
+def _reps(docs: DataFrame, classes: DataFrame, repeats: bool) -> DataFrame:
+    """(sig, text) of classes: the text of each class's first row, the other texts filtered before the shuffle. repeats: whether an id occurs twice."""
     reps = classes.select("rep", "sig")
     rows = marked(docs.select(F.col("doc_id").alias("rep"), "text"), F.col("rep"), bit_words(reps, "rep"))
     texts = rows.where("__hit").select("rep", "text").join(reps, "rep")
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+    if not repeats:
         return texts.select("sig", "text")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,8 +284,12 @@ def _reps(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return texts.mapInPandas(check, "sig long, text string").groupBy("sig").agg(F.min("text").alias("text"))
 
 
-def _offers(lists: DataFrame, classes: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """For each member of a long list its nearest partners by bitmap distance, each of another component, among pairs not tested yet."""
+def _offers(lists: DataFrame, members: DataFrame, tested: DataFrame | None, most: int) -> DataFrame:
+    """For each member of a long list its nearest partners by bitmap distance among untested pairs across components, at most so many.
+
+    While nothing is tested, one partner of each component. A member with more partners also gets a row with a = b.
+    """
+    spread = tested is None
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in runs(batches, "token"):
@@ -276,11 +307,13 @@ def _offers(lists: DataFrame, classes: DataFrame, tested: DataFrame | None) -> D
                     if may.any():
                         i = np.flatnonzero(may)
                         i = i[np.argsort(d[i], kind="stable")]
-                        for j in i[np.sort(np.unique(comp[i], return_index=True)[1])[:OFFERS]].tolist():
-                            out.add((min(sig[at], sig[j]), max(sig[at], sig[j])))
+                        took = (i[np.sort(np.unique(comp[i], return_index=True)[1])] if spread else i)[:most]
+                        out.update((min(sig[at], sig[j]), max(sig[at], sig[j])) for j in took.tolist())
+                        if len(took) < len(i):
+                            out.add((sig[at], sig[at]))
             yield pd.DataFrame(sorted(out), columns=["a", "b"])
 
-    rows = lists.join(classes.select("sig", "bits"), "sig")
+    rows = lists.join(members.select("sig", "bits"), "sig")
     if tested is None:
         rows = rows.withColumn("done", F.lit(None).cast("array<long>"))
     else:
@@ -290,11 +323,9 @@ def _offers(lists: DataFrame, classes: DataFrame, tested: DataFrame | None) -> D
     return rows.mapInPandas(work, "a long, b long").distinct()
 
 
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose sets reach the threshold. Members travel to their partner's task as text; a partner with many members is split."""
-    pairs = stash(pairs, "pairs")
-    involved = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    texts = stash(_reps(docs, classes.join(involved, "sig", "left_semi")), "texts")
+def _verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose sets, of texts (sig, text), reach the threshold. Members travel to their partner's task as text; a partner with many members is split."""
+    texts = texts.select("sig", "text")
     salt = F.pmod(F.xxhash64("b"), F.lit(1 << 20))
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / 200).alias("s"))
     keyed = pairs.join(many, "a").select("a", "b", F.pmod(salt, F.col("s")).alias("z"))
