@@ -10,7 +10,7 @@ A document's set holds the hashes of its distinct five-word shingles. Equal sets
 * The boundary is the size at which the two costs, rows emitted and list entries scanned, add up to least over the size
   histogram of the corpus.
 
-Lists of up to SHORT members offer their pairs; a longer one offers each member with its first, and of long lists with equal members
+Lists of up to SHORT members offer their pairs, of which each class tests one first and then those across components; a longer list offers each member with its first, and of long lists with equal members
 one goes on. Later rounds take lists whose members still differ in component and offer each member its best untested partners of
 other components: one of each component at first, then any, more in each round. A pair goes on only if the sets' parity bitmaps allow
 a link (their distance never exceeds the symmetric difference, so no link is lost), and is then verified on whole texts. Rounds end
@@ -118,9 +118,9 @@ def list_keys(tokens: np.ndarray, heavy: np.ndarray, small: int) -> np.ndarray:
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """Parity bitmap with four bits or more a shingle: the distance of two sets' bitmaps, folded to one width, never exceeds their symmetric difference."""
-    bits = 1024
-    while bits < 4 * len(tokens):
+    """Parity bitmap with two bits or more a shingle: the distance of two sets' bitmaps, folded to one width, never exceeds their symmetric difference."""
+    bits = 512
+    while bits < 2 * len(tokens):
         bits *= 2
     odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
@@ -187,8 +187,8 @@ def set_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             t, s, n = t[keep], s[keep], n[keep]
             starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
             count = np.diff(np.r_[starts, len(t)])
-            k, first = np.repeat(count, count), np.repeat(s[starts], count)
-            t, s, n, first, k = (x[k > 1] for x in (t, s, n, first, k))
+            k, first, n_first = (np.repeat(x, count) for x in (count, s[starts], n[starts]))
+            t, s, n, first, n_first, k = (x[k > 1] for x in (t, s, n, first, n_first, k))
             a, b = [], []
             for back in range(1, min(SHORT, len(t))):
                 i = np.flatnonzero((t[back:] == t[:-back]) & (k[back:] <= SHORT))
@@ -197,7 +197,7 @@ def set_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 i = i[(4 * n[i] >= 3 * n[i + back]) & (4 * n[i + back] >= 3 * n[i])]
                 a.append(s[i])
                 b.append(s[i + back])
-            i = np.flatnonzero((k > SHORT) & (s != first))
+            i = np.flatnonzero((k > SHORT) & (s != first) & (4 * n >= 3 * n_first) & (4 * n_first >= 3 * n))
             a, b = np.concatenate([*a, first[i]]), np.concatenate([*b, s[i]])
             yield pd.DataFrame({"token": 0, "a": np.minimum(a, b), "b": np.maximum(a, b), "n": 0}).drop_duplicates()
             i = k > SHORT
@@ -214,7 +214,15 @@ def set_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = stash(met, "met")
     pairs = stash(_allowed(met.where("a <> b").select("a", "b").distinct(), classes), "pairs")
     repeats = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    links = _verify(stash(_reps(docs, _of(classes, _ends(pairs)), repeats), "texts"), pairs)
+    texts = stash(_reps(docs, _of(classes, _ends(pairs)), repeats), "texts")
+    one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = _verify(texts, one)
+    comps = components(links)
+    rest = pairs  # what these links have not brought into one component yet
+    for end in "ab":
+        rest = rest.join(comps.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}")), end, "left")
+    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(one, ["a", "b"], "left_anti")
+    links = stash(links.unionByName(_verify(texts, stash(rest, "rest"))), "links")
     comps = components(links)
     long = met.where("a = b").select("token", F.col("a").alias("sig"), "n").distinct()
     members = tested = None
