@@ -3,9 +3,10 @@
 A line's set holds its character shingles: the ``SHINGLE`` characters of the lower-cased line from each word start on (fewer at
 the end). A shingle row carries its hash; a minimum over the hash xor-ed with a constant picks a random member of the set, so
 equal minima have the Jaccard similarity as their probability. Twelve of them, in six bands of two, bring lines together (at
-similarity 0.75 a pair meets with probability 0.993, above it more often). In a band each line is paired with the band's first
-line and with the one before it, so a band of m lines gives at most 2 m pairs; exact Jaccard on the sets decides, and
-distributed union-find gives components. Of each component, exact repeats included, only the first line in order of
+similarity 0.75 a pair meets with probability 0.993, above it more often). In a band each line is paired first with the band's first
+line and with the one before it; exact Jaccard on the sets decides, and distributed union-find gives components. Bands whose
+lines still differ in component go on until no pair that may be similar is left untested across components: short ones with all
+those pairs, long ones by inverted lists over the rare shingles of their lines, which lose no similar pair. Of each component, exact repeats included, only the first line in order of
 (doc_id, line number) stays.
 
 All column functions and joins; the minima come from a partial aggregate beside the scan, so line texts are not shuffled. Lines
@@ -26,6 +27,8 @@ from .common import bit_words, components, marked, stash
 SHINGLE = 12
 BANDS = 6
 THRESHOLD = 0.75
+#: Bands of up to so many lines have all pairs across components tested; longer ones go by inverted lists.
+SHORT = 32
 # Constants that the shingle hashes are xor-ed with.
 MASKS = [-7046029254386353131, 4354685564936845355, -4417276706812531889, 1609587929392839161, -2960836687068489003, 5545529020109919103, -49064778989728563, 8387220255154660723, -1800455987208640293, 2891336453234455763, -6562520338478146393, 3935559000370003845]
 
@@ -49,18 +52,88 @@ def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     least = rows.groupBy("h").agg(*[F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)])
     bands = F.array(*[F.xxhash64(F.lit(i), F.col(f"m{2 * i}"), F.col(f"m{2 * i + 1}")) for i in range(BANDS)])
     rows = least.select("h", F.explode(bands).alias("band"))
-    order = Window.partitionBy("band").orderBy("h")
-    rows = rows.select("h", F.first("h").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), F.lag("h").over(order).alias("before"))
-    pairs = rows.where("before is not null").select("h", F.explode(F.array_distinct(F.array("first", "before"))).alias("o"))
-    pairs = stash(pairs.select(F.col("o").alias("a"), F.col("h").alias("b")).distinct(), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    rows = stash(_beside(rows.withColumn("k", F.count("*").over(Window.partitionBy("band"))), "band").where("k > 1"), "line-bands")
+    pairs = stash(_offered(rows), "line-pairs")
+    wanted = rows.select("h").distinct()
     texts = marked(lines.select("h", "line"), F.col("h"), bit_words(wanted, "h")).where("__hit").select("h", "line")
     texts = texts.join(wanted, "h", "left_semi").groupBy("h").agg(F.max("line").alias("line"))
     sets = stash(texts.select("h", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("set")), "line-sets")
+    comps = components(_linked(pairs, sets, threshold))
+    bands = stash(_mixed(rows.select("band", "h", "k"), comps, "band"), "mixed-bands")
+    if bands.isEmpty():
+        return comps
+    short = bands.where(F.col("k") <= SHORT).select("band", "h")
+    lists = stash(_head_lists(bands.where(F.col("k") > SHORT), sets, threshold), "line-lists")
+    if not lists.isEmpty():
+        fresh = stash(_apart(_offered(_beside(lists, "band")), comps).join(pairs, ["a", "b"], "left_anti"), "line-pairs")
+        comps = _joined(comps, _linked(fresh, sets, threshold))
+        pairs = pairs.unionByName(fresh)
+        lists = _mixed(lists, comps, "band")
+    left = _mixed(short.unionByName(lists.select("band", "h")), comps, "band").select("band", "h", "c")
+    left = stash(left.join(sets.select("h", F.size("set").alias("n")), "h"), "mixed-lists")
+    if left.isEmpty():
+        return comps
+    other = left.select("band", F.col("h").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
+    near = (F.col("n") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("n"))
+    fresh = left.join(other, "band").where((F.col("h") < F.col("b")) & (F.col("c") != F.col("cb")) & near)
+    fresh = stash(fresh.select(F.col("h").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"), "line-pairs")
+    return _joined(comps, _linked(fresh, sets, threshold))
+
+
+def _beside(lists: DataFrame, key: str) -> DataFrame:
+    """lists (key, h) with the list's first line and the line before, by hash."""
+    order = Window.partitionBy(key).orderBy("h")
+    return lists.withColumns({"first": F.first("h").over(order.rowsBetween(Window.unboundedPreceding, 0)), "before": F.lag("h").over(order)})
+
+
+def _offered(lists: DataFrame) -> DataFrame:
+    """The pairs (a, b) of each line with its list's first and with the one before."""
+    pairs = lists.where("before is not null").select("h", F.explode(F.array_distinct(F.array("first", "before"))).alias("o"))
+    return pairs.select(F.col("o").alias("a"), F.col("h").alias("b")).distinct()
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose sets reach the threshold."""
     both = pairs.join(sets.select(F.col("h").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("set").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    linked = both.where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    return components(linked)
+    return both.where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def _in(rows: DataFrame, comps: DataFrame, node: str, name: str) -> DataFrame:
+    """rows with the component of a node; a node without links is its own."""
+    return rows.join(comps.select(F.col("node").alias(node), F.col("comp").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def _mixed(lists: DataFrame, comps: DataFrame, key: str) -> DataFrame:
+    """The lists whose lines differ in component, which is c."""
+    rows = _in(lists.drop("c"), comps, "h", "c")
+    return rows.join(rows.groupBy(key).agg((F.min("c") < F.max("c")).alias("mixed")).where("mixed").select(key), key, "left_semi")
+
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs across components."""
+    return _in(_in(pairs, comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").select("a", "b")
+
+
+def _head_lists(bands: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(band, h): inverted lists of long bands. Within a band rare shingles come first; a line misses at most n - ceil(threshold n) of
+    a similar line's shingles, so both have one of their first n - ceil(threshold n) + 1 in common, and no similar pair is lost."""
+    rows = bands.join(sets, "h").select("band", "h", F.explode("set").alias("x"))
+    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("band", "x")))
+    heads = rows.groupBy("band", "h").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("s"))
+    n = F.size("s")
+    heads = heads.select("band", "h", F.explode(F.slice("s", F.lit(1), n - F.ceil(threshold * n).cast("int") + 1)).alias("s")).where("s.df > 1")
+    return heads.select(F.xxhash64("band", "s.x").alias("band"), "h")
+
+
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps after further links; union-find runs over the components that these name only."""
+    links = stash(_in(_in(links, comps, "a", "ca"), comps, "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
+    more = components(links)
+    new = more.join(comps, "node", "left_anti")
+    to = more.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    old = comps.join(to, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return stash(old.unionByName(new), "comps")
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -136,6 +136,18 @@ def test_lines(docs, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_many_kinds_in_a_band(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    head = " ".join(word() for _ in range(30))
+    rows = []
+    for kind in range(150):
+        own = " ".join(word() for _ in range(16))
+        rows += [(kind, f"{head} {own} {word()}"), (1000 + kind, f"{head} {own} {word()}")]
+    gone = lines.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.d, r.gone) for r in gone) == [(1000 + kind, [0]) for kind in range(150)]
+
+
 def test_suffix_array():
     rng = random.Random(4)
     for _ in range(500):
