@@ -1,7 +1,7 @@
 """Operator 4 [native]: fuzzy line dedup by MinHash.
 
-A line's set holds its character shingles: the ``SHINGLE`` characters of the lower-cased line from each word start on (fewer at
-the end). A shingle row carries its hash; a minimum over the hash xor-ed with a constant picks a random member of the set, so
+A line's set holds its character shingles: every ``SHINGLE`` characters in a row of the lower-cased line, from each position on; a
+shorter line is one shingle. A shingle row carries its hash; a minimum over the hash xor-ed with a constant picks a random member of the set, so
 equal minima have the Jaccard similarity as their probability. Twelve of them, in six bands of two, bring lines together (at
 similarity 0.75 a pair meets with probability 0.993, above it more often). In a band each line is paired first with the band's first
 line and with the one before it; exact Jaccard on the sets decides, and distributed union-find gives components. Bands whose
@@ -34,9 +34,9 @@ MASKS = [-7046029254386353131, 4354685564936845355, -4417276706812531889, 160958
 
 
 def shingles(line: Column) -> Column:
-    """Hashes of a line's character shingles, repeats included."""
-    found = F.regexp_extract_all(F.lower(line), F.lit(r"(?<![^ \t\r])(?=([^ \t\r].{0,%d}))" % (SHINGLE - 1)), F.lit(1))
-    return found
+    """A line's character shingles, one from each position, repeats included."""
+    # A look ahead at every place; places within a surrogate pair are none.
+    return F.regexp_extract_all(F.lower(line), F.lit(r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(.{%d}|\A.{1,%d}\z))" % (SHINGLE, SHINGLE - 1)), F.lit(1))
 
 
 def line_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -136,6 +136,17 @@ def test_lines(docs, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_without_spaces(spark):
+    rows = ["https://www.example.org/reports/2021/a", "https://www.example.org/about/contact", "今天天气很好我们一起去公园散步然后回家", "今天天气很好我们一起去公园散步不过下雨", "short", "shorter"]
+    long = "".join(chr(0x4E00 + 7 * i % 2000) for i in range(200)) + "😀" * 3
+    rows += [long, long[:150] + "x" + long[151:], long[:12] + long[:11:-1]]
+    frame = spark.createDataFrame(enumerate(rows), "doc_id long, text string")
+    assert [r.d for r in lines.removed_lines(frame).collect()] == [7]
+    found = frame.select(lines.shingles(F.col("text")).alias("s")).collect()
+    low = [t.lower() for t in rows]
+    assert [r.s for r in found] == [[t[i : i + lines.SHINGLE] for i in range(max(1, len(t) - lines.SHINGLE + 1))] for t in low]
+
+
 def test_lines_of_many_kinds_in_a_band(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
