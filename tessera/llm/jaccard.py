@@ -360,23 +360,36 @@ def _verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return stash(both.mapInPandas(compare, "a long, b long"), "links")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+def _components(docs: DataFrame) -> DataFrame:
+    """doc_id, n, sig and component_id of every row of docs."""
     rows, comps = set_rows(docs)
     rows = rows.join(comps, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     low = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("low"))
-    rows = rows.join(low, "comp", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
+    return rows.join(low, "comp", "left").select("doc_id", "n", "sig", F.coalesce("low", "doc_id").alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    return _components(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id; columns of docs. Equal rows of one id and text keep one row."""
-    found = stash(jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    """One document of each component, the one with the smallest id; columns of docs. Equal rows of one id and text keep one row.
+
+    Rows with one id and other texts are other documents: where ids repeat, the set's digest tells them apart.
+    """
+    found = stash(_components(docs).where("doc_id <> component_id").select("doc_id", "sig").distinct(), "dropped")
     rows = marked(docs, F.col("doc_id"), bit_words(found, "doc_id"))
-    kept = rows.where("__hit").join(found, "doc_id", "left_anti").select(docs.columns).unionByName(rows.where("not __hit").select(docs.columns))
+    hit, rest = rows.where("__hit"), rows.where("not __hit").select(docs.columns)
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id", "text"])
+        return hit.join(found, "doc_id", "left_anti").select(docs.columns).unionByName(rest)
+
+    @F.pandas_udf("long")
+    def sig(texts: pd.Series) -> pd.Series:
+        return pd.Series([set_digest(t) if len(t) else None for _, t in _batches(texts.to_frame("text"))], dtype="Int64")
+
+    kept = hit.withColumn("__sig", sig("text")).join(found.withColumnRenamed("sig", "__sig"), ["doc_id", "__sig"], "left_anti")
+    return kept.select(docs.columns).unionByName(rest).dropDuplicates(["doc_id", "text"])
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
