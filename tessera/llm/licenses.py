@@ -1,11 +1,12 @@
 """Operator 3 [native]: licence scans by sentence rules.
 
-Texts are cut into sentences, normalised (lower case, runs of other characters than a-z and 0-9 become one space) and mapped to
-identifiers of known licence sentences. The identifiers of a text, in order, form a sequence; ordered rules then consume it: a
+Texts lose comment leaders, are cut into parts at sentence ends and line feeds, normalised (lower case, runs of other characters
+than a-z and 0-9 become one space) and mapped to identifiers of known licence sentences. A known sentence may go over several
+parts of a paragraph, as in wrapped texts; a part that belongs to none is judged alone. The identifiers of a text, in order, form a sequence; ordered rules then consume it: a
 rule that matches names its licence and removes its part, so that a full licence text is found before a reference inside it.
 Everything is one projection of column functions: no shuffle, no Python on the executors.
 
-Defined cases: null or empty text has no sentence and verdict none; a sentence that speaks of a licence but is not known gives
+Defined cases: null or empty text has no sentence and verdict none; a part that speaks of a licence but is not known gives
 the identifier u and, if no rule matches, the verdict unknown; repeats of a sentence count each time, its licence once;
 repeated rows are judged alike; an empty table gives an empty result.
 """
@@ -57,14 +58,27 @@ RULES = [
 CUE = "licen[sc]e|permission|redistribut|copyright|free software|warranty"
 
 
-def sentences(text: Column) -> Column:
-    cut = F.split(F.regexp_replace(text, r"([.!?;:])[ \t\r\n]+", "$1\n"), "\n")
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+#: Parts meet at a line feed, paragraphs at this character.
+_PARAGRAPH = "\x01"
+
+
+def parts(text: Column) -> Column:
+    """The normalised text: parts, cut at sentence ends and line feeds, joined by line feeds; blank lines become paragraph marks."""
+    lines = F.regexp_replace(F.lower(text), r"(?md)^[^a-z0-9\n]+", "")  # comment leaders, indents, list marks
+    cut = F.regexp_replace(F.regexp_replace(lines, r"\n{2,}", _PARAGRAPH), r"([.!?;:])[ \t\r\n]+", "$1\n")
+    return F.trim(F.regexp_replace(F.regexp_replace(cut, r"[^a-z0-9\n\x01]+", " "), r" *([\n\x01]) *", "$1"))
+
+
+def _units() -> str:
+    """Pattern of a known sentence over one or several whole parts of a paragraph, or else of one part."""
+    known = sorted((t for texts in SENTENCES.values() for t in texts), key=len, reverse=True)
+    return r"(?<![^\n\x01])(?:(?:%s)(?![^\n\x01])|[^\n\x01]+)" % "|".join(t.replace(" ", "[ \\n]") for t in known)
 
 
 def sentence_ids(text: Column) -> Column:
     known = F.create_map(*[F.lit(x) for k, texts in SENTENCES.items() for t in texts for x in (t, k)])
-    ids = F.transform(sentences(text), lambda s: F.coalesce(F.try_element_at(known, s), F.when(s.rlike("(^| )licen[sc]e"), F.lit("u"))))
+    units = F.transform(F.regexp_extract_all(parts(text), F.lit(_units()), F.lit(0)), lambda s: F.translate(s, "\n", " "))
+    ids = F.transform(units, lambda s: F.coalesce(F.try_element_at(known, s), F.when(s.rlike("(^| )licen[sc]e"), F.lit("u"))))
     none = F.array().cast("array<string>")
     return F.when(F.lower(text).rlike(CUE), F.filter(ids, lambda x: x.isNotNull())).otherwise(none)
 
