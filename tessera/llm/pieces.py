@@ -1,6 +1,6 @@
 """Operator 10: SentencePiece encoding and decoding over a relational lattice.
 
-A text becomes units: a space is written as the piece mark, a mark opens a unit, a line feed is a unit, and letters and other
+A text becomes units: a space is written as the piece mark, a run of marks opens a unit, a line feed is a unit, and letters and other
 characters part where no piece of the table joins them. Documents are dealt into blocks of like size; the distinct units of a block are its words. Within a block, all in the place where the shuffle by block
 has put it:
 
@@ -18,7 +18,7 @@ Decoding looks up each id's bytes, writes marks as spaces, joins byte pieces and
 exactly, a literal piece mark included (it goes by bytes).
 
 Defined cases: null text has null ids in ``encode`` and counts 0 in the query; empty text has no ids; runs of over ``MAX_UNIT``
-characters without a space or line feed are units of that length; repeated rows keep their rows; an empty table gives an empty
+spaces, or of other characters without a space or line feed, are units of that length, and no piece spans two of them; repeated rows keep their rows; an empty table gives an empty
 result.
 """
 
@@ -48,9 +48,10 @@ BLOCK_BYTES = 8 << 20
 #: Partitions that blocks are dealt over, at most.
 MOST_PARTS = 100_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-_UNITS = rf"\n|{MARK}?[{_LETTER}]{{1,{MAX_UNIT}}}|{MARK}?[^{_LETTER}{MARK}\n]{{1,{MAX_UNIT}}}|{MARK}"
+_MARKS = rf"{MARK}{{0,{MAX_UNIT}}}"
+_UNITS = rf"\n|{_MARKS}[{_LETTER}]{{1,{MAX_UNIT}}}|{_MARKS}[^{_LETTER}{MARK}\n]{{1,{MAX_UNIT}}}|{MARK}{{1,{MAX_UNIT}}}"
 #: Units for tables with pieces that hold both letters and other characters.
-_WHOLE = rf"\n|{MARK}?[^{MARK}\n]{{1,{MAX_UNIT}}}|{MARK}"
+_WHOLE = rf"\n|{_MARKS}[^{MARK}\n]{{1,{MAX_UNIT}}}|{MARK}{{1,{MAX_UNIT}}}"
 
 
 class PieceTable:
@@ -72,8 +73,7 @@ class PieceTable:
                 self.raw.append(b"")
             else:
                 self.raw.append(piece.replace(MARK, " ").encode())
-                if set(piece) != {MARK} or piece == MARK:
-                    self.rows.append((piece, i, -math.log(RANK_SHIFT - model.get_score(i)) - 5))
+                self.rows.append((piece, i, -math.log(RANK_SHIFT - model.get_score(i)) - 5))
         self.spelled = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.scores = [FALLBACK] * model.get_piece_size()
         for _, i, score in self.rows:
