@@ -1,4 +1,4 @@
-"""PMFs, entropies, mutual information, divergences and spectra."""
+"""PMFs, entropies, mutual information, divergences and spectra (N9, N11-N17, N20 uniform, N21, N23, N27, W7, O4)."""
 
 from __future__ import annotations
 
@@ -58,19 +58,54 @@ def consecutive_kl(pmf: DataFrame, keys=("lab", "laser"), step: str = "day", eps
     return rows.groupBy(*keys, step).agg(F.sum(p * F.log(base, p / q)).alias("fwd"), F.sum(q * F.log(base, q / p)).alias("bwd"))
 
 
-def psd(vectors: DataFrame, n_fft: int, keys=("mid", "channel")) -> DataFrame:
-    """Power of the demeaned signal by frequency, in Arrow batches; a signal with a missing sample has null power."""
+WINDOWS = {"boxcar": np.ones, "hann": np.hanning, "hamming": np.hamming, "blackman": np.blackman}
+
+
+def _spectra(vectors: DataFrame, keys, power) -> DataFrame:
+    """keys and power(samples) of each signal, in Arrow batches."""
 
     def work(batches):
         for pdf in batches:
-            x = np.stack([np.asarray(v, float)[:n_fft] for v in pdf["samples"]]) if len(pdf) else np.zeros((0, n_fft))
-            power = np.abs(np.fft.rfft(x - x.mean(axis=1, keepdims=True), n=n_fft)) ** 2 / n_fft
-            yield pd.concat([pdf[list(keys)].reset_index(drop=True), pd.DataFrame({"power": list(power)})], axis=1)
+            found = [power(np.zeros(0) if v is None else np.asarray(v, float)) for v in pdf["samples"]]
+            yield pd.concat([pdf[list(keys)].reset_index(drop=True), pd.DataFrame({"power": pd.Series(found, dtype=object)})], axis=1)
 
     kinds = ", ".join(f"{k} {vectors.schema[k].dataType.simpleString()}" for k in keys)
     return vectors.select(*keys, "samples").mapInPandas(work, f"{kinds}, power array<double>")
 
 
+def full_spectrum(vectors: DataFrame, keys=("mid", "channel")) -> DataFrame:
+    """N13's spectrum: power of the demeaned signal over its full length; a missing sample makes it NaN, an empty signal has null power."""
+    return _spectra(vectors, keys, lambda x: np.abs(np.fft.rfft(x - x.mean())) ** 2 if len(x) else None)
+
+
+def psd(vectors: DataFrame, n_fft: int, keys=("mid", "channel"), blocks: int | None = None, window: str = "boxcar", max_bad: float = 0.05) -> DataFrame:
+    """N21's spectrum: mean power of the demeaned, windowed blocks of n_fft samples, at N20's uniform starts.
+
+    blocks: how many; as many as cover the whole signal if None. A block with a larger share of non-finite samples than max_bad is
+    left out, else these count as 0. A signal without a usable block, as one shorter than n_fft, has null power.
+    """
+    w = WINDOWS[window](n_fft)
+
+    def power(x):
+        last = len(x) - n_fft
+        if last < 0:
+            return None
+        count = -(-len(x) // n_fft) if blocks is None else max(1, blocks)
+        starts = [last // 2] if count == 1 else np.linspace(0, last, count).round().astype(int) if last else [0]
+        total, used = np.zeros(n_fft // 2 + 1), 0
+        for s in starts:
+            block = x[s : s + n_fft]
+            bad = ~np.isfinite(block)
+            if bad.mean() > max_bad:
+                continue
+            block = np.where(bad, 0.0, block)
+            total += np.abs(np.fft.rfft((block - block.mean()) * w)) ** 2 / n_fft
+            used += 1
+        return total / used if used else None
+
+    return _spectra(vectors, keys, power)
+
+
 def bands(spectra: DataFrame, n_bands: int, keys=("mid", "channel")) -> DataFrame:
     """Energy share of equal bands of frequencies; the last band holds the last edge."""
     rows = spectra.select(*keys, F.size("power").alias("n"), F.posexplode("power").alias("f", "e"))
