@@ -17,15 +17,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Temporary folders by application, for sessions without a shared folder; the setting itself is fixed once a session runs.
+#: Temporary folders by application, for local sessions without a shared folder; the setting itself is fixed once a session runs.
 _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session without it gets a temporary one; a cluster raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         folder = tempfile.mkdtemp(prefix="tessera-")
@@ -38,7 +40,26 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``stash`` that no later plan reads."""
+    for df in tables:
+        if path := getattr(df, "_stashed", None):
+            jvm = df.sparkSession.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def parts_for(n: int, per: int, least: int = 1, most: int = 1 << 20) -> int:
@@ -75,8 +96,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Distributed union-find: (node, comp) with comp the smallest reachable node, for every node of an edge.
 
     Alternates large-star and small-star steps: every node hooks its neighbours to the smallest one it knows. DataFrame
-    operations only; each round is a table in the shared folder. A hub's neighbours are never gathered: the minimum comes
-    from a partial aggregate and is joined back, so that Spark can split a hub's rows.
+    operations only; each round is a table in the shared folder and replaces the one before. A hub's neighbours are never
+    gathered: the minimum comes from a partial aggregate and is joined back, so that Spark can split a hub's rows.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now = stash(now, "edges")
@@ -87,8 +108,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        last, now = now, small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = stash(now, "edges")
+        forget(last)
         ends = now.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
         ends = ends.unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         if not ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").count():
@@ -97,13 +119,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def bit_words(ids: DataFrame, name: str) -> DataFrame:
-    """(__w, __bits): a bitmap of 2**22 bits over hashed ids as at most 65,536 rows, built with column functions; that bound is why it may be broadcast."""
+    """(__w, __bits): a bitmap of 2**22 bits over hashed ids as at most 65,536 rows, built with column functions; that bound is why it may be broadcast.
+
+    It only saves shuffling: where it holds so many ids that most rows hit, the join behind it does the work.
+    """
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(F.xxhash64(name), 42).bitwiseAND(63).cast("int"))
     return ids.select(F.shiftrightunsigned(F.xxhash64(name), 48).alias("__w"), one.alias("__b")).groupBy("__w").agg(F.bit_or("__b").alias("__bits"))
 
 
-def marked(df: DataFrame, key: Column, words: DataFrame) -> DataFrame:
-    """df with __hit: false only where key is surely not among the ids of words."""
+def marked(df: DataFrame, key: Column, words: DataFrame, hit: str = "__hit") -> DataFrame:
+    """df with the column hit: false only where key is surely not among the ids of words."""
+    w, own, bits = free(df, "__w"), free(df, "__bit"), free(df, "__bits")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(F.xxhash64(key), 42).bitwiseAND(63).cast("int"))
-    rows = df.withColumns({"__w": F.shiftrightunsigned(F.xxhash64(key), 48), "__bit": bit}).join(F.broadcast(words), "__w", "left")
-    return rows.withColumn("__hit", F.coalesce(F.col("__bits").bitwiseAND(F.col("__bit")) != 0, F.lit(False))).drop("__w", "__bit", "__bits")
+    rows = df.withColumns({w: F.shiftrightunsigned(F.xxhash64(key), 48), own: bit}).join(F.broadcast(words.withColumnsRenamed({"__w": w, "__bits": bits})), w, "left")
+    return rows.withColumn(hit, F.coalesce(F.col(bits).bitwiseAND(F.col(own)) != 0, F.lit(False))).drop(w, own, bits)

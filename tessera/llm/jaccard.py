@@ -10,9 +10,11 @@ A document's set holds the hashes of its distinct five-word shingles. Equal sets
 * The boundary is the size at which the two costs, rows emitted and list entries scanned, add up to least over the size
   histogram of the corpus.
 
-Lists of up to SHORT members offer their pairs, of which each class tests one first and then those across components; a longer list offers each member with its first, and of long lists with equal members
-one goes on. Later rounds take lists whose members still differ in component and offer each member its best untested partners of
-other components: one of each component at first, then any, more in each round. A pair goes on only if the sets' parity bitmaps allow
+Lists of up to SHORT members offer their pairs, of which each class tests one first and then those across components; a longer list
+offers each member with its first and with the one before, and of long lists with equal members
+one goes on. Later rounds take lists whose members still differ in component. There each member outside the list's largest
+component is offered its nearest untested partners of other components, a few at first and more in each round; a list of many
+members is dealt to several tasks by these members. A pair goes on only if the sets' parity bitmaps allow
 a link (their distance never exceeds the symmetric difference, so no link is lost), and is then verified on whole texts. Rounds end
 when no untested pair across components is left, so components are those of all links, and no group's pairs are all made. 64-bit
 hashes stand for shingles; collisions are the only source of error.
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bit_words, components, marked, runs, stash
@@ -40,9 +42,11 @@ SHINGLE = 5
 HEAVY = 400_000
 #: Lists of up to so many members offer all pairs at once; longer ones offer best partners in rounds.
 SHORT = 32
-#: Partners that a member offers in the first round, and how many times more in each later one, until none is left.
-OFFERS = 12
-MORE = 16
+#: Partners that a member is offered in the first round, and how many times more in each later one, until none is left.
+OFFERS = 2
+MORE = 8
+#: Bitmap comparisons of a long list that one task makes, about.
+COMPARED = 16_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -135,8 +139,8 @@ def set_digest(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _stats(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, dict[int, int]]:
-    """One pass over the texts: rows (doc_id, n, sig), classes (sig, rep, n, bits), heavy shingles, size histogram."""
+def _stats(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, dict[int, int], float]:
+    """One pass over the texts: rows (doc_id, n, sig), classes (sig, rep, n, bits), heavy shingles, size histogram, and the length of the list that a light shingle's entry stands in, on average."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -155,18 +159,23 @@ def _stats(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, dict[int,
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = stash(docs.select("doc_id", "text").mapInPandas(work, f"doc_id {kind}, n long, sig long, bits binary, token long"), "sets")
-    heavy = found.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 4").orderBy(F.desc("n"), "token").limit(HEAVY)
-    top = np.sort(heavy.select("token").toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64))  # at most HEAVY
+    often = found.where("token is not null").groupBy("token").agg(F.sum("n").alias("n"))
+    heavy = often.where("n >= 4").orderBy(F.desc("n"), "token").limit(HEAVY).select("token", "n").toArrow()  # at most HEAVY
+    top = np.sort(heavy["token"].to_numpy().astype(np.int64).view(np.uint64))
+    least = int(min(heavy["n"].to_pylist(), default=4)) if len(top) == HEAVY else 4
+    light = often.where(F.col("n") < least).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2")).first()
+    entries = found.where("token is null").agg(F.sum("n")).first()[0] or 0
+    scanned = max(1.0, (entries - (light["n"] or 0) + (light["n2"] or 0)) / max(1, entries))
     rows = found.where("token is null").select("doc_id", "n", "sig")
     classes = found.where("token is null and sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits"))
     coarse = rows.groupBy(F.least("n", F.lit(64)).alias("n")).count().collect()  # at most 65 rows
-    return rows, stash(classes, "classes"), top, {int(r["n"]): int(r["count"]) for r in coarse}
+    return rows, stash(classes, "classes"), top, {int(r["n"]): int(r["count"]) for r in coarse}, scanned
 
 
 def set_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows (doc_id, n, sig) of every row of docs, and (sig, comp) for classes in a component of several."""
-    rows, classes, heavy, histogram = _stats(docs)
-    small = boundary(histogram, scanned=2.0)
+    rows, classes, heavy, histogram, scanned = _stats(docs)
+    small = boundary(histogram, scanned)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -180,7 +189,7 @@ def set_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     yield pd.DataFrame({"token": np.concatenate([k for k, _ in out.values()]), "sig": np.repeat(np.array(list(out), np.int64), count), "n": np.repeat(np.array([n for _, n in out.values()], np.int32), count)})
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Pairs of lists with up to SHORT classes; of longer lists the pairs with the first member, and the members."""
+        """Pairs of lists with up to SHORT classes; of longer lists the pairs with the first member and with the one before, and the members."""
         for pdf in runs(batches, "token"):
             t, s, n = (pdf[c].to_numpy() for c in ("token", "sig", "n"))
             keep = np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])]
@@ -198,7 +207,8 @@ def set_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 a.append(s[i])
                 b.append(s[i + back])
             i = np.flatnonzero((k > SHORT) & (s != first) & (4 * n >= 3 * n_first) & (4 * n_first >= 3 * n))
-            a, b = np.concatenate([*a, first[i]]), np.concatenate([*b, s[i]])
+            j = 1 + np.flatnonzero((t[1:] == t[:-1]) & (k[1:] > SHORT) & (4 * n[1:] >= 3 * n[:-1]) & (4 * n[:-1] >= 3 * n[1:]))
+            a, b = np.concatenate([*a, first[i], s[j - 1]]), np.concatenate([*b, s[i], s[j]])
             yield pd.DataFrame({"token": 0, "a": np.minimum(a, b), "b": np.maximum(a, b), "n": 0}).drop_duplicates()
             i = k > SHORT
             t, s, n = t[i], s[i], n[i]
@@ -236,14 +246,11 @@ def set_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if members is None:  # later lists are among these
             own = stash(_of(classes, now.select("sig").distinct()), "own")
             members = stash(_reps(docs, own, repeats).join(own.select("sig", "bits"), "sig"), "members")
-        found = stash(_offers(now, members, tested, most), "offers")
-        offered = found.where("a <> b")
+        offered = stash(_offers(now, members, tested, most), "offers")
         if offered.isEmpty():
             break
         links = stash(links.unionByName(_verify(members, offered)), "links")
         comps = components(links)
-        if found.where("a = b").isEmpty():  # no member had more to offer
-            break
         tested = offered if tested is None else stash(tested.unionByName(offered), "tested")
         long, most = now.select("token", "sig", "n"), most * MORE
     return rows, comps.withColumnRenamed("node", "sig")
@@ -293,42 +300,43 @@ def _reps(docs: DataFrame, classes: DataFrame, repeats: bool) -> DataFrame:
 
 
 def _offers(lists: DataFrame, members: DataFrame, tested: DataFrame | None, most: int) -> DataFrame:
-    """For each member of a long list its nearest partners by bitmap distance among untested pairs across components, at most so many.
-
-    While nothing is tested, one partner of each component. A member with more partners also gets a row with a = b.
-    """
-    spread = tested is None
+    """(a, b): for each member of a long list, those of the list's largest component apart, its nearest partners by bitmap distance
+    among untested pairs across components, at most so many; over all its lists the nearest count."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in runs(batches, "token"):
-            out = set()
-            for _, g in pdf.groupby("token", sort=False):
+        for pdf in runs(batches, "key"):
+            out = []
+            for _, g in pdf.groupby(["key", "token", "z"], sort=False):
                 n, comp, sig, done = g["n"].to_numpy(np.int64), g["comp"].to_numpy(), g["sig"].to_numpy(), g["done"].tolist()
-                sizes = np.array([len(b) for b in g["bits"]])
-                size = int(sizes.min())
+                size = min(map(len, g["bits"]))
                 bits = np.stack([folded(b, size) for b in g["bits"]])
-                for at in range(len(g)):
-                    d = np.bitwise_count(bits ^ bits[at]).sum(1, dtype=np.int64)
-                    may = (7 * d <= n + n[at]) & (4 * n >= 3 * n[at]) & (4 * n[at] >= 3 * n) & (comp != comp[at])
+                kinds, kind, count = np.unique(comp, return_inverse=True, return_counts=True)
+                asks = (kind != count.argmax()) & (sig % g["s"].iat[0] == g["z"].iat[0])
+                for at in np.flatnonzero(asks).tolist():
+                    may = (4 * n >= 3 * n[at]) & (4 * n[at] >= 3 * n) & (comp != comp[at])
                     if done[at] is not None and len(done[at]):
                         may &= ~np.isin(sig, done[at])
-                    if may.any():
-                        i = np.flatnonzero(may)
-                        i = i[np.argsort(d[i], kind="stable")]
-                        took = (i[np.sort(np.unique(comp[i], return_index=True)[1])] if spread else i)[:most]
-                        out.update((min(sig[at], sig[j]), max(sig[at], sig[j])) for j in took.tolist())
-                        if len(took) < len(i):
-                            out.add((sig[at], sig[at]))
-            yield pd.DataFrame(sorted(out), columns=["a", "b"])
-
-    rows = lists.join(members.select("sig", "bits"), "sig")
+                    i = np.flatnonzero(may)
+                    d = np.bitwise_count(bits[i] ^ bits[at]).sum(1, dtype=np.int64)
+                    fine = 7 * d <= n[i] + n[at]
+                    i, d = i[fine], d[fine]
+                    took = np.argsort(d, kind="stable")[:most]
+                    out += zip([sig[at]] * len(took), sig[i[took]].tolist(), d[took].tolist(), strict=True)
+            yield pd.DataFrame(sorted(set(out)), columns=["own", "other", "d"])
+
+    parts = lists.groupBy("token").agg(F.ceil(F.count("*") * F.count("*") / COMPARED).cast("int").alias("s"))
+    rows = lists.join(parts, "token").withColumn("z", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    rows = rows.join(members.select("sig", "bits"), "sig").withColumn("key", F.xxhash64("token", "z"))
     if tested is None:
         rows = rows.withColumn("done", F.lit(None).cast("array<long>"))
     else:
         both = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rows = rows.join(both.groupBy(F.col("a").alias("sig")).agg(F.collect_set("b").alias("done")), "sig", "left")
-    rows = rows.repartition("token").sortWithinPartitions("token", "sig")
-    return rows.mapInPandas(work, "a long, b long").distinct()
+    rows = rows.repartition("key").sortWithinPartitions("key", "token", "z", "sig")
+    found = rows.mapInPandas(work, "own long, other long, d long").distinct()
+    best = F.row_number().over(Window.partitionBy("own").orderBy("d", "other"))
+    found = found.withColumn("r", best).where(F.col("r") <= most)
+    return found.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct()
 
 
 def _verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Operator 4 [native]: fuzzy line dedup by MinHash.
 
 A line's set holds its character shingles: every ``SHINGLE`` characters in a row of the lower-cased line, from each position on; a
-shorter line is one shingle. A shingle row carries its hash; a minimum over the hash xor-ed with a constant picks a random member of the set, so
+shorter line is one shingle. The line is taken as code points of four bytes each, so that a shingle is cut out by its place, and a
+shingle carries its hash; a minimum over the hash xor-ed with a constant picks a random member of the set, so
 equal minima have the Jaccard similarity as their probability. Twelve of them, in six bands of two, bring lines together (at
 similarity 0.75 a pair meets with probability 0.993, above it more often). In a band each line is paired first with the band's first
 line and with the one before it; exact Jaccard on the sets decides, and distributed union-find gives components. Bands whose
@@ -9,12 +10,13 @@ lines still differ in component go on until no pair that may be similar is left
 those pairs, long ones by inverted lists over the rare shingles of their lines, which lose no similar pair. Of each component, exact repeats included, only the first line in order of
 (doc_id, line number) stays.
 
-All column functions and joins; the minima come from a partial aggregate beside the scan, so line texts are not shuffled. Lines
-whose text is needed again are picked by a bitmap of fixed size first.
+All column functions and joins. Minima come from a partial aggregate beside the scan; only lines that share a band travel as text,
+and their sets are made where two of them meet. The first line of a component is a minimum, so no component is gathered.
 
 Defined cases: null text has no line; lines without a word are never removed and never pair; repeated rows (id and text equal)
-are one document, each row gets its result; rows with equal id and other text are ordered by a hash of the text; an empty
-table gives an empty result; a document may end up empty.
+are one document, each row gets its result; rows with equal id and other text are ordered by a hash of the text; null ids stand first; a very
+long line costs in proportion to its length; ids may be of any type that has an order; an empty table gives an empty result; a
+document may end up empty; columns of the input keep their values, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,21 +24,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_words, components, marked, stash
+from .common import bit_words, components, forget, free, marked, stash
 
 SHINGLE = 12
 BANDS = 6
 THRESHOLD = 0.75
 #: Bands of up to so many lines have all pairs across components tested; longer ones go by inverted lists.
 SHORT = 32
+#: Shingles that one row of the signature pass takes: it bounds the length of an expression, not the work.
+STEP = 8
 # Constants that the shingle hashes are xor-ed with.
 MASKS = [-7046029254386353131, 4354685564936845355, -4417276706812531889, 1609587929392839161, -2960836687068489003, 5545529020109919103, -49064778989728563, 8387220255154660723, -1800455987208640293, 2891336453234455763, -6562520338478146393, 3935559000370003845]
 
 
-def shingles(line: Column) -> Column:
-    """A line's character shingles, one from each position, repeats included."""
-    # A look ahead at every place; places within a surrogate pair are none.
-    return F.regexp_extract_all(F.lower(line), F.lit(r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(.{%d}|\A.{1,%d}\z))" % (SHINGLE, SHINGLE - 1)), F.lit(1))
+def points(line: Column) -> Column:
+    """The lower-cased line as code points of four bytes."""
+    return F.encode(F.lower(line), "UTF-32")
+
+
+def last_start(data: Column) -> Column:
+    """Where the last shingle of points starts, counted in characters."""
+    return F.greatest(F.lit(0), F.shiftright(F.octet_length(data), 2) - SHINGLE)
+
+
+def shingle(data: Column, start: Column) -> Column:
+    return F.substring(data, start * 4 + 1, F.lit(4 * SHINGLE))
+
+
+def shingle_set(line: Column) -> Column:
+    """Hashes of a line's distinct shingles."""
+    whole = lambda data: F.array_distinct(F.transform(F.sequence(F.lit(0), last_start(data)), lambda i: F.xxhash64(shingle(data, i))))
+    return F.get(F.transform(F.array(points(line)), whole), 0)  # over an array of one, so that the points are made once
 
 
 def line_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -46,38 +64,45 @@ def line_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
+def line_bands(lines: DataFrame) -> DataFrame:
+    """(h, band): the bands of distinct lines, six each."""
+    rows = lines.select("h", points(F.col("line")).alias("data")).withColumn("last", last_start(F.col("data")))
+    rows = rows.select("h", "data", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("at"))
+    # behind the last shingle it counts again, which no minimum minds
+    rows = rows.select("h", *[F.xxhash64(shingle(F.col("data"), F.least(F.col("at") + i, F.col("last")))).alias(f"x{i}") for i in range(STEP)])
+    mixed = [F.least(*[F.shiftright(F.col(f"x{i}").bitwiseXOR(F.lit(m)), 32).cast("int") for i in range(STEP)]) for m in MASKS]
+    least = rows.groupBy("h").agg(*[F.min(x).alias(f"m{i}") for i, x in enumerate(mixed)])
+    return least.select("h", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col(f"m{2 * i}"), F.col(f"m{2 * i + 1}")) for i in range(BANDS)])).alias("band"))
+
+
 def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, comp): components of distinct lines (by hash) under verified similarity."""
-    rows = lines.select("h", F.explode(shingles(F.col("line"))).alias("s")).select("h", F.xxhash64("s").alias("x"))
-    least = rows.groupBy("h").agg(*[F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)])
-    bands = F.array(*[F.xxhash64(F.lit(i), F.col(f"m{2 * i}"), F.col(f"m{2 * i + 1}")) for i in range(BANDS)])
-    rows = least.select("h", F.explode(bands).alias("band"))
+    rows = line_bands(lines)
     rows = stash(_beside(rows.withColumn("k", F.count("*").over(Window.partitionBy("band"))), "band").where("k > 1"), "line-bands")
     pairs = stash(_offered(rows), "line-pairs")
     wanted = rows.select("h").distinct()
     texts = marked(lines.select("h", "line"), F.col("h"), bit_words(wanted, "h")).where("__hit").select("h", "line")
-    texts = texts.join(wanted, "h", "left_semi").groupBy("h").agg(F.max("line").alias("line"))
-    sets = stash(texts.select("h", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("set")), "line-sets")
-    comps = components(_linked(pairs, sets, threshold))
+    texts = stash(texts.join(wanted, "h", "left_semi").dropDuplicates(["h"]), "line-texts")
+    comps = components(_linked(pairs, texts, threshold))
     bands = stash(_mixed(rows.select("band", "h", "k"), comps, "band"), "mixed-bands")
+    forget(rows)
     if bands.isEmpty():
+        forget(pairs, texts, bands)
         return comps
     short = bands.where(F.col("k") <= SHORT).select("band", "h")
-    lists = stash(_head_lists(bands.where(F.col("k") > SHORT), sets, threshold), "line-lists")
+    lists = stash(_head_lists(bands.where(F.col("k") > SHORT), texts, threshold), "line-lists")
     if not lists.isEmpty():
         fresh = stash(_apart(_offered(_beside(lists, "band")), comps).join(pairs, ["a", "b"], "left_anti"), "line-pairs")
-        comps = _joined(comps, _linked(fresh, sets, threshold))
+        comps = _joined(comps, _linked(fresh, texts, threshold))
         pairs = pairs.unionByName(fresh)
         lists = _mixed(lists, comps, "band")
-    left = _mixed(short.unionByName(lists.select("band", "h")), comps, "band").select("band", "h", "c")
-    left = stash(left.join(sets.select("h", F.size("set").alias("n")), "h"), "mixed-lists")
+    left = stash(_mixed(short.unionByName(lists.select("band", "h")), comps, "band").select("band", "h", "c"), "mixed-lists")
     if left.isEmpty():
         return comps
-    other = left.select("band", F.col("h").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-    near = (F.col("n") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("n"))
-    fresh = left.join(other, "band").where((F.col("h") < F.col("b")) & (F.col("c") != F.col("cb")) & near)
+    other = left.select("band", F.col("h").alias("b"), F.col("c").alias("cb"))
+    fresh = left.join(other, "band").where((F.col("h") < F.col("b")) & (F.col("c") != F.col("cb")))
     fresh = stash(fresh.select(F.col("h").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"), "line-pairs")
-    return _joined(comps, _linked(fresh, sets, threshold))
+    return _joined(comps, _linked(fresh, texts, threshold))
 
 
 def _beside(lists: DataFrame, key: str) -> DataFrame:
@@ -92,11 +117,12 @@ def _offered(lists: DataFrame) -> DataFrame:
     return pairs.select(F.col("o").alias("a"), F.col("h").alias("b")).distinct()
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose sets reach the threshold."""
-    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("set").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
+    sets = F.array(F.struct(shingle_set(F.col("x")).alias("x"), shingle_set(F.col("y")).alias("y")))
+    reach = lambda s: F.exists(F.array(F.size(F.array_intersect(s["x"], s["y"]))), lambda k: k >= threshold * (F.size(s["x"]) + F.size(s["y"]) - k))
+    return both.where(F.exists(sets, reach)).select("a", "b")
 
 
 def _in(rows: DataFrame, comps: DataFrame, node: str, name: str) -> DataFrame:
@@ -115,10 +141,10 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return _in(_in(pairs, comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").select("a", "b")
 
 
-def _head_lists(bands: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _head_lists(bands: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(band, h): inverted lists of long bands. Within a band rare shingles come first; a line misses at most n - ceil(threshold n) of
     a similar line's shingles, so both have one of their first n - ceil(threshold n) + 1 in common, and no similar pair is lost."""
-    rows = bands.join(sets, "h").select("band", "h", F.explode("set").alias("x"))
+    rows = bands.join(texts, "h").select("band", "h", F.explode(shingle_set(F.col("line"))).alias("x"))
     rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("band", "x")))
     heads = rows.groupBy("band", "h").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("s"))
     n = F.size("s")
@@ -140,25 +166,32 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     """(d, tie, gone): numbers of the lines that each document loses; documents that lose none are absent."""
     lines = line_rows(docs, doc_id, text)
     comps = similar_lines(lines, threshold)
-    rows = lines.select("d", "tie", "i", "h").join(comps.withColumnRenamed("node", "h"), "h", "left")
-    rows = rows.select("d", "tie", "i", F.coalesce("comp", "h").alias("c"))
-    place = F.rank().over(Window.partitionBy("c").orderBy(F.col("d").asc_nulls_first(), "tie", "i"))
-    gone = rows.withColumn("r", place).where("r > 1")
+    place = F.struct("d", "tie", "i")
+    own = lines.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    own = own.join(comps.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or comp is not null")
+    own = stash(own.select("h", "first", F.coalesce("comp", "h").alias("c")), "line-kinds")
+    first = own.groupBy("c").agg(F.min("first").alias("first"))
+    known = own.select("h", "c").join(first, "c").select("h", "first")
+    rows = marked(lines.select("d", "tie", "i", "h"), F.col("h"), bit_words(own, "h")).where("__hit")
+    gone = rows.join(known, "h").where(~place.eqNullSafe(F.col("first")))
     return gone.groupBy("d", "tie").agg(F.array_sort(F.collect_set("i")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the removed lines cut out of text (and n_chars, if there is one, brought up to date)."""
-    gone = stash(removed_lines(docs, threshold=threshold), "gone")
-    key = F.xxhash64(F.col("doc_id"), F.xxhash64("text"))
-    rows = marked(docs, key, bit_words(gone.select(F.xxhash64(F.col("d"), F.col("tie")).alias("k")), "k"))
-    left = rows.where("__hit")
-    cut = left.join(gone, left["doc_id"].eqNullSafe(gone["d"]) & (F.xxhash64(left["text"]) == gone["tie"]), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    cut = cut.withColumn("text", F.when(F.col("gone").isNotNull(), kept).otherwise(F.col("text")))
+    gone = stash(removed_lines(docs.select("doc_id", "text"), threshold=threshold), "gone")
+    hit, key, lost = free(docs, "__hit"), free(docs, "__key"), free(docs, "__gone")
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    rows = marked(rows, F.xxhash64(F.col("doc_id"), F.col(key)), bit_words(gone.select(F.xxhash64(F.col("d"), F.col("tie")).alias("k")), "k"), hit)
+    left = rows.where(F.col(hit))
+    of = gone.select(F.struct(F.col("d").alias("d"), F.col("tie").alias("tie")).alias(lost + "of"), F.col("gone").alias(lost))
+    cut = left.join(of, left["doc_id"].eqNullSafe(of[lost + "of"]["d"]) & (left[key] == of[lost + "of"]["tie"]), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(lost, i)), "\n")
+    cut = cut.withColumn("text", F.when(F.col(lost).isNotNull(), kept).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("gone").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(docs.columns).unionByName(rows.where("not __hit").select(docs.columns))
+        cut = cut.withColumn("n_chars", F.when(F.col(lost).isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return cut.select(names).unionByName(rows.where(~F.col(hit)).select(names))
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,14 +1,17 @@
 """Operator 10: SentencePiece encoding and decoding over a relational lattice.
 
 A text becomes units: a space is written as the piece mark, a run of marks opens a unit, a line feed is a unit, and letters and other
-characters part where no piece of the table joins them. Documents are dealt into blocks of like size; the distinct units of a block are its words. Within a block, all in the place where the shuffle by block
-has put it:
+characters part where no piece of the table joins them. Distinct units are the words of the lattice:
 
 * bounded-length substrings of each word are exploded and equi-joined to the piece table (a vocabulary file of fixed size, so
   it may be broadcast); a character without a piece gets a byte-fallback edge;
 * edges are grouped by word and folded in order of their end by Spark's higher-order ``aggregate``: the Viterbi step keeps for
-  each position the best score and its pieces;
-* the block's table of words is brought back to its documents, which gives the ids of whole texts.
+  each position the best score and its pieces.
+
+Words that are counted often in the corpus, ``FREQUENT`` at most and each of up to ``FREQUENT_LENGTH`` characters, are folded once and
+broadcast to the tasks. Documents are dealt into blocks of like size; the words of a block that are not among these are folded
+within it, all in the place where the shuffle by block has put it, and brought back to its documents, which gives the ids of
+whole texts. Which words count as frequent changes cost, not results.
 
 Scores: the vocabulary at hand is of the merge kind, whose scores are ranks, not log-probabilities. A Viterbi path over ranks
 splits common words, so a rank r counts as log-probability -ln(r + RANK_SHIFT) - 5, and the result is the best unigram path
@@ -17,9 +20,10 @@ over the model's pieces. It is not the library's merge order; both decode to the
 Decoding looks up each id's bytes, writes marks as spaces, joins byte pieces and drops the first space; it returns the text
 exactly, a literal piece mark included (it goes by bytes).
 
-Defined cases: null text has null ids in ``encode`` and counts 0 in the query; empty text has no ids; runs of over ``MAX_UNIT``
-spaces, or of other characters without a space or line feed, are units of that length, and no piece spans two of them; repeated rows keep their rows; an empty table gives an empty
-result.
+Defined cases: null text has null ids in ``encode`` and counts 0 in the query; empty text has no ids; very long texts are encoded whole; a
+unit's cost grows with the square of its length, and only a stretch of over ``MAX_UNIT`` (a million) characters without a space or line feed is
+cut; of paths with equal score the one with the longer last piece wins; repeated rows keep their rows, null and repeated ids included; columns
+beside id and text play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -41,10 +46,15 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Stands for a literal mark while pieces are looked up; no piece holds it.
 OTHER = "\ue000"
-MAX_UNIT = 1000
+MAX_UNIT = 1 << 20
 RANK_SHIFT = 1000
 FALLBACK = -60.0
 BLOCK_BYTES = 8 << 20
+#: Words that are folded once for all blocks and broadcast, at most, and their length in characters, at most.
+FREQUENT = 1 << 18
+FREQUENT_LENGTH = 32
+#: A word counts in a part of COUNT_BYTES of text if it stands there so often, at least.
+COUNT_LEAST, COUNT_BYTES = 3, 16 << 20
 #: Partitions that blocks are dealt over, at most.
 MOST_PARTS = 100_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -98,7 +108,7 @@ def marked_text(text: Column) -> Column:
 def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
     """(block, ids): the best path of each of words (block, word). A negative id is a code point that goes by bytes; the ids spell the word.
 
-    An edge is one number, end, start and id + 2^22 in 12, 12 and 24 bits, so that edges sort by end and take little room.
+    An edge is one number, end, start back from the end (less than 2^8) and id + 2^22 in 21, 8 and 24 bits, so that edges sort by end and take little room.
     """
     keyed = words.withColumns({"n": F.length("word"), "wid": F.monotonically_increasing_id()})  # used within one task only
     spans = keyed.select("block", "wid", "word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
@@ -108,17 +118,17 @@ def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
     spans = spans.withColumn("key", F.xxhash64("sub"))  # a number as key makes the lookup cheap; the pieces themselves decide
     edges = spans.join(F.broadcast(known), (spans["key"] == known["key"]) & (F.col("sub") == F.col("piece")), "left").where("id is not null or l = 1")
     code = F.ascii("sub")
-    end = F.shiftleft((F.col("s") + F.col("l")).cast("long"), 36).bitwiseOR(F.shiftleft(F.col("s").cast("long"), 24))
+    end = F.shiftleft((F.col("s") + F.col("l")).cast("long"), 32).bitwiseOR(F.shiftleft(F.lit(255) - F.col("l"), 24).cast("long").bitwiseAND((1 << 32) - 1))
     edge = end.bitwiseOR((F.coalesce("id", -code) + (1 << 22)).cast("long"))
     edges = edges.select("wid", "block", edge.alias("edge")).groupBy("wid", "block").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     scores = F.lit(np.array(table.scores, np.float64))
     def place(x: Column) -> Column:
-        return F.shiftright(x, 24).bitwiseAND(4095).cast("int")
+        return (F.shiftright(x, 32) - 255 + F.shiftright(x, 24).bitwiseAND(255)).cast("int")
 
     def piece(x: Column) -> Column:
         return x.bitwiseAND((1 << 24) - 1).cast("int") - (1 << 22)
 
-    # The state is one flat array, for place p the best score at 2 p and the edge that gives it at 2 p + 1 (48 bits, exact as
+    # The state is one flat array, for place p the best score at 2 p and the edge that gives it at 2 p + 1 (53 bits, exact as
     # a double): steps copy their state, so nested states are dear. Edges come in order, so of equal scores the smaller start wins.
     def step(acc: Column, x: Column) -> Column:
         score = F.get(acc, 2 * place(x)) + F.coalesce(F.get(scores, piece(x)), F.lit(FALLBACK))
@@ -126,7 +136,7 @@ def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
         def put(to: Column) -> Column:
             return F.array_append(F.array_append(to, score), x.cast("double"))
 
-        first = F.size(acc) == 2 * F.shiftright(x, 36).cast("int")
+        first = F.size(acc) == 2 * F.shiftright(x, 32).cast("int")
         better = score > F.element_at(acc, -2)
         return F.when(first, put(acc)).when(better, put(F.slice(acc, F.lit(1), F.size(acc) - 2))).otherwise(acc)
 
@@ -148,42 +158,87 @@ def even_labels(spark: SparkSession, parts: int) -> list[int]:
     return sorted(r["i"] for r in rows)
 
 
-def encode_with(docs: DataFrame, table: PieceTable, finish: Callable[[str | None, list[int] | None], tuple], schema: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def counted(docs: DataFrame, table: PieceTable, text: str) -> DataFrame:
+    """(word, n): how often units of up to FREQUENT_LENGTH characters stand in the corpus, those apart that are rare in every part of it."""
+    find = re.compile(table.units).findall
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, size = Counter(), 0
+
+        def often() -> pd.DataFrame:
+            return pd.DataFrame([(w, n) for w, n in seen.items() if n >= COUNT_LEAST and len(w) <= FREQUENT_LENGTH], columns=["word", "n"])
+
+        for pdf in batches:
+            for t in pdf["text"]:
+                if isinstance(t, str) and t:
+                    seen.update(find(spaced(t)))
+                    size += len(t)
+                    if size >= COUNT_BYTES:
+                        yield often()
+                        seen, size = Counter(), 0
+        yield often()
+
+    parts = docs.select(F.col(text).alias("text")).mapInPandas(work, "word string, n long")
+    return parts.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def spaced(text: str) -> str:
+    """``marked_text`` of one text."""
+    return MARK + text.replace(MARK, OTHER).replace(" ", MARK)
+
+
+def by_bytes(ids: list[int], others: Iterator[str], byte_ids: list[int]) -> bytes:
+    """The ids as little-endian 32-bit numbers, characters without a piece by their bytes; others gives the characters that stand-ins stand for."""
+    chars = ((i, "" if i >= 0 else next(others) if chr(-i) == OTHER else chr(-i)) for i in ids)
+    return np.array([j for i, c in chars for j in ([i] if i >= 0 else [byte_ids[b] for b in c.encode("utf-8", "surrogatepass")])], np.int32).tobytes()
+
+
+def frequent_words(docs: DataFrame, table: PieceTable, text: str, most: int = FREQUENT) -> dict[str, list[int]]:
+    """Paths of the words that stand most often in the corpus; at most ``most`` words of bounded length reach the driver."""
+    words = counted(docs, table, text).orderBy(F.desc("n"), "word").limit(most).select(F.lit(0).alias("block"), "word")
+    words = words.repartition(parts_for(most, 8192, 8), "word")
+    found = best_paths(words, table).select("ids").toArrow()["ids"].to_pylist()
+    return {"".join([table.spelled[i] if i >= 0 else chr(-i) for i in ids]): ids for ids in found}
+
+
+def encode_with(docs: DataFrame, table: PieceTable, finish: Callable[[str | None, list[int] | None], tuple], schema: str, *, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """A row doc_id and finish(text, ids) for every row of docs. schema: finish's columns."""
+    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    labels = even_labels(docs.sparkSession, parts_for(int(size), BLOCK_BYTES, 8, MOST_PARTS))
-    block = F.get(F.lit(np.array(labels, np.int32)), F.pmod(F.xxhash64(doc_id), F.lit(len(labels))).cast("int"))
+    labels = even_labels(spark, parts_for(int(size), BLOCK_BYTES, 8, MOST_PARTS))
+    # a block is told by id and text, so that rows of one id, or of none, spread as their texts do
+    block = F.get(F.lit(np.array(labels, np.int32)), F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(len(labels))).cast("int"))
     dealt = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), block.alias("block"))
     dealt = dealt.repartition(len(labels), "block")
+    paths = frequent_words(docs, table, text, frequent)
+    shared = spark.sparkContext.broadcast({w: by_bytes(ids, repeat(MARK), table.byte_ids) for w, ids in paths.items() if OTHER not in w})
+    common = spark.createDataFrame(pd.DataFrame({"word": sorted(shared.value)}, dtype=str), "word string")  # at most ``frequent`` words
     # doc_id never counts here; naming it keeps this branch on the same columns as the other, so that both read one shuffle
     whole_text = F.coalesce(marked_text(F.col("text")), F.when(F.length("text") > 0, F.col("doc_id").cast("string")))
     units = F.explode(F.regexp_extract_all(whole_text, F.lit(table.units), F.lit(0))).alias("word")
-    words = dealt.select("block", units).distinct()
+    words = dealt.select("block", units).distinct().join(F.broadcast(common), "word", "left_anti")
     paths = best_paths(words, table).withColumnRenamed("block", "place")
     names = [c.split()[0] for c in schema.split(", ")]
     find, byte_ids, spelled = re.compile(table.units).findall, table.byte_ids, table.spelled
 
     def whole(texts: pd.DataFrame, paths: pd.DataFrame) -> pd.DataFrame:
-        known, odd = {}, {}
-
-        def by_bytes(ids: list[int], others: Iterator[str]) -> bytes:
-            chars = ((i, "" if i >= 0 else next(others) if chr(-i) == OTHER else chr(-i)) for i in ids)
-            return np.array([j for i, c in chars for j in ([i] if i >= 0 else [byte_ids[b] for b in c.encode("utf-8", "surrogatepass")])], np.int32).tobytes()
-
-        for ids in paths["ids"].map(np.ndarray.tolist):
+        known, odd, always = {}, {}, shared.value
+        for ids in paths["ids"]:
+            ids = ids.tolist()
             word = "".join([spelled[i] if i >= 0 else chr(-i) for i in ids])
             if OTHER in word:
                 odd[word] = ids
-            known[word] = by_bytes(ids, repeat(MARK)) if min(ids) < 0 else np.asarray(ids, np.int32).tobytes()
+            known[word] = by_bytes(ids, repeat(MARK), byte_ids) if min(ids) < 0 else np.asarray(ids, np.int32).tobytes()
         out = []
         for text in texts["text"]:
             ids = None
             if isinstance(text, str):
-                units = find(MARK + text.replace(MARK, OTHER).replace(" ", MARK)) if text else []
-                parts = map(known.__getitem__, units)
+                units = find(spaced(text)) if text else []
                 if OTHER in text:  # a text that holds the stand-in itself: its places are told apart
                     places = iter([c for c in text if c in (MARK, OTHER)])
-                    parts = [by_bytes(odd[u], places) if u in odd else known[u] for u in units]
+                    parts = [by_bytes(odd[u], places, byte_ids) if u in odd else known.get(u) or always[u] for u in units]
+                else:
+                    parts = [always.get(u) or known[u] for u in units]
                 ids = np.frombuffer(b"".join(parts), np.int32).tolist()
             out.append(finish(text if ids is not None else None, ids))
         return pd.concat([texts[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
