@@ -7,7 +7,7 @@ equal minima have the Jaccard similarity as their probability. Twelve of them, i
 similarity 0.75 a pair meets with probability 0.993, above it more often). In a band each line is paired first with the band's first
 line and with the one before it; exact Jaccard on the sets decides, and distributed union-find gives components. Bands whose
 lines still differ in component go on until no pair that may be similar is left untested across components: short ones with all
-those pairs, long ones by inverted lists over the rare shingles of their lines, which lose no similar pair. Of each component, exact repeats included, only the first line in order of
+those pairs, the lines of long ones by inverted lists over their rare shingles, which lose no similar pair. Of each component, exact repeats included, only the first line in order of
 (doc_id, line number) stays.
 
 All column functions and joins. Minima come from a partial aggregate beside the scan; only lines that share a band travel as text,
@@ -30,7 +30,7 @@ SHINGLE = 12
 BANDS = 6
 THRESHOLD = 0.75
 #: Bands of up to so many lines have all pairs across components tested; longer ones go by inverted lists.
-SHORT = 32
+SHORT = 8
 #: Shingles that one row of the signature pass takes: it bounds the length of an expression, not the work.
 STEP = 8
 # Constants that the shingle hashes are xor-ed with.
@@ -82,7 +82,8 @@ def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = stash(_offered(rows), "line-pairs")
     wanted = rows.select("h").distinct()
     texts = marked(lines.select("h", "line"), F.col("h"), bit_words(wanted, "h")).where("__hit").select("h", "line")
-    texts = stash(texts.join(wanted, "h", "left_semi").dropDuplicates(["h"]), "line-texts")
+    texts = texts.join(wanted, "h", "left_semi").dropDuplicates(["h"])
+    texts = stash(texts.withColumn("size", F.size(shingle_set(F.col("line")))), "line-texts")
     comps = components(_linked(pairs, texts, threshold))
     bands = stash(_mixed(rows.select("band", "h", "k"), comps, "band"), "mixed-bands")
     forget(rows)
@@ -90,7 +91,7 @@ def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         forget(pairs, texts, bands)
         return comps
     short = bands.where(F.col("k") <= SHORT).select("band", "h")
-    lists = stash(_head_lists(bands.where(F.col("k") > SHORT), texts, threshold), "line-lists")
+    lists = stash(_head_lists(bands.where(F.col("k") > SHORT).select("h").distinct(), texts, threshold), "line-lists")
     if not lists.isEmpty():
         fresh = stash(_apart(_offered(_beside(lists, "band")), comps).join(pairs, ["a", "b"], "left_anti"), "line-pairs")
         comps = _joined(comps, _linked(fresh, texts, threshold))
@@ -119,7 +120,10 @@ def _offered(lists: DataFrame) -> DataFrame:
 
 def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose sets reach the threshold."""
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
+    sizes = texts.select("h", "size")
+    near = pairs.join(sizes.select(F.col("h").alias("a"), F.col("size").alias("m")), "a").join(sizes.select(F.col("h").alias("b"), F.col("size").alias("n")), "b")
+    near = near.where((F.col("m") >= threshold * F.col("n")) & (F.col("n") >= threshold * F.col("m"))).select("a", "b")
+    both = near.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
     sets = F.array(F.struct(shingle_set(F.col("x")).alias("x"), shingle_set(F.col("y")).alias("y")))
     reach = lambda s: F.exists(F.array(F.size(F.array_intersect(s["x"], s["y"]))), lambda k: k >= threshold * (F.size(s["x"]) + F.size(s["y"]) - k))
     return both.where(F.exists(sets, reach)).select("a", "b")
@@ -141,15 +145,15 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return _in(_in(pairs, comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").select("a", "b")
 
 
-def _head_lists(bands: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(band, h): inverted lists of long bands. Within a band rare shingles come first; a line misses at most n - ceil(threshold n) of
+def _head_lists(hashes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(band, h): inverted lists of the lines of long bands, by shingle. Rare shingles come first; a line misses at most n - ceil(threshold n) of
     a similar line's shingles, so both have one of their first n - ceil(threshold n) + 1 in common, and no similar pair is lost."""
-    rows = bands.join(texts, "h").select("band", "h", F.explode(shingle_set(F.col("line"))).alias("x"))
-    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("band", "x")))
-    heads = rows.groupBy("band", "h").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("s"))
+    rows = texts.join(hashes, "h", "left_semi").select("h", F.explode(shingle_set(F.col("line"))).alias("x"))
+    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("x")))
+    heads = rows.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("s"))
     n = F.size("s")
-    heads = heads.select("band", "h", F.explode(F.slice("s", F.lit(1), n - F.ceil(threshold * n).cast("int") + 1)).alias("s")).where("s.df > 1")
-    return heads.select(F.xxhash64("band", "s.x").alias("band"), "h")
+    heads = heads.select("h", F.explode(F.slice("s", F.lit(1), n - F.ceil(threshold * n).cast("int") + 1)).alias("s")).where("s.df > 1")
+    return heads.select(F.col("s.x").alias("band"), "h")
 
 
 def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:

@@ -8,10 +8,10 @@ characters part where no piece of the table joins them. Distinct units are the w
 * edges are grouped by word and folded in order of their end by Spark's higher-order ``aggregate``: the Viterbi step keeps for
   each position the best score and its pieces.
 
-Words that are counted often in the corpus, ``FREQUENT`` at most and each of up to ``FREQUENT_LENGTH`` characters, are folded once and
-broadcast to the tasks. Documents are dealt into blocks of like size; the words of a block that are not among these are folded
-within it, all in the place where the shuffle by block has put it, and brought back to its documents, which gives the ids of
-whole texts. Which words count as frequent changes cost, not results.
+Words that are counted often in the corpus, ``FREQUENT`` at most and each of up to ``FREQUENT_LENGTH`` characters, are folded first and
+broadcast to the tasks. Each other word is folded once, in the place where the shuffle by word has put it. Documents are dealt into
+blocks of like size by id and text; a word's path goes to the blocks that need it and meets their documents there, which gives the
+ids of whole texts. Which words count as frequent changes cost, not results.
 
 Scores: the vocabulary at hand is of the merge kind, whose scores are ranks, not log-probabilities. A Viterbi path over ranks
 splits common words, so a rank r counts as log-probability -ln(r + RANK_SHIFT) - 5, and the result is the best unigram path
@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import repeat
@@ -51,7 +52,7 @@ RANK_SHIFT = 1000
 FALLBACK = -60.0
 BLOCK_BYTES = 8 << 20
 #: Words that are folded once for all blocks and broadcast, at most, and their length in characters, at most.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 17
 FREQUENT_LENGTH = 32
 #: A word counts in a part of COUNT_BYTES of text if it stands there so often, at least.
 COUNT_LEAST, COUNT_BYTES = 3, 16 << 20
@@ -106,21 +107,21 @@ def marked_text(text: Column) -> Column:
 
 
 def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(block, ids): the best path of each of words (block, word). A negative id is a code point that goes by bytes; the ids spell the word.
+    """(blocks, ids): the best path of each of words (word, blocks). A negative id is a code point that goes by bytes; the ids spell the word.
 
     An edge is one number, end, start back from the end (less than 2^8) and id + 2^22 in 21, 8 and 24 bits, so that edges sort by end and take little room.
     """
     keyed = words.withColumns({"n": F.length("word"), "wid": F.monotonically_increasing_id()})  # used within one task only
-    spans = keyed.select("block", "wid", "word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
+    spans = keyed.select("blocks", "wid", "word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
     size = F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.col("n") - F.col("s")))).alias("l")
-    spans = spans.select("block", "wid", "word", "s", size).withColumn("sub", F.substring("word", F.col("s") + 1, F.col("l")))
+    spans = spans.select("blocks", "wid", "word", "s", size).withColumn("sub", F.substring("word", F.col("s") + 1, F.col("l")))
     known = table.frame(words.sparkSession).withColumnRenamed("sub", "piece").withColumn("key", F.xxhash64("piece"))
     spans = spans.withColumn("key", F.xxhash64("sub"))  # a number as key makes the lookup cheap; the pieces themselves decide
     edges = spans.join(F.broadcast(known), (spans["key"] == known["key"]) & (F.col("sub") == F.col("piece")), "left").where("id is not null or l = 1")
     code = F.ascii("sub")
     end = F.shiftleft((F.col("s") + F.col("l")).cast("long"), 32).bitwiseOR(F.shiftleft(F.lit(255) - F.col("l"), 24).cast("long").bitwiseAND((1 << 32) - 1))
     edge = end.bitwiseOR((F.coalesce("id", -code) + (1 << 22)).cast("long"))
-    edges = edges.select("wid", "block", edge.alias("edge")).groupBy("wid", "block").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    edges = edges.select("wid", "word", "blocks", edge.alias("edge")).groupBy("wid", "word", "blocks").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     scores = F.lit(np.array(table.scores, np.float64))
     def place(x: Column) -> Column:
         return (F.shiftright(x, 32) - 255 + F.shiftright(x, 24).bitwiseAND(255)).cast("int")
@@ -148,7 +149,7 @@ def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
 
     start = F.array(F.lit(0.0), F.lit(0.0))
     path = F.aggregate("edges", start, step, lambda acc: F.transform(F.reverse(back(acc)), piece))
-    return edges.select("block", path.alias("ids"))
+    return edges.select("blocks", path.alias("ids"))
 
 
 def even_labels(spark: SparkSession, parts: int) -> list[int]:
@@ -193,34 +194,49 @@ def by_bytes(ids: list[int], others: Iterator[str], byte_ids: list[int]) -> byte
     return np.array([j for i, c in chars for j in ([i] if i >= 0 else [byte_ids[b] for b in c.encode("utf-8", "surrogatepass")])], np.int32).tobytes()
 
 
-def frequent_words(docs: DataFrame, table: PieceTable, text: str, most: int = FREQUENT) -> dict[str, list[int]]:
-    """Paths of the words that stand most often in the corpus; at most ``most`` words of bounded length reach the driver."""
-    words = counted(docs, table, text).orderBy(F.desc("n"), "word").limit(most).select(F.lit(0).alias("block"), "word")
+def frequent_words(docs: DataFrame, table: PieceTable, text: str, most: int = FREQUENT) -> dict[str, bytes]:
+    """Ids of the words that stand most often in the corpus; at most ``most`` words of bounded length reach the driver."""
+    words = counted(docs, table, text).orderBy(F.desc("n"), "word").limit(most).select("word", F.lit(0).alias("blocks"))
     words = words.repartition(parts_for(most, 8192, 8), "word")
-    found = best_paths(words, table).select("ids").toArrow()["ids"].to_pylist()
-    return {"".join([table.spelled[i] if i >= 0 else chr(-i) for i in ids]): ids for ids in found}
+    out = {}
+    for batch in best_paths(words, table).select("ids").toArrow().to_batches():
+        for ids in batch["ids"].to_pylist():
+            word = "".join([table.spelled[i] if i >= 0 else chr(-i) for i in ids])
+            if OTHER not in word:
+                out[word] = by_bytes(ids, repeat(MARK), table.byte_ids)
+    return out
 
 
-def encode_with(docs: DataFrame, table: PieceTable, finish: Callable[[str | None, list[int] | None], tuple], schema: str, *, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
+def encode_with(docs: DataFrame, table: PieceTable, finish: Callable[[str | None, np.ndarray | None], tuple], schema: str, *, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """A row doc_id and finish(text, ids) for every row of docs. schema: finish's columns."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     labels = even_labels(spark, parts_for(int(size), BLOCK_BYTES, 8, MOST_PARTS))
     # a block is told by id and text, so that rows of one id, or of none, spread as their texts do
     block = F.get(F.lit(np.array(labels, np.int32)), F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(len(labels))).cast("int"))
-    dealt = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), block.alias("block"))
-    dealt = dealt.repartition(len(labels), "block")
-    paths = frequent_words(docs, table, text, frequent)
-    shared = spark.sparkContext.broadcast({w: by_bytes(ids, repeat(MARK), table.byte_ids) for w, ids in paths.items() if OTHER not in w})
-    common = spark.createDataFrame(pd.DataFrame({"word": sorted(shared.value)}, dtype=str), "word string")  # at most ``frequent`` words
-    # doc_id never counts here; naming it keeps this branch on the same columns as the other, so that both read one shuffle
-    whole_text = F.coalesce(marked_text(F.col("text")), F.when(F.length("text") > 0, F.col("doc_id").cast("string")))
-    units = F.explode(F.regexp_extract_all(whole_text, F.lit(table.units), F.lit(0))).alias("word")
-    words = dealt.select("block", units).distinct().join(F.broadcast(common), "word", "left_anti")
-    paths = best_paths(words, table).withColumnRenamed("block", "place")
-    names = [c.split()[0] for c in schema.split(", ")]
+    shared = spark.sparkContext.broadcast(frequent_words(docs, table, text, frequent))
     find, byte_ids, spelled = re.compile(table.units).findall, table.byte_ids, table.spelled
 
+    def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The words of each block that are not frequent, once for each batch of texts."""
+        for pdf in batches:
+            own: dict[int, set[str]] = {}
+            for t, b in zip(pdf["text"], pdf["block"], strict=True):
+                if isinstance(t, str) and t:
+                    own.setdefault(b, set()).update(set(find(spaced(t))).difference(shared.value))
+            count = [len(w) for w in own.values()]
+            yield pd.DataFrame({"word": [w for words in own.values() for w in words], "block": np.repeat(np.array(list(own), np.int32), count)})
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: zlib.compress(t.encode("utf-8", "surrogatepass"), 1) if isinstance(t, str) else None)
+
+    words = docs.select(F.col(text).alias("text"), block.alias("block")).mapInPandas(rare, "word string, block int")
+    words = words.groupBy("word").agg(F.collect_set("block").alias("blocks"))  # no more than there are blocks
+    paths = best_paths(words, table).select(F.explode("blocks").alias("place"), "ids")
+    dealt = docs.select(F.col(doc_id).alias("doc_id"), packed(text).alias("text"), block.alias("block")).repartition(len(labels), "block")
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def whole(texts: pd.DataFrame, paths: pd.DataFrame) -> pd.DataFrame:
         known, odd, always = {}, {}, shared.value
         for ids in paths["ids"]:
@@ -230,17 +246,18 @@ def encode_with(docs: DataFrame, table: PieceTable, finish: Callable[[str | None
                 odd[word] = ids
             known[word] = by_bytes(ids, repeat(MARK), byte_ids) if min(ids) < 0 else np.asarray(ids, np.int32).tobytes()
         out = []
-        for text in texts["text"]:
-            ids = None
-            if isinstance(text, str):
+        for data in texts["text"]:
+            text = ids = None
+            if data is not None:
+                text = zlib.decompress(data).decode("utf-8", "surrogatepass")
                 units = find(spaced(text)) if text else []
                 if OTHER in text:  # a text that holds the stand-in itself: its places are told apart
                     places = iter([c for c in text if c in (MARK, OTHER)])
                     parts = [by_bytes(odd[u], places, byte_ids) if u in odd else known.get(u) or always[u] for u in units]
                 else:
                     parts = [always.get(u) or known[u] for u in units]
-                ids = np.frombuffer(b"".join(parts), np.int32).tolist()
-            out.append(finish(text if ids is not None else None, ids))
+                ids = np.frombuffer(b"".join(parts), np.int32)
+            out.append(finish(text, ids))
         return pd.concat([texts[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -249,7 +266,7 @@ def encode_with(docs: DataFrame, table: PieceTable, finish: Callable[[str | None
 
 def encode(docs: DataFrame, table: PieceTable, **names) -> DataFrame:
     """doc_id and ids of every row."""
-    return encode_with(docs, table, lambda text, ids: (ids,), "ids array<int>", **names)
+    return encode_with(docs, table, lambda text, ids: (None if ids is None else ids.tolist(),), "ids array<int>", **names)
 
 
 def decode(rows: DataFrame, table: PieceTable, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -262,14 +279,16 @@ def decode(rows: DataFrame, table: PieceTable, ids: str = "ids", text: str = "te
     return rows.withColumn(text, back(ids))
 
 
-def digest(table: PieceTable) -> Callable[[str | None, list[int] | None], tuple]:
+def digest(table: PieceTable) -> Callable[[str | None, np.ndarray | None], tuple]:
     """Counts, an md5 of the ids as little-endian 32-bit numbers, and whether decoding gives the text back."""
 
-    def finish(text: str | None, ids: list[int] | None) -> tuple:
+    in_bytes = np.zeros(len(table.raw), bool)
+    in_bytes[table.byte_ids] = True
+
+    def finish(text: str | None, ids: np.ndarray | None) -> tuple:
         if ids is None:
             return 0, 0, hashlib.md5(b"").hexdigest(), True
-        fallback = sum(3 <= i < 259 for i in ids)
-        return len(ids), fallback, hashlib.md5(np.array(ids, "<i4").tobytes()).hexdigest(), table.decode(ids) == text
+        return len(ids), int(in_bytes[ids].sum()), hashlib.md5(ids.astype("<i4").tobytes()).hexdigest(), table.decode(ids.tolist()) == text
 
     return finish
 

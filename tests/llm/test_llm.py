@@ -255,7 +255,7 @@ def test_pieces(docs, empty):
         return b[-1]
 
     words = ["▁changed", "▁Ünïcode", "▁日本語", "abab"]
-    found = pieces.best_paths(docs.sparkSession.createDataFrame([(0, w) for w in words], "block int, word string"), table).collect()
+    found = pieces.best_paths(docs.sparkSession.createDataFrame([(w, 0) for w in words], "word string, blocks int"), table).collect()
     spelled = {"".join(table.spelled[i] if i >= 0 else chr(-i) for i in r.ids): sum(table.scores[i] if i >= 0 else pieces.FALLBACK for i in r.ids) for r in found}
     assert set(spelled) == set(words) and all(abs(spelled[w] - best(w)) < 1e-9 for w in words)
 
