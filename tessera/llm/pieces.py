@@ -229,7 +229,7 @@ def encode_with(docs: DataFrame, table: PieceTable, finish: Callable[[str | None
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: zlib.compress(t.encode("utf-8", "surrogatepass"), 1) if isinstance(t, str) else None)
+        return texts.map(lambda t: zlib.compress(t.encode("utf-8", "surrogatepass"), 6) if isinstance(t, str) else None)
 
     words = docs.select(F.col(text).alias("text"), block.alias("block")).mapInPandas(rare, "word string, block int")
     words = words.groupBy("word").agg(F.collect_set("block").alias("blocks"))  # no more than there are blocks
