@@ -17,18 +17,28 @@ def recompute(kl: DataFrame, features: list[str], sheet=("lab", "laser")) -> Dat
     return rows.withColumn("g_norm", F.coalesce(F.try_divide(100 * F.col("g_raw"), F.sum("g_raw").over(w)), F.lit(0.0)))
 
 
-def location_spread(rows: DataFrame, keys=("lab", "n")) -> DataFrame:
-    """I6 with A15."""
+def long_table(rows: DataFrame, features: list[str]) -> DataFrame:
+    """Rows with A, the sum of the features' symmetric divergences, missing ones left out."""
+    return rows.withColumn("a", sum((F.coalesce(f"s_{k}", F.lit(0.0)) for k in features), F.lit(0.0)))
+
+
+def within_n_min(rows: DataFrame) -> DataFrame:
+    """Transitions up to the number that every series reaches (A16); that is one number."""
+    return rows.where(F.col("n") <= F.lit(n_min(rows).first()["n_min"]))
+
+
+def location_spread(rows: DataFrame, keys=("lab", "n"), a: str = "a") -> DataFrame:
+    """I6 with A15: median and quartile range of g_norm and median of A over lasers, transitions up to N_min only."""
     q = F.percentile("g_norm", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    own = rows.groupBy(*keys).agg(q.alias("q"), F.sum("g_norm").alias("total"))
-    return own.select(*keys, F.col("q")[1].alias("loc"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), F.col("total"))
+    own = within_n_min(rows).groupBy(*keys).agg(q.alias("q"), F.percentile(a, F.lit(0.5)).alias("abs"))
+    return own.select(*keys, F.col("q")[1].alias("loc"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "abs")
 
 
 def dominance(rows: DataFrame) -> DataFrame:
-    """Each (laser, n) has one vote, shared by the groups that tie at the maximum."""
+    """Each (laser, n) up to N_min has one vote, shared by the groups that tie at the maximum."""
     w = Window.partitionBy("laser", "n")
     top = (F.col("g_norm") == F.max("g_norm").over(w)).cast("int")
-    votes = rows.withColumn("top", top).withColumn("vote", F.col("top") / F.sum("top").over(w))
+    votes = within_n_min(rows).withColumn("top", top).withColumn("vote", F.col("top") / F.sum("top").over(w))
     return votes.groupBy("lab", "n").agg(F.sum("vote").alias("dom"))
 
 
@@ -46,29 +56,35 @@ def bh_fdr(tests: DataFrame, p: str = "p", key: str = "n") -> DataFrame:
     return rows.withColumn("q", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.min("raw").over(back)))).drop("r", "raw")
 
 
-def permutation_test(rows: DataFrame, group: str = "lab", n_perm: int = 5000, seed: int = 123) -> DataFrame:
-    """Largest less smallest group median against permuted labels, a task for each n, seeded by n."""
+def median_gaps(values: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Largest less smallest group median for each row of labels; every row holds the same labels in another order."""
+    kinds = np.unique(labels[0])
+    if len(kinds) < 2:
+        return np.zeros(len(labels))
+    every = np.broadcast_to(values, labels.shape)
+    medians = [np.median(every[labels == k].reshape(len(labels), -1), axis=1) for k in kinds]
+    return np.max(medians, axis=0) - np.min(medians, axis=0)
+
 
-    def gap(values: np.ndarray, labels: np.ndarray, k: int) -> float:
-        med = [np.median(values[labels == i]) for i in range(k) if (labels == i).any()]
-        return max(med) - min(med) if len(med) > 1 else 0.0
+def permutation_test(rows: DataFrame, group: str = "lab", n_perm: int = 5000, seed: int = 123) -> DataFrame:
+    """I3 with O7: largest less smallest group median against permuted labels, a task for each n, seeded by n; one matrix holds all permutations."""
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna().sort_values([group, "laser"])
         n = int(pdf["n"].iat[0])
         values, labels = pdf["g_norm"].to_numpy(), pd.factorize(pdf[group])[0]
-        k = int(labels.max()) + 1 if len(labels) else 0
-        seen, rng = gap(values, labels, k), np.random.default_rng(seed + n)
-        more = sum(gap(values, rng.permutation(labels), k) >= seen - 1e-12 for _ in range(n_perm)) if k > 1 else n_perm
+        rng = np.random.default_rng(seed + n)
+        seen = median_gaps(values, labels[None, :])[0]
+        more = int((median_gaps(values, np.stack([rng.permutation(labels) for _ in range(n_perm)])) >= seen - 1e-12).sum())
         med = pdf.groupby(group)["g_norm"].median().sort_values(ascending=False, kind="stable")
-        return pd.DataFrame({"n": [n], "top": [med.index[0]], "second": [med.index[1] if k > 1 else None], "bottom": [med.index[-1]], "t": [seen], "p": [(1 + more) / (1 + n_perm)]})
+        return pd.DataFrame({"n": [n], "top": [med.index[0]], "second": [med.index[1] if len(med) > 1 else None], "bottom": [med.index[-1]], "t": [seen], "p": [(1 + more) / (1 + n_perm)]})
 
     return rows.groupBy("n").applyInPandas(test, "n int, top string, second string, bottom string, t double, p double")
 
 
-def summarize(tests: DataFrame) -> DataFrame:
-    """I5 with A17."""
-    return tests.groupBy("top").agg(F.count("*").alias("wins"), F.sum("t").alias("sum_t"), F.avg("t").alias("mean_t"), F.max("t").alias("max_t"))
+def summarize(tests: DataFrame, keys=("top",), most_q: float = 0.05) -> DataFrame:
+    """I5 with A17: wins, sum, mean and largest step of the tests with q up to most_q, by winning group or other keys."""
+    return tests.where(F.col("q") <= most_q).groupBy(*keys).agg(F.count("*").alias("wins"), F.sum("t").alias("sum_t"), F.avg("t").alias("mean_t"), F.max("t").alias("max_t"))
 
 
 def top_share(tests: DataFrame, k: int = 5) -> DataFrame:

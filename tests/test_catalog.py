@@ -8,7 +8,7 @@ from tessera import catalog
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["quality_gate", "profiles_by_measurement", "pmf_movement", "kl_recompute", "label_precedence", "file_resolution"])
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_against_sql(spark, name):
     db = duckdb.connect()
     for f in os.listdir(DATA):
