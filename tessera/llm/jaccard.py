@@ -19,8 +19,9 @@ a link (their distance never exceeds the symmetric difference, so no link is los
 when no untested pair across components is left, so components are those of all links, and no group's pairs are all made. 64-bit
 hashes stand for shingles; collisions are the only source of error.
 
-Defined cases: null or wordless text has the empty set and links with nothing; fewer than five words are one shingle; repeated
-rows are in one class and keep their rows; an empty table gives an empty result.
+Defined cases: null or wordless text has the empty set and links with nothing; fewer than five words are one shingle; very long texts count
+whole; repeated rows are in one class and keep their rows; a null id is no component's smallest, and ``keep_first`` never drops its row; other
+columns play no part, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ HEAVY = 400_000
 #: Lists of up to so many members offer all pairs at once; longer ones offer best partners in rounds.
 SHORT = 32
 #: Partners that a member is offered in the first round, and how many times more in each later one, until none is left.
-OFFERS = 2
-MORE = 8
+OFFERS = 8
+MORE = 64
 #: Bitmap comparisons of a long list that one task makes, about.
 COMPARED = 16_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
