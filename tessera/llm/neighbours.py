@@ -13,7 +13,7 @@ structure (the test table's are spread evenly over 64 dimensions) need a wide on
 window of a few ranges does, and the work is then linear in the rows.
 
 Defined cases: vectors null, empty, zero, with null or non-finite components, or not of the table's most frequent length take no part;
-repeated rows (id and vector equal) count once; ties go to smaller ids; an empty table gives an empty result.
+repeated rows (id and vector equal) count once; ties go to smaller ids, those at the end of a list included; other columns play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from .common import parts_for, stash
 
 ORDERINGS, DIMS, BITS = 8, 10, 4
 RANGE_ROWS = 8192
+#: There are as many ranges at least, while each has as many rows.
+LEAST_RANGES, LEAST_ROWS = 32, 32
 WINDOW = 0.1
 FIT_ROWS = 10_000
 
@@ -122,7 +124,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, window: float
 
     shape = "o int, key long, cid long, v array<double>"
     points, probes = heads.mapInPandas(keyed(False), shape), asked.mapInPandas(keyed(True), shape)
-    ranges = parts_for(norm[1], RANGE_ROWS, 32 if norm[1] > 1000 else 1)
+    ranges = parts_for(norm[1], RANGE_ROWS, min(LEAST_RANGES, max(1, norm[1] // LEAST_ROWS)))
     cuts = np.zeros((orderings, ranges - 1), np.int64)
     if ranges > 1:
         at = [i / ranges for i in range(1, ranges)]
@@ -151,12 +153,14 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, window: float
             for at in range(0, len(probes), 256):
                 q, own = _matrix(probes["v"].iloc[at : at + 256]), probes["cid"].to_numpy()[at : at + 256]
                 scores = q @ x.T
-                keep = min(k + 8, len(ids))
-                best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
-                exact = (x[best] * q[:, None, :]).sum(2)
+                keep = min(k + 2, len(ids))
+                least = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
+                slack = 1e-9 * (1 + np.abs(least))  # the product of matrices may round apart from the exact score
                 for i in range(len(q)):
-                    order = np.lexsort((ids[best[i]], -exact[i]))[: k + 2]
-                    out.append(pd.DataFrame({"query": own[i], "cid": ids[best[i]][order], "score": exact[i][order]}))
+                    best = np.flatnonzero(scores[i] >= least[i] - slack[i])  # ties at the end are all in
+                    exact = (x[best] * q[i]).sum(1)
+                    order = np.lexsort((ids[best], -exact))[: k + 2]
+                    out.append(pd.DataFrame({"query": own[i], "cid": ids[best][order], "score": exact[order]}))
         return pd.concat(out) if out else pd.DataFrame({"query": [], "cid": [], "score": []})
 
     found = points.groupBy("o", "range").cogroup(probes.groupBy("o", "range")).applyInPandas(meet, "query long, cid long, score double").distinct()

@@ -222,6 +222,31 @@ def test_neighbours(spark):
     assert neighbours.nearest(frame.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_ties_and_curves(spark):
+    line = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(200)], "vec_id long, embedding array<double>")
+    turned = line.withColumn("embedding", F.when(F.col("vec_id") == 0, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.col("embedding")))
+    got = neighbours.nearest(turned, F.col("vec_id") == 0, window=1.0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(1, 21))
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12_000, 16))
+    frame = spark.createDataFrame(enumerate(x.tolist()), "vec_id long, embedding array<double>")
+    got = neighbours.nearest(frame, F.col("vec_id") % 600 == 0).toPandas()
+    hit = 0
+    for q in range(0, 12_000, 600):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & set(got[got.query_id == q].vec_id))
+    assert len(got) == 400 and hit / 400 >= 0.9
+
+
+def test_lines_keep_clashing_columns(spark):
+    rows = [(i, "one and the same long line of some words\nown line " + "abcdefgh"[i] * 30, "x", 1, "y", True) for i in range(4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, gone string, tie int, d string, __hit boolean")
+    out = lines.dedup_lines(frame)
+    assert out.columns == frame.columns
+    assert sorted((r.doc_id, r.text.count("\n"), r.gone, r.tie, r.d, r["__hit"]) for r in out.collect()) == [(i, 1 if i == 0 else 0, "x", 1, "y", True) for i in range(4)]
+
+
 def test_hilbert_is_continuous():
     cells = np.array([(a, b) for a in range(16) for b in range(16)])
     walk = cells[np.argsort(neighbours.hilbert_keys(cells, 4))]
