@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 13
 DIM = 16
 PER_LANG = 300
+#: Documents that the model is fitted on: per_lang times this at most, those that come first by a hash of the id.
+MOST_LANGS = 500
 CUTS = (12, 30, 80, 200)
 _LETTER = re.compile(r"[^\W\d_]")
 _BLOCK = 400_000
@@ -72,7 +74,8 @@ def fit_language_model(docs: DataFrame, learn: Column, *, per_lang: int = PER_LA
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     chosen = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang).select("doc_id").distinct()
-    rows = rows.join(F.broadcast(chosen.limit(per_lang * 500)), "doc_id")  # at most per_lang ids a language
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang * MOST_LANGS)
+    rows = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("t")).select("doc_id", "t.*")  # of rows that share an id one counts
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

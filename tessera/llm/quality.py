@@ -195,7 +195,8 @@ class LineField:
 
 
 def fit_line_field(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> LineField:
-    """Fits on the max_docs labelled documents that come first by hash of the id, whole texts cut into sequences of 64 lines."""
+    """Fits on the max_docs labelled documents that come first by hash of the id, whole texts cut into sequences of 64 lines; of
+    more than 4 max_docs sequences those that come first by a hash of their features."""
     chosen = labels.select("doc_id", "quality").where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by max_docs
@@ -212,7 +213,7 @@ def fit_line_field(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS)
                         out.append((x.astype(np.float32).tobytes(), y.tobytes()))
             yield pd.DataFrame(out, columns=["x", "y"])
 
-    found = rows.mapInPandas(features, "x binary, y binary").limit(4 * max_docs).collect()
+    found = rows.mapInPandas(features, "x binary, y binary").orderBy(F.xxhash64("x", "y"), "x", "y").limit(4 * max_docs).collect()
     return LineField.fit([(np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES), np.frombuffer(r["y"], np.int8).astype(int)) for r in sorted(found)])
 
 
