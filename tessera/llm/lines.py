@@ -6,8 +6,9 @@ shingle carries its hash; a minimum over the hash xor-ed with a constant picks a
 equal minima have the Jaccard similarity as their probability. Twelve of them, in six bands of two, bring lines together (at
 similarity 0.75 a pair meets with probability 0.993, above it more often). In a band each line is paired first with the band's first
 line and with the one before it; exact Jaccard on the sets decides, and distributed union-find gives components. Bands whose
-lines still differ in component go on until no pair that may be similar is left untested across components: short ones with all
-those pairs, the lines of long ones by inverted lists over their rare shingles, which lose no similar pair. Of each component, exact repeats included, only the first line in order of
+lines still differ in component go on until no pair that may be similar is left untested across components: short ones pair by pair,
+the lines of long ones by inverted lists over their rare shingles, which lose no similar pair. A pair leaves such a join only if sizes and
+bitmaps allow it: a bitmap has a bit set for each shingle, so two of them differ in no more bits than the sets in shingles. Of each component, exact repeats included, only the first line in order of
 (doc_id, line number) stays.
 
 All column functions and joins. Minima come from a partial aggregate beside the scan; only lines that share a band travel as text,
@@ -21,6 +22,8 @@ document may end up empty; columns of the input keep their values, whatever thei
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +32,10 @@ from .common import bit_words, components, forget, free, marked, stash
 SHINGLE = 12
 BANDS = 6
 THRESHOLD = 0.75
-#: Bands of up to so many lines have all pairs across components tested; longer ones go by inverted lists.
-SHORT = 8
+#: Bands of up to so many lines have all pairs across components compared by bitmap; longer ones go by inverted lists.
+SHORT = 64
+#: Words of 64 bits in a line's bitmap.
+SIGNS = 8
 #: Shingles that one row of the signature pass takes: it bounds the length of an expression, not the work.
 STEP = 8
 # Constants that the shingle hashes are xor-ed with.
@@ -64,12 +69,37 @@ def line_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
+def shingle_rows(lines: DataFrame, step: int, *keys: str) -> DataFrame:
+    """(keys, x0, x1, ...): the hashes of step shingles a row; behind a line's last shingle that one comes again."""
+    rows = lines.select(*keys, points(F.col("line")).alias("data")).withColumn("last", last_start(F.col("data")))
+    rows = rows.select(*keys, "data", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(step))).alias("at"))
+    return rows.select(*keys, *[F.xxhash64(shingle(F.col("data"), F.least(F.col("at") + i, F.col("last")))).alias(f"x{i}") for i in range(step)])
+
+
+def line_signs(texts: DataFrame) -> DataFrame:
+    """(h, size, s0, s1, ...): bitmaps of lines (h, line, size)."""
+    x = F.col("x0")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+    word = F.shiftright(x, 6).bitwiseAND(SIGNS - 1)
+    own = [F.bit_or(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{j}") for j in range(SIGNS)]
+    return shingle_rows(texts, 1, "h", "size").groupBy("h", "size").agg(*own)
+
+
+def _partner(signs: DataFrame) -> DataFrame:
+    """signs as the other side of a pair: b, m, t0, t1, ..."""
+    return signs.withColumnsRenamed({"h": "b", "size": "m"} | {f"s{j}": f"t{j}" for j in range(SIGNS)})
+
+
+def _may(threshold: float) -> Column:
+    """Whether sizes and bitmaps of a row with signs and a partner's allow the threshold."""
+    n, m = F.col("size"), F.col("m")
+    apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"s{j}").bitwiseXOR(F.col(f"t{j}"))) for j in range(SIGNS)])
+    return (m >= threshold * n) & (n >= threshold * m) & (apart <= (1 - threshold) / (1 + threshold) * (n + m) + 1e-6)
+
+
 def line_bands(lines: DataFrame) -> DataFrame:
     """(h, band): the bands of distinct lines, six each."""
-    rows = lines.select("h", points(F.col("line")).alias("data")).withColumn("last", last_start(F.col("data")))
-    rows = rows.select("h", "data", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("at"))
-    # behind the last shingle it counts again, which no minimum minds
-    rows = rows.select("h", *[F.xxhash64(shingle(F.col("data"), F.least(F.col("at") + i, F.col("last")))).alias(f"x{i}") for i in range(STEP)])
+    rows = shingle_rows(lines, STEP, "h")
     mixed = [F.least(*[F.shiftright(F.col(f"x{i}").bitwiseXOR(F.lit(m)), 32).cast("int") for i in range(STEP)]) for m in MASKS]
     least = rows.groupBy("h").agg(*[F.min(x).alias(f"m{i}") for i, x in enumerate(mixed)])
     return least.select("h", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col(f"m{2 * i}"), F.col(f"m{2 * i + 1}")) for i in range(BANDS)])).alias("band"))
@@ -84,26 +114,29 @@ def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = marked(lines.select("h", "line"), F.col("h"), bit_words(wanted, "h")).where("__hit").select("h", "line")
     texts = texts.join(wanted, "h", "left_semi").dropDuplicates(["h"])
     texts = stash(texts.withColumn("size", F.size(shingle_set(F.col("line")))), "line-texts")
-    comps = components(_linked(pairs, texts, threshold))
+    signs = stash(line_signs(texts), "line-signs")
+    comps = components(_linked(pairs, texts, signs, threshold))
     bands = stash(_mixed(rows.select("band", "h", "k"), comps, "band"), "mixed-bands")
     forget(rows)
     if bands.isEmpty():
-        forget(pairs, texts, bands)
+        forget(pairs, texts, signs, bands)
         return comps
     short = bands.where(F.col("k") <= SHORT).select("band", "h")
     lists = stash(_head_lists(bands.where(F.col("k") > SHORT).select("h").distinct(), texts, threshold), "line-lists")
     if not lists.isEmpty():
         fresh = stash(_apart(_offered(_beside(lists, "band")), comps).join(pairs, ["a", "b"], "left_anti"), "line-pairs")
-        comps = _joined(comps, _linked(fresh, texts, threshold))
+        comps = _joined(comps, _linked(fresh, texts, signs, threshold))
         pairs = pairs.unionByName(fresh)
         lists = _mixed(lists, comps, "band")
     left = stash(_mixed(short.unionByName(lists.select("band", "h")), comps, "band").select("band", "h", "c"), "mixed-lists")
     if left.isEmpty():
         return comps
-    other = left.select("band", F.col("h").alias("b"), F.col("c").alias("cb"))
-    fresh = left.join(other, "band").where((F.col("h") < F.col("b")) & (F.col("c") != F.col("cb")))
+    left = left.join(signs, "h")
+    other = _partner(left).withColumnsRenamed({"band": "other", "c": "cb"})
+    # all in the join's condition, so that no other pair ever is a row
+    fresh = left.join(other, (F.col("band") == F.col("other")) & (F.col("h") < F.col("b")) & (F.col("c") != F.col("cb")) & _may(threshold))
     fresh = stash(fresh.select(F.col("h").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"), "line-pairs")
-    return _joined(comps, _linked(fresh, texts, threshold))
+    return _joined(comps, _linked(fresh, texts, signs, threshold))
 
 
 def _beside(lists: DataFrame, key: str) -> DataFrame:
@@ -118,11 +151,9 @@ def _offered(lists: DataFrame) -> DataFrame:
     return pairs.select(F.col("o").alias("a"), F.col("h").alias("b")).distinct()
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose sets reach the threshold."""
-    sizes = texts.select("h", "size")
-    near = pairs.join(sizes.select(F.col("h").alias("a"), F.col("size").alias("m")), "a").join(sizes.select(F.col("h").alias("b"), F.col("size").alias("n")), "b")
-    near = near.where((F.col("m") >= threshold * F.col("n")) & (F.col("n") >= threshold * F.col("m"))).select("a", "b")
+def _linked(pairs: DataFrame, texts: DataFrame, signs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose sets reach the threshold; bitmaps decide which texts have to meet."""
+    near = pairs.join(signs.withColumnRenamed("h", "a"), "a").join(_partner(signs), "b").where(_may(threshold)).select("a", "b")
     both = near.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
     sets = F.array(F.struct(shingle_set(F.col("x")).alias("x"), shingle_set(F.col("y")).alias("y")))
     reach = lambda s: F.exists(F.array(F.size(F.array_intersect(s["x"], s["y"]))), lambda k: k >= threshold * (F.size(s["x"]) + F.size(s["y"]) - k))
