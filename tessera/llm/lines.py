@@ -8,7 +8,7 @@ similarity 0.75 a pair meets with probability 0.993, above it more often). In a
 line and with the one before it; exact Jaccard on the sets decides, and distributed union-find gives components. Bands whose
 lines still differ in component go on until no pair that may be similar is left untested across components: short ones pair by pair,
 the lines of long ones by inverted lists over their rare shingles, which lose no similar pair. A pair leaves such a join only if sizes and
-bitmaps allow it: a bitmap has a bit set for each shingle, so two of them differ in no more bits than the sets in shingles. Of each component, exact repeats included, only the first line in order of
+bitmaps allow it: a bitmap has the parity of the shingles at each bit, so two of them differ in no more bits than the sets in shingles, however full they are. Of each component, exact repeats included, only the first line in order of
 (doc_id, line number) stays.
 
 All column functions and joins. Minima come from a partial aggregate beside the scan; only lines that share a band travel as text,
@@ -56,10 +56,15 @@ def shingle(data: Column, start: Column) -> Column:
     return F.substring(data, start * 4 + 1, F.lit(4 * SHINGLE))
 
 
+def shingles(line: Column) -> Column:
+    """Hashes of a line's shingles in their order, repeats included."""
+    whole = lambda data: F.transform(F.sequence(F.lit(0), last_start(data)), lambda i: F.xxhash64(shingle(data, i)))
+    return F.get(F.transform(F.array(points(line)), whole), 0)  # over an array of one, so that the points are made once
+
+
 def shingle_set(line: Column) -> Column:
     """Hashes of a line's distinct shingles."""
-    whole = lambda data: F.array_distinct(F.transform(F.sequence(F.lit(0), last_start(data)), lambda i: F.xxhash64(shingle(data, i))))
-    return F.get(F.transform(F.array(points(line)), whole), 0)  # over an array of one, so that the points are made once
+    return F.array_distinct(shingles(line))
 
 
 def line_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -77,12 +82,12 @@ def shingle_rows(lines: DataFrame, step: int, *keys: str) -> DataFrame:
 
 
 def line_signs(texts: DataFrame) -> DataFrame:
-    """(h, size, s0, s1, ...): bitmaps of lines (h, line, size)."""
-    x = F.col("x0")
+    """(h, size, s0, s1, ...): sizes and parity bitmaps of the shingle sets of lines (h, line)."""
+    x = F.col("x")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
     word = F.shiftright(x, 6).bitwiseAND(SIGNS - 1)
-    own = [F.bit_or(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{j}") for j in range(SIGNS)]
-    return shingle_rows(texts, 1, "h", "size").groupBy("h", "size").agg(*own)
+    own = [F.bit_xor(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{j}") for j in range(SIGNS)]
+    return texts.select("h", F.explode(shingle_set(F.col("line"))).alias("x")).groupBy("h").agg(F.count("*").alias("size"), *own)
 
 
 def _partner(signs: DataFrame) -> DataFrame:
@@ -112,8 +117,7 @@ def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = stash(_offered(rows), "line-pairs")
     wanted = rows.select("h").distinct()
     texts = marked(lines.select("h", "line"), F.col("h"), bit_words(wanted, "h")).where("__hit").select("h", "line")
-    texts = texts.join(wanted, "h", "left_semi").dropDuplicates(["h"])
-    texts = stash(texts.withColumn("size", F.size(shingle_set(F.col("line")))), "line-texts")
+    texts = stash(texts.join(wanted, "h", "left_semi").dropDuplicates(["h"]), "line-texts")
     signs = stash(line_signs(texts), "line-signs")
     comps = components(_linked(pairs, texts, signs, threshold))
     bands = stash(_mixed(rows.select("band", "h", "k"), comps, "band"), "mixed-bands")
@@ -153,11 +157,11 @@ def _offered(lists: DataFrame) -> DataFrame:
 
 def _linked(pairs: DataFrame, texts: DataFrame, signs: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose sets reach the threshold; bitmaps decide which texts have to meet."""
-    near = pairs.join(signs.withColumnRenamed("h", "a"), "a").join(_partner(signs), "b").where(_may(threshold)).select("a", "b")
+    near = pairs.join(signs.withColumnRenamed("h", "a"), "a").join(_partner(signs), "b").where(_may(threshold)).select("a", "b", (F.col("size") + F.col("m")).alias("n"))
     both = near.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
-    sets = F.array(F.struct(shingle_set(F.col("x")).alias("x"), shingle_set(F.col("y")).alias("y")))
-    reach = lambda s: F.exists(F.array(F.size(F.array_intersect(s["x"], s["y"]))), lambda k: k >= threshold * (F.size(s["x"]) + F.size(s["y"]) - k))
-    return both.where(F.exists(sets, reach)).select("a", "b")
+    shared = F.size(F.array_intersect(shingles(F.col("x")), shingles(F.col("y"))))  # distinct ones; their number is computed once
+    reach = F.exists(F.array(shared), lambda k: k >= threshold * (F.col("n") - k))
+    return both.where(reach).select("a", "b")
 
 
 def _in(rows: DataFrame, comps: DataFrame, node: str, name: str) -> DataFrame:
