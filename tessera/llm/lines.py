@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_words, components, forget, free, marked, stash
+from .common import bit_words, components, forget, free, marked, parts_for, stash
 
 SHINGLE = 12
 BANDS = 6
@@ -35,7 +35,9 @@ THRESHOLD = 0.75
 #: Bands of up to so many lines have all pairs across components compared by bitmap; longer ones go by inverted lists.
 SHORT = 64
 #: Words of 64 bits in a line's bitmap.
-SIGNS = 8
+SIGNS = 16
+#: Pairs whose texts meet in one task, about: such rows are small but dear, so their bytes alone would put them in too few tasks.
+MET = 10_000
 #: Shingles that one row of the signature pass takes: it bounds the length of an expression, not the work.
 STEP = 8
 # Constants that the shingle hashes are xor-ed with.
@@ -158,7 +160,9 @@ def _offered(lists: DataFrame) -> DataFrame:
 def _linked(pairs: DataFrame, texts: DataFrame, signs: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose sets reach the threshold; bitmaps decide which texts have to meet."""
     near = pairs.join(signs.withColumnRenamed("h", "a"), "a").join(_partner(signs), "b").where(_may(threshold)).select("a", "b", (F.col("size") + F.col("m")).alias("n"))
-    both = near.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
+    tasks = parts_for(pairs.count(), MET, most=100_000)
+    own = texts.select(F.col("h").alias("a"), F.col("line").alias("x")).repartition(tasks, "a")
+    both = near.repartition(tasks, "b").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").join(own, "a")
     shared = F.size(F.array_intersect(shingles(F.col("x")), shingles(F.col("y"))))  # distinct ones; their number is computed once
     reach = F.exists(F.array(shared), lambda k: k >= threshold * (F.col("n") - k))
     return both.where(reach).select("a", "b")
