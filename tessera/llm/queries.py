@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, licenses, lines, mixing, neighbours, pieces, quality, suffixes, urls
+from . import bytebpe, conversations, jaccard, langid, licenses, lines, middles, mixing, neighbours, pieces, quality, suffixes, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_url_filter": urls.op9_url_filter,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op11_fill_in_middle": middles.op11_fill_in_middle,
+    "op12_conversation_repair": conversations.op12_conversation_repair,
+    "op13_byte_bpe": bytebpe.op13_byte_bpe,
 }
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
     "op3_license_scan": licenses.ORACLE,
     "op8_ngram_jaccard": jaccard.ORACLE,
     "op9_url_filter": urls.ORACLE,
+    "op11_fill_in_middle": middles.ORACLE,
 }
