@@ -37,7 +37,7 @@ from .common import free
 RANKS = "byte_bpe_multi_50k.tiktoken"
 FOLDER = "/opt/tokenizers"
 #: Entries that a worker remembers, at most: ids by piece (up to PIECE_BYTES each) and compatibility by pair.
-PIECES, PIECE_BYTES, PAIRS = 1 << 17, 48, 1 << 20
+PIECES, PIECE_BYTES, PAIRS = 1 << 18, 48, 1 << 20
 
 
 def public_pattern() -> str:
@@ -114,6 +114,7 @@ class RankTable:
         self.pairs: dict[tuple[int, int], int] = {}
         for data, r in ranks.items():
             self.raw[r] = data
+        self.size = [len(data or b"") for data in self.raw]
         self.formed = [data is not None and len(data) == 1 for data in self.raw]
         for data, r in ranks.items():
             if len(data) > 1 and len(parts := merged(data, ranks, r)) == 2:
@@ -181,17 +182,14 @@ class Encoder:
             return heap_merged(data, self.table.ranks)
         n, table = len(data), self.table
         longest = [0] * n
-        reach = [0] * n
         for end, (size, r) in self.search.iter(data.decode("latin-1")):
-            at = end + 1 - size
-            if size > reach[at]:
-                reach[at], longest[at] = size, r
-        size_of, shorter, compatible = table.raw, table.shorter, self.compatible
+            longest[end + 1 - size] = r  # ends rise, so the last token from a place is its longest
+        size_of, shorter, compatible = table.size, table.shorter, self.compatible
         failed = bytearray(n + 1)
         out: list[int] = []
         at, token = 0, longest[0]
         while True:
-            end = at + len(size_of[token])
+            end = at + size_of[token]
             if not failed[end] and (not out or compatible(out[-1], token)):
                 out.append(token)
                 if end == n:
@@ -201,7 +199,7 @@ class Encoder:
             while (token := shorter[token]) < 0:
                 failed[at] = 1
                 token = out.pop()
-                at -= len(size_of[token])
+                at -= size_of[token]
 
     def ids(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit numbers."""
