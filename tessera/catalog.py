@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .config import BinsPolicy, QualityPolicy
 from .functions import scalars as S
-from .operators import bins, inference, profiles, quality, shaping, states
+from .operators import bins, contract, inference, profiles, quality, shaping, states
 from .plans import views
 from .sources import ladders
 
@@ -299,29 +299,83 @@ def _(spark, d):
     return states.across_channels(states.entropy(pmf(spark, d)))
 
 
-MOVE = SIG + """,
-DX AS (SELECT * FROM (SELECT mid, channel, value - lag(value) OVER (PARTITION BY mid, channel ORDER BY idx) AS dx FROM SIG) WHERE dx IS NOT NULL),
-L AS (SELECT channel, round(quantile_cont(abs(dx), 0.999), 6) AS l FROM DX GROUP BY channel),
-MB AS (SELECT mid, channel, least(15, greatest(0, CAST(floor((dx + l) / (2 * l) * 16) AS INTEGER))) AS bin, count(*) AS k FROM DX JOIN L USING (channel) GROUP BY ALL),
-MP AS (SELECT mid, channel, bin, k / sum(k) OVER (PARTITION BY mid, channel) AS prob FROM MB)"""
+DX = """,
+DX AS (SELECT mid, channel, dx AS value FROM (SELECT mid, channel, value - lag(value) OVER (PARTITION BY mid, channel ORDER BY idx) AS dx FROM SIG) WHERE dx IS NOT NULL)"""
+
+
+def sql_edges(name: str, source: str, spec: str) -> str:
+    """CTEs that end in name (channel, edges): equiprobable edges of source's values, clipped to lo and hi, ties broken, ones closer than width merged; spec has channel, b, lo, hi, width and n."""
+    up = "list_reduce(list_transform({e}, lambda x: [x]), lambda a, b: list_append(a, CASE WHEN b[1] <= a[-1] THEN a[-1] + 1e-12 ELSE b[1] END))"
+    return f""",
+{name}_R AS (SELECT channel, value, row_number() OVER (PARTITION BY channel ORDER BY value) - 1 AS r FROM {source}),
+{name}_P AS (SELECT *, i / b * (n - 1) AS p FROM {spec}, range(257) t(i) WHERE i <= b),
+{name}_X AS (SELECT p.channel, i, width, least(hi, greatest(lo, x.value)) AS x, least(hi, greatest(lo, y.value)) AS y, p - floor(p) AS f FROM {name}_P p
+   JOIN {name}_R x ON x.channel = p.channel AND x.r = CAST(floor(p) AS BIGINT) JOIN {name}_R y ON y.channel = p.channel AND y.r = least(CAST(floor(p) AS BIGINT) + 1, n - 1)),
+{name}_E AS (SELECT channel, any_value(width) AS width, list(x + (y - x) * f ORDER BY i) AS e FROM {name}_X GROUP BY channel),
+{name}_U AS (SELECT channel, width, {up.format(e="e")} AS e FROM {name}_E),
+{name}_M AS (SELECT channel, list_append(list_reduce(list_transform(e[1:len(e) - 1], lambda x: [x]), lambda a, b: CASE WHEN b[1] - a[-1] >= width THEN list_append(a, b[1]) ELSE a END), e[-1]) AS e FROM {name}_U),
+{name} AS (SELECT channel, {up.format(e="e")} AS edges FROM {name}_M)"""
+
+
+def sql_count(n: str, lo: str, hi: str, a: str, b: str) -> str:
+    return f"CAST(least(256, greatest(32, CASE WHEN {n} < 16 OR {b} <= {a} OR {hi} <= {lo} THEN greatest(2, round_even(sqrt({n}), 0)) ELSE ceil(({hi} - {lo}) / (2 * ({b} - {a}) * pow({n}, -1.0 / 3))) END)) AS INTEGER)"
+
+
+#: The bins contract: statistics of values and increments, then the three kinds of edges.
+CONTRACT = (
+    SIG
+    + DX
+    + f""",
+A1 AS (SELECT channel, count(*) AS n, quantile_cont(value, 0.0005) AS lo, quantile_cont(value, 0.9995) AS hi, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.75) AS q75 FROM SIG GROUP BY channel),
+A2 AS (SELECT channel, 1.4826 * quantile_cont(abs(value - med), 0.5) AS sigma FROM SIG JOIN A1 USING (channel) GROUP BY channel),
+D1 AS (SELECT channel, count(*) AS n, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.75) AS q75, quantile_cont(abs(value), 0.999) AS tail, max(abs(value)) AS most FROM DX GROUP BY channel),
+D2 AS (SELECT channel, 1.4826 * quantile_cont(abs(value - med), 0.5) AS sigma FROM DX JOIN D1 USING (channel) GROUP BY channel),
+D3 AS (SELECT D1.*, sigma, CASE WHEN tail > 0 THEN tail WHEN sigma > 0 THEN 6 * sigma ELSE most END AS hi FROM D1 JOIN D2 USING (channel)),
+SA AS (SELECT channel, n, lo, hi, sigma, greatest(1e-12, 0.25 * sigma) AS width, {sql_count("n", "lo", "hi", "q25", "q75")} AS b FROM A1 JOIN A2 USING (channel)),
+SD AS (SELECT channel, n, -hi AS lo, hi, sigma, greatest(1e-12, 0.25 * sigma) AS width, {sql_count("n", "-hi", "hi", "q25", "q75")} AS b FROM D3),
+SQ AS (SELECT channel, n, lo, hi, greatest(1e-9, 0.25 * sigma) AS width, (SELECT CAST(greatest(4, least(16, floor(sqrt(min(n) / 25.0)))) AS INTEGER) FROM A1) AS b FROM SA)"""
+    + sql_edges("EA", "SIG", "SA")
+    + sql_edges("ED", "DX", "SD")
+    + sql_edges("EQ", "SIG", "SQ")
+)
+ALL_EDGES = "(SELECT channel, 'amplitude' AS kind, edges FROM EA UNION ALL SELECT channel, 'increment', edges FROM ED UNION ALL SELECT channel, 'coupling', edges FROM EQ)"
+#: The small scale factor has fewer samples than the contract asks for by default.
+LEAST = (1000, 256)
+
+
+def spec(spark, d):
+    return contract.contract(views.signal(spark, d), least=LEAST)
+
+
+@query("bins_contract", f"WITH {CONTRACT} SELECT channel, kind, CAST(i - 1 AS INTEGER) AS i, round(edges[i], 6) + 0.0 AS edge FROM {ALL_EDGES}, range(1, 300) t(i) WHERE i <= len(edges)")
+def _(spark, d):
+    return contract.long_edges(spec(spark, d))
+
+
+@query("bins_contract_summary", f"WITH {CONTRACT} SELECT SA.channel, SA.n, SD.n AS n_dx, round(SA.sigma, 6) + 0.0 AS sigma, round(SD.sigma, 6) + 0.0 AS sigma_dx, CAST(len(EA.edges) - 1 AS INTEGER) AS b_amp, CAST(len(ED.edges) - 1 AS INTEGER) AS b_dx, CAST(len(EQ.edges) - 1 AS INTEGER) AS q, CASE WHEN SA.n < 1000 THEN 'few_samples' WHEN len(EA.edges) < 3 THEN 'amplitude_collapsed' WHEN SD.n < 256 THEN 'few_increments' WHEN len(ED.edges) < 3 THEN 'increment_collapsed' END AS problem FROM SA JOIN SD USING (channel) JOIN EA USING (channel) JOIN ED USING (channel) JOIN EQ USING (channel)")
+def _(spark, d):
+    size = lambda c: (F.size(c) - 1).alias
+    return contract.contract(views.signal(spark, d), least=LEAST, strict=False).select("channel", "n", "n_dx", "sigma", "sigma_dx", size("amplitude")("b_amp"), size("increment")("b_dx"), size("coupling")("q"), "problem")
+
+
+MOVE = CONTRACT + """,
+MC AS (SELECT mid, channel, least(greatest(len(list_filter(edges, lambda e: e <= value)) - 1, 0), len(edges) - 2) AS bin, count(*) AS k FROM DX JOIN ED USING (channel) GROUP BY ALL),
+MG AS (SELECT mid, channel, CAST(b AS INTEGER) AS bin, edges FROM (SELECT DISTINCT mid, channel FROM SIG) JOIN ED USING (channel), range(300) t(b) WHERE b < len(edges) - 1),
+MT AS (SELECT *, sum(coalesce(k, 0)) OVER (PARTITION BY mid, channel) AS n FROM MG LEFT JOIN MC USING (mid, channel, bin)),
+MP AS (SELECT mid, channel, bin, edges[bin + 1] AS bin_left, edges[bin + 2] AS bin_right, CASE WHEN n > 0 THEN coalesce(k, 0) / n ELSE CAST(bin = 0 AS DOUBLE) END AS prob FROM MT)"""
 
 
 def movement(spark, d):
-    """PMF of first differences over equal bins of the increment support; empty bins are left out."""
-    s = views.signal(spark, d)
-    dx = bins.increments(s).select("mid", "channel", "value")
-    rows = dx.join(bins.increment_support(s).select("channel", F.round("support", 6).alias("l")), "channel")
-    cell = F.least(F.lit(15), F.greatest(F.lit(0), F.floor((F.col("value") + F.col("l")) / (2 * F.col("l")) * 16).cast("int")))
-    counts = rows.groupBy("mid", "channel", cell.alias("bin")).agg(F.count("*").alias("k"))
-    return counts.select("mid", "channel", "bin", (F.col("k") / F.sum("k").over(Window.partitionBy("mid", "channel"))).alias("prob"))
+    """N12 on the contract's increment edges."""
+    return states.movement_pmf(views.signal(spark, d), contract.edges_of(spec(spark, d), "increment"))
 
 
-@query("pmf_movement", f"WITH {MOVE} SELECT mid, channel, bin, {r6('prob')} FROM MP")
+@query("pmf_movement", f"WITH {MOVE} SELECT mid, channel, bin, {r6('prob', 'bin_left', 'bin_right')} FROM MP")
 def _(spark, d):
     return movement(spark, d)
 
 
-@query("movimiento_summary", f"WITH {MOVE}, H AS (SELECT mid, channel, sum(-prob * log2(prob)) AS h FROM MP GROUP BY ALL) SELECT mid, count(*) AS n_valid, round(avg(h), 6) + 0.0 AS mu, CASE WHEN count(*) > 1 THEN round(stddev_pop(h), 6) + 0.0 END AS sigma, round(sqrt(sum(h * h)), 6) + 0.0 AS norm2 FROM H GROUP BY mid")
+@query("movimiento_summary", f"WITH {MOVE}, H AS (SELECT mid, channel, sum(CASE WHEN prob > 0 THEN -prob * log2(prob) ELSE 0 END) AS h FROM MP GROUP BY ALL) SELECT mid, count(*) AS n_valid, round(avg(h), 6) + 0.0 AS mu, CASE WHEN count(*) > 1 THEN round(stddev_pop(h), 6) + 0.0 END AS sigma, round(sqrt(sum(h * h)), 6) + 0.0 AS norm2 FROM H GROUP BY mid")
 def _(spark, d):
     return states.across_channels(states.entropy(movement(spark, d)))
 
@@ -330,14 +384,23 @@ JOINT = PMF + """,
 J AS (SELECT a.mid, a.channel AS channel_i, b.channel AS channel_j, a.bin AS bi, b.bin AS bj, count(*) AS k FROM CELL a JOIN CELL b ON a.mid = b.mid AND a.idx = b.idx AND a.channel < b.channel GROUP BY ALL)"""
 
 
+def joint(spark, d):
+    return states.joint_counts(views.signal_wide(spark, d), edges(spark, d), views.CHANNELS)
+
+
 @query("joint_counts", f"WITH {JOINT} SELECT mid, channel_i, channel_j, CAST(bi AS INTEGER) AS bi, CAST(bj AS INTEGER) AS bj, k FROM J")
 def _(spark, d):
-    return states.joint_counts(views.signal(spark, d), edges(spark, d))
+    return joint(spark, d)
 
 
 @query("mutual_information", f"WITH {JOINT}, Z AS (SELECT *, k / sum(k) OVER p AS p, sum(k) OVER (PARTITION BY mid, channel_i, channel_j, bi) / sum(k) OVER p AS pi, sum(k) OVER (PARTITION BY mid, channel_i, channel_j, bj) / sum(k) OVER p AS pj FROM J WINDOW p AS (PARTITION BY mid, channel_i, channel_j)) SELECT mid, channel_i, channel_j, round(sum(p * log2(p / (pi * pj))), 6) + 0.0 AS mi, round(sum(-p * log2(p / pj)), 6) + 0.0 AS h_cond FROM Z GROUP BY ALL")
 def _(spark, d):
-    return states.mutual_information(states.joint_counts(views.signal(spark, d), edges(spark, d)))
+    return states.mutual_information(joint(spark, d)).select("mid", "channel_i", "channel_j", "mi", "h_cond")
+
+
+@query("uncertainty", f"WITH {JOINT}, Z AS (SELECT *, k / sum(k) OVER p AS p, sum(k) OVER (PARTITION BY mid, channel_i, channel_j, bi) / sum(k) OVER p AS pi, sum(k) OVER (PARTITION BY mid, channel_i, channel_j, bj) / sum(k) OVER p AS pj FROM J WINDOW p AS (PARTITION BY mid, channel_i, channel_j)), Y AS (SELECT mid, channel_i, channel_j, sum(p * log2(p / (pi * pj))) AS mi, sum(-p * log2(pi)) AS h_i, sum(-p * log2(pj)) AS h_j FROM Z GROUP BY ALL) SELECT mid, channel_i, channel_j, {r6('h_i', 'h_j')}, CASE WHEN abs(h_i) > 1e-12 THEN round(mi / h_i, 6) + 0.0 ELSE 0 END AS u_i, CASE WHEN abs(h_j) > 1e-12 THEN round(mi / h_j, 6) + 0.0 ELSE 0 END AS u_j FROM Y")
+def _(spark, d):
+    return states.mutual_information(joint(spark, d)).select("mid", "channel_i", "channel_j", "h_i", "h_j", "u_i", "u_j")
 
 
 @query("pmf_kl", f"WITH {STEPS} SELECT lab, laser, n, round(fwd, 6) + 0.0 AS forma_fwd, round(bwd, 6) + 0.0 AS forma_bwd FROM ST")

@@ -1,4 +1,4 @@
-"""Data-driven supports, bin counts, edges and their health (N1-N7, N10, N19). Quantiles are exact and distributed."""
+"""Data-driven supports, bin counts, edges and their health (N1-N7, N19). Quantiles are those of ``ranks``: exact, and no channel meets in one task."""
 
 from __future__ import annotations
 
@@ -6,31 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BinsPolicy
+from . import ranks
 
 PCT = "channel"
 
 
 def robust_support(signal: DataFrame, p: BinsPolicy = BinsPolicy()) -> DataFrame:
     """N1."""
-    q = F.percentile("value", F.array(F.lit(p.support_q), F.lit(1 - p.support_q)))
-    return signal.groupBy(PCT).agg(q.alias("q"), F.count("value").alias("n")).select(PCT, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "n")
+    return ranks.quantiles(ranks.counted(signal, [PCT]), [], (PCT,), trim=p.support_q).select(PCT, "lo", "hi", "n")
 
 
 def mad_sigma(signal: DataFrame) -> DataFrame:
-    """1.4826 times the median absolute deviation; the medians have a row a channel, so they may be broadcast."""
-    med = signal.groupBy(PCT).agg(F.percentile("value", F.lit(0.5)).alias("med"))
-    rows = signal.join(med, PCT).withColumn("dev", F.abs(F.col("value") - F.col("med")))
-    return rows.groupBy(PCT).agg((F.percentile("dev", F.lit(0.5)) * 1.4826).alias("sigma"))
+    """1.4826 times the median absolute deviation."""
+    with ranks.kept(ranks.counted(signal, [PCT])) as counts:
+        return ranks.mad_sigma(counts, ranks.quantiles(counts, [0.5]).select(PCT, F.col("q")[0].alias("med")), [PCT])
+
+
+def fd_count(n: Column, low: Column, high: Column, q25: Column, q75: Column, p: BinsPolicy) -> Column:
+    """Freedman-Diaconis bin count over low to high, the rounded root of n where there are few values or no spread, clamped."""
+    h = 2 * (q75 - q25) * F.pow(n.cast("double"), F.lit(-1 / 3))
+    root = F.greatest(F.lit(2), F.bround(F.sqrt(n)))
+    count = F.when((n < 16) | (q75 <= q25) | (high <= low), root).otherwise(F.ceil(F.try_divide(high - low, h)))
+    return F.least(F.lit(p.max_bins), F.greatest(F.lit(p.min_bins), count)).cast("int")
 
 
 def fd_bins(signal: DataFrame, p: BinsPolicy = BinsPolicy()) -> DataFrame:
-    """Freedman-Diaconis bin count with the square-root fallback, clamped."""
-    own = signal.groupBy(PCT).agg(F.percentile("value", F.array(*[F.lit(x) for x in (p.support_q, 0.25, 0.75, 1 - p.support_q)])).alias("q"), F.count("value").alias("n"))
-    q = F.col("q")
-    h = 2 * (q[2] - q[1]) * F.pow(F.col("n").cast("double"), F.lit(-1 / 3))
-    root = F.greatest(F.lit(2), F.bround(F.sqrt("n")))
-    count = F.when((F.col("n") < 16) | (q[2] <= q[1]) | (q[3] <= q[0]), root).otherwise(F.ceil(F.try_divide(q[3] - q[0], h)))
-    return own.select(PCT, F.least(F.lit(p.max_bins), F.greatest(F.lit(p.min_bins), count)).cast("int").alias("n_bins"))
+    """N3 over the robust support."""
+    own = ranks.quantiles(ranks.counted(signal, [PCT]), [0.25, 0.75], (PCT,), trim=p.support_q)
+    return own.select(PCT, fd_count(F.col("n"), F.col("lo"), F.col("hi"), F.col("q")[0], F.col("q")[1], p).alias("n_bins"))
 
 
 def increasing(edges: Column, eps: float) -> Column:
@@ -40,14 +43,10 @@ def increasing(edges: Column, eps: float) -> Column:
 
 
 def quantile_edges(signal: DataFrame, n_bins: int, p: BinsPolicy = BinsPolicy(), digits: int | None = None) -> DataFrame:
-    """Equiprobable edges between the ends of the robust support, ends forced, ties broken."""
-    at = F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)])
-    support = robust_support(signal, p)
-    rows = signal.join(support, PCT).withColumn("c", F.least(F.col("hi"), F.greatest(F.col("lo"), F.col("value"))))
-    own = rows.groupBy(PCT).agg(F.percentile("c", at).alias("e"))
-    if digits is not None:
-        own = own.withColumn("e", F.transform("e", lambda x: F.round(x, digits)))
-    return own.select(PCT, increasing(F.col("e"), p.epsilon).alias("edges"))
+    """Equiprobable edges between the ends of the robust support, ties broken."""
+    own = ranks.quantiles(ranks.counted(signal, [PCT]), [i / n_bins for i in range(n_bins + 1)], (PCT,), trim=p.support_q)
+    edges = F.col("q") if digits is None else F.transform("q", lambda x: F.round(x, digits))
+    return own.select(PCT, increasing(edges, p.epsilon).alias("edges"))
 
 
 def merge_narrow(edges: Column, width: Column) -> Column:
@@ -64,10 +63,16 @@ def increments(signal: DataFrame, keys=("mid", "channel"), order="idx") -> DataF
 
 
 def increment_support(signal: DataFrame, p: BinsPolicy = BinsPolicy()) -> DataFrame:
-    """Quantile of absolute increments, fallback to the largest one."""
-    dx = increments(signal).withColumn("a", F.abs("value"))
-    q = F.percentile("a", F.lit(p.increment_q))
-    return dx.groupBy(PCT).agg(F.when(q > 0, q).otherwise(F.max("a")).alias("support"), F.count("*").alias("n"))
+    """Quantile of absolute increments; where that is 0, six robust deviations, or else the largest one."""
+    with ranks.kept(ranks.counted(increments(signal), [PCT])) as counts:
+        tail = ranks.quantiles(ranks.absolute(counts, [PCT]), [p.increment_q, 1.0]).select(PCT, "n", F.col("q")[0].alias("tail"), F.col("q")[1].alias("most"))
+        sigma = ranks.mad_sigma(counts, ranks.quantiles(counts, [0.5]).select(PCT, F.col("q")[0].alias("med")), [PCT])
+    return tail.join(sigma, PCT).select(PCT, tail_support(F.col("tail"), F.col("sigma"), F.col("most")).alias("support"), "n")
+
+
+def tail_support(tail: Column, sigma: Column, most: Column) -> Column:
+    """N6's fallbacks."""
+    return F.when(tail > 0, tail).when(sigma > 0, 6 * sigma).otherwise(most)
 
 
 def coupling_q(signal: DataFrame, p: BinsPolicy = BinsPolicy()) -> DataFrame:

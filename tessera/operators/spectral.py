@@ -1,4 +1,4 @@
-"""Spectral edges, energy and modal states, the bins contract and the states table."""
+"""Spectral edges, energy and modal states and the states table."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import BinsPolicy
 from ..functions import scalars as S
 from . import bins, states
 
@@ -138,27 +137,6 @@ def modal_summary(spectra: DataFrame, n_fft: int, fs: float | None = None, low:
     return rows.withColumn("p", p).groupBy("mid", "channel").agg(F.sum(S.entropy_term(F.col("p"), base)).alias("h"), F.count("*").alias("n_modes"))
 
 
-def contract(signal: DataFrame, n_bins: int, p: BinsPolicy = BinsPolicy(), least: tuple[int, int] = (4096, 1024), digits: int | None = None) -> DataFrame:
-    """Channel, n, sigma, amplitude, increment and coupling edges, a row a channel.
-
-    Quantile edges lose inner ones closer than width_sigma robust deviations (N5); coupling edges have N7's number of categories.
-    A channel with too few samples or increments, or whose edges collapse, raises.
-    """
-    support, sigma = bins.robust_support(signal, p).select("channel", "n"), bins.mad_sigma(signal)
-    increments = bins.increment_support(signal, p).select("channel", "support", F.col("n").alias("n_dx"))
-    q = int(bins.coupling_q(signal, p).first()["q"])
-    edges = bins.quantile_edges(signal, n_bins, p, digits)
-    coupling = bins.quantile_edges(signal, q, p, digits).select("channel", F.col("edges").alias("coupling"))
-    rows = support.join(sigma, "channel").join(increments, "channel").join(edges, "channel").join(coupling, "channel")
-    width = F.greatest(F.lit(p.epsilon), p.width_sigma * F.col("sigma"))
-    rows = rows.withColumns({"amplitude": bins.merge_narrow(F.col("edges"), width), "coupling": bins.merge_narrow(F.col("coupling"), width)})
-    rows = rows.withColumn("increment", F.transform(F.sequence(F.lit(0), F.lit(n_bins)), lambda i: -F.col("support") + 2 * F.col("support") * i / n_bins))
-    wrong = rows.where((F.col("n") < least[0]) | (F.col("n_dx") < least[1]) | edge_problem(F.col("amplitude")).isNotNull() | (F.col("amplitude")[1] - F.col("amplitude")[0] <= 1e-12)).first()
-    if wrong:
-        raise ContractError(f"channel {wrong['channel']}: {wrong['n']} samples, {wrong['n_dx']} increments, {len(wrong['amplitude'])} edges")
-    return rows.select("channel", "n", "n_dx", "sigma", "amplitude", "increment", "coupling")
-
-
 def states_table(queue: DataFrame, signal: DataFrame, edges: DataFrame) -> DataFrame:
     """Mid, channel, h and status for every measurement of the queue and every channel of the contract: ok, missing_mid, missing_signal or missing_channel."""
     h = states.entropy(states.pmf(signal.join(queue.select("mid").distinct(), "mid", "left_semi"), edges))

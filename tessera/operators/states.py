@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,14 +12,23 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 
-def pmf(signal: DataFrame, edges: DataFrame, keys=("mid", "channel")) -> DataFrame:
-    """N11/N12 with N17: dense (key, bin, prob, bin_left, bin_right). Edges have a row a channel."""
+def pmf(signal: DataFrame, edges: DataFrame, keys=("mid", "channel"), missing: bool = True) -> DataFrame:
+    """N11/N12 with N17: dense (key, bin, bin_left, bin_right, prob). Edges have a row a channel.
+
+    missing: whether rows without a value count, in the first bin. A group without a row that counts has its whole mass in the first bin.
+    """
     cell = signal.join(edges, "channel").withColumn("bin", S.bin_index(F.col("edges"), F.col("value")))
-    counts = cell.groupBy(*keys, "bin").agg(F.count("*").alias("k"))
-    grid = signal.select(*keys).distinct().join(edges, "channel").select(*keys, F.posexplode(F.slice("edges", F.lit(1), F.size("edges") - 1)).alias("bin", "bin_left"), "edges")
-    grid = grid.withColumn("bin_right", F.element_at("edges", F.col("bin") + 2)).drop("edges")
-    dense = grid.join(counts, [*keys, "bin"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
-    return dense.withColumn("prob", F.col("k") / F.sum("k").over(Window.partitionBy(*keys))).drop("k")
+    counts = cell.groupBy(*keys, "bin").agg(F.count("*" if missing else "value").alias("k"))
+    own = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "k"))).alias("ks"), F.sum("k").alias("n"))  # no more than there are bins
+    dense = own.join(edges, "channel").select(*keys, "ks", "n", "edges", F.posexplode(F.slice("edges", F.lit(1), F.size("edges") - 1)).alias("bin", "bin_left"))
+    share = F.when(F.col("n") == 0, (F.col("bin") == 0).cast("double")).otherwise(F.coalesce(F.element_at("ks", F.col("bin")), F.lit(0)) / F.col("n"))
+    return dense.select(*keys, "bin", "bin_left", F.element_at("edges", F.col("bin") + 2).alias("bin_right"), share.alias("prob"))
+
+
+def movement_pmf(signal: DataFrame, edges: DataFrame) -> DataFrame:
+    """Dense PMF of first differences over the contract's increment edges (channel, edges); under two samples all mass is in the first bin."""
+    last = F.lag("value").over(Window.partitionBy("mid", "channel").orderBy("idx"))
+    return pmf(signal.withColumn("value", F.col("value") - last), edges, missing=False)
 
 
 def entropy(pmf: DataFrame, keys=("mid", "channel"), base: float = 2.0) -> DataFrame:
@@ -31,23 +42,35 @@ def across_channels(h: DataFrame, keys=("mid",)) -> DataFrame:
     return h.groupBy(*keys).agg(F.count("h").alias("n_valid"), F.avg("h").alias("mu"), F.when(many, F.stddev_pop("h")).alias("sigma"), F.sqrt(F.sum(F.col("h") * F.col("h"))).alias("norm2"))
 
 
-def joint_counts(signal: DataFrame, edges: DataFrame) -> DataFrame:
-    """Counts of (channel_i, channel_j, bi, bj) at equal samples, i < j. One row a sample holds all bins, so no self-join."""
-    cell = signal.join(edges, "channel").withColumn("bin", S.bin_index(F.col("edges"), F.col("value")))
-    wide = cell.groupBy("mid", "idx").agg(F.array_sort(F.collect_list(F.struct("channel", "bin"))).alias("b"))
-    pairs = F.explode(F.flatten(F.transform("b", lambda x: F.transform(F.filter("b", lambda y: y["channel"] > x["channel"]), lambda y: F.struct(x.alias("x"), y.alias("y"))))))
-    rows = wide.select("mid", pairs.alias("p"))
-    return rows.groupBy("mid", F.col("p.x.channel").alias("channel_i"), F.col("p.y.channel").alias("channel_j"), F.col("p.x.bin").alias("bi"), F.col("p.y.bin").alias("bj")).agg(F.count("*").alias("k"))
+def joint_counts(wide: DataFrame, edges: DataFrame, channels: Sequence[str], keys=("mid",)) -> DataFrame:
+    """Counts of (channel_i, channel_j, bi, bj) at equal samples, i < j.
+
+    wide has a column a channel, so a row is a sample: its bins are paired in place and counted before anything is shuffled. The
+    edges of all channels (a row each) reach the tasks as one map.
+    """
+    names = sorted(channels)
+    known = edges.agg(F.map_from_entries(F.collect_list(F.struct("channel", "edges"))).alias("m")).scalar()
+    rows = wide.withColumn("__m", known)
+    rows = rows.select(*keys, *[S.bin_index(F.element_at("__m", F.lit(c)), F.col(c)).alias(f"__{i}") for i, c in enumerate(names)])
+    pairs = [F.struct(F.lit(a).alias("channel_i"), F.lit(b).alias("channel_j"), F.col(f"__{i}").alias("bi"), F.col(f"__{j}").alias("bj")) for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
+    rows = rows.select(*keys, F.explode(F.array(*pairs)).alias("p")).select(*keys, "p.*")
+    return rows.groupBy(*keys, "channel_i", "channel_j", "bi", "bj").agg(F.count("*").alias("k"))
 
 
-def mutual_information(joint: DataFrame, base: float = 2.0) -> DataFrame:
-    """N15, with the conditional entropy and uncertainty coefficient (definition inferred)."""
-    pair = ["mid", "channel_i", "channel_j"]
+def mutual_information(joint: DataFrame, base: float = 2.0, keys=("mid",)) -> DataFrame:
+    """Mutual information, entropies of both channels, conditional entropy of the first and both uncertainty coefficients.
+
+    A coefficient is the information over the entropy of the channel it explains, 0 where that has none (definitions inferred).
+    """
+    pair = [*keys, "channel_i", "channel_j"]
     n = F.sum("k").over(Window.partitionBy(*pair))
-    rows = joint.withColumns({"p": F.col("k") / n, "pi": F.sum("k").over(Window.partitionBy(*pair, "bi")) / n, "pj": F.sum("k").over(Window.partitionBy(*pair, "bj")) / n})
-    term = F.col("p") * F.log(base, F.col("p") / (F.col("pi") * F.col("pj")))
-    cond = -F.col("p") * F.log(base, F.col("p") / F.col("pj"))
-    return rows.groupBy(*pair).agg(F.sum(term).alias("mi"), F.sum(cond).alias("h_cond"))
+    ki, kj = (F.sum("k").over(Window.partitionBy(*pair, b)) for b in ("bi", "bj"))
+    rows = joint.withColumns({"p": F.col("k") / n, "pi": ki / n, "pj": kj / n})
+    log = lambda x: F.log(base, x)
+    sums = {"mi": F.col("p") * log(F.col("p") / (F.col("pi") * F.col("pj"))), "h_i": -F.col("p") * log(F.col("pi")), "h_j": -F.col("p") * log(F.col("pj")), "h_cond": -F.col("p") * log(F.col("p") / F.col("pj"))}
+    own = rows.groupBy(*pair).agg(*[F.sum(x).alias(c) for c, x in sums.items()])
+    share = lambda h: F.when(F.abs(F.col(h)) > 1e-12, F.col("mi") / F.col(h)).otherwise(0.0)
+    return own.withColumns({"u_i": share("h_i"), "u_j": share("h_j")})
 
 
 def consecutive_kl(pmf: DataFrame, keys=("lab", "laser"), step: str = "day", eps: float = 1e-12, base: float = 2.0) -> DataFrame:

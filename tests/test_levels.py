@@ -47,15 +47,6 @@ def test_control_files(spark, tmp_path):
     assert files.read_spectra(spark, f"{tmp_path}/s").collect() == power.collect()
 
 
-def test_contract_raises_and_merges(spark):
-    rng = np.random.default_rng(1)
-    rows = spark.createDataFrame([(0, "c", i, float(x)) for i, x in enumerate(rng.normal(size=5000))], "mid int, channel string, idx int, value double")
-    own = spectral.contract(rows, 64).first()
-    assert len(own["amplitude"]) >= 3 and (np.diff(own["amplitude"][:-1]) >= 0.25 * own["sigma"] - 1e-9).all() and len(own["increment"]) == 65
-    with pytest.raises(spectral.ContractError):
-        spectral.contract(rows.where("idx < 100"), 64)
-
-
 def test_spectra_cases(spark):
     assert spectral.block_starts(10, 4, 1) == [3] and spectral.block_starts(3, 4, 2) == [] and spectral.block_starts(10, 4, 3) == [0, 3, 6]
     random = spectral.block_starts(1000, 4, 8, "random", "m")
