@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .ragged import DELIMITERS, csv_fields
 
-DELIMITERS = [",", ";", "\t", "|"]
 DATE_DIR = r"^\d{2}[A-Za-z]{3}\d{2}$"
 
 
@@ -69,7 +69,7 @@ def lines_of(files: DataFrame) -> DataFrame:
 def sniff(lines: DataFrame) -> DataFrame:
     """Path and the delimiter that cuts the header into most fields; a comma if none cuts it. Ties go to the first in , ; TAB |."""
     head = lines.where("row = 0")
-    n = [F.size(F.split("line", re.escape(d))) for d in DELIMITERS]
+    n = [F.size(csv_fields("line", F.lit(d))) for d in DELIMITERS]
     best = F.greatest(*n)
     choice = None
     for d, k in zip(DELIMITERS, n, strict=True):
@@ -78,13 +78,12 @@ def sniff(lines: DataFrame) -> DataFrame:
 
 
 def fields(line: Column, delimiter: Column) -> Column:
-    """Fields of a line, quotes around a field taken off."""
-    cut = F.split(line, F.concat(F.lit("\\Q"), delimiter, F.lit("\\E")))
-    return F.transform(cut, lambda x: F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"))
+    """Fields of a line by csv rules: quotes are taken off, and delimiters inside them kept."""
+    return F.transform(csv_fields(line, delimiter), lambda x: F.trim(x))
 
 
 def cells(lines: DataFrame, allow_extra: bool = True) -> DataFrame:
-    """S3: path, row, fields of data rows as wide as the header; one trailing field more is cut off, other rows and blank ones are left out."""
+    """S3 of lines (``ragged`` reads quoted line feeds): path, row, fields of data rows as wide as the header; one trailing field more is cut off, other rows and blank ones are left out."""
     rows = lines.join(sniff(lines), "path").where(F.trim("line") != "").withColumn("f", fields(F.col("line"), F.col("delimiter")))
     head = rows.where("row = 0").select("path", F.col("f").alias("header"))
     rows = rows.where("row > 0").join(head, "path")
@@ -141,6 +140,6 @@ def plan(files: DataFrame) -> DataFrame:
     return rows.withColumn("mid", S.mid(F.col("date"), F.col("lab"), F.col("archivo"))).drop("k")
 
 
-def write_table(signal: DataFrame, path: str, by: Sequence[str] = ("fecha", "lab"), mode: str = "overwrite") -> None:
-    """K1-K3: partitioned Parquet; mode ignore skips what exists, errorifexists raises."""
-    signal.write.mode(mode).partitionBy(*by).parquet(path)
+def write_table(signal: DataFrame, path: str, by: Sequence[str] = ("fecha", "lab"), mode: str = "overwrite", row_group: int = 50_000) -> None:
+    """K1-K3: partitioned Parquet in row groups of so many rows at most; mode ignore skips what exists, errorifexists raises."""
+    signal.write.mode(mode).option("parquet.block.row.count.limit", str(row_group)).partitionBy(*by).parquet(path)
