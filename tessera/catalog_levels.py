@@ -92,6 +92,25 @@ def _(spark, d):
     return relational.count_by(relational.sampled(views.signal(spark, d), 1000, ["channel"], ["mid", "idx"]), ["channel"])
 
 
+SAMPLE = SIG + """,
+F1 AS (SELECT *, md5(concat_ws(':', mid, idx, '7')) AS h FROM SIG), F2 AS (SELECT *, row_number() OVER (PARTITION BY mid, channel ORDER BY h) AS r FROM F1),
+F3 AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY h) AS g FROM F2 WHERE r <= 40)"""
+
+
+@query("capped_sample", f"WITH {SAMPLE} SELECT mid, channel, idx, value FROM F3 WHERE g <= 1500")
+def _(spark, d):
+    rows = relational.capped_sample(views.signal(spark, d), 40, 1500, ["mid", "channel"], ["channel"], ["mid", "idx"], seed=7)
+    return rows.select("mid", "channel", "idx", "value")
+
+
+@query("light_channels", "WITH R AS (SELECT s_suppkey AS mid, 'Ch' || (s_suppkey % 9) AS canonical_name, CASE s_suppkey % 7 WHEN 0 THEN ' Luz roja' WHEN 1 THEN 'LASER ' || s_nationkey WHEN 2 THEN 'AccelZ' WHEN 3 THEN 'azul' ELSE 'flight' END AS raw_name FROM supplier WHERE s_suppkey % 9 < 5 OR s_suppkey % 7 IN (2, 3)) SELECT * FROM R WHERE canonical_name IN (SELECT canonical_name FROM R WHERE regexp_matches(lower(trim(raw_name)), '^luz|laser|light'))")
+def _(spark, d):
+    k = F.col("s_suppkey")
+    raw = F.when(k % 7 == 0, " Luz roja").when(k % 7 == 1, F.concat(F.lit("LASER "), "s_nationkey")).when(k % 7 == 2, "AccelZ").when(k % 7 == 3, "azul").otherwise("flight")
+    rows = views.table(spark, d, "supplier").where((k % 9 < 5) | (k % 7).isin(2, 3))
+    return relational.light_channels(rows.select(k.alias("mid"), F.concat(F.lit("Ch"), (k % 9).cast("string")).alias("canonical_name"), raw.alias("raw_name"))).select("mid", "canonical_name", "raw_name")
+
+
 @query("laser_names", f"WITH {SIG} SELECT DISTINCT channel AS laser FROM SIG")
 def _(spark, d):
     rows = views.signal(spark, d).select(F.concat(F.lit(" "), "channel").alias("laser"))

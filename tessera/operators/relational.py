@@ -66,10 +66,12 @@ def of_feature(pmf: DataFrame, feature: str) -> DataFrame:
 
 
 def light_channels(roles: DataFrame) -> DataFrame:
-    """Channels whose raw name starts with luz or speaks of laser or light; a measurement without any keeps its Ch1 to Ch6."""
-    light = F.lower("raw_name").rlike("^luz|laser|light")
-    some = F.max(light).over(Window.partitionBy("mid"))
-    return roles.withColumns({"__l": light, "__s": some}).where(F.col("__l") | (~F.col("__s") & F.col("canonical_name").rlike("^Ch[1-6]$"))).drop("__l", "__s")
+    """Channels whose canonical name has, in any measurement, a raw name that starts with luz or speaks of laser or light; if there is none at all, Ch1 to Ch6."""
+    light = roles.where(F.lower(F.trim("raw_name")).rlike("^luz|laser|light")).select("canonical_name").distinct()
+    some = light.agg(F.count("*")).scalar() > 0
+    marked = roles.join(light.withColumn("__l", F.lit(True)), "canonical_name", "left")
+    keep = F.when(some, F.col("__l").isNotNull()).otherwise(F.col("canonical_name").rlike("^Ch[1-6]$"))
+    return marked.where(keep).select(*roles.columns)
 
 
 def up_to(rows: DataFrame, most: int, n: str = "n") -> DataFrame:
@@ -88,14 +90,19 @@ def with_pivot(meta: DataFrame, entropies: DataFrame, lasers: Sequence[str], val
     return meta.join(wide, "mid", "left")
 
 
-def attached(rows: DataFrame, other: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The other's new columns by one key after the other; within a key the first row in order counts."""
+def attached(rows: DataFrame, other: DataFrame, keys: Sequence[str], order: str, fill: bool = True) -> DataFrame:
+    """The other's new columns by one key after the other; within a key the first row in order counts.
+
+    fill: a later key also fills rows that an earlier one has missed; else it only brings columns that are absent still, which after a
+    first key that both have are none.
+    """
     new = [c for c in other.columns if c not in rows.columns and c not in keys]
-    out = rows
-    for i, key in enumerate(keys):
+    out, used = rows, [k for k in keys if k in rows.columns and k in other.columns]
+    used = used if fill else used[:1]
+    for i, key in enumerate(used):
         own = other.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.min_by(F.struct(*new), order).alias(f"__k{i}")])
         out = out.join(own, key, "left")
-    found = F.coalesce(*[F.col(f"__k{i}") for i in range(len(keys))])
+    found = F.coalesce(*[F.col(f"__k{i}") for i in range(len(used))])
     return out.withColumn("__k", found).select(*rows.columns, *[F.col("__k")[c].alias(c) for c in new])
 
 
@@ -158,9 +165,23 @@ def natural(name: Column) -> Column:
 
 
 def sampled(rows: DataFrame, most: int, keys: Sequence[str], order: Sequence[str], seed: int = 0) -> DataFrame:
-    """A seeded sample without replacement, at most so many rows of each group."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*order, F.lit(seed)), *order))
-    return rows.withColumn("__r", rank).where(F.col("__r") <= most).drop("__r")
+    """A seeded sample without replacement, the rows of each group with the least digests of order and seed, at most so many.
+
+    Counts by the first 16 bits of the digest (65,536 at most a group, summed before the shuffle) tell up to which of these rows are needed,
+    so that only they are shuffled and ranked, not the group.
+    """
+    digest = F.md5(F.concat_ws(":", *order, F.lit(str(seed))).cast("binary"))
+    own = rows.withColumn("__d", digest).withColumn("__b", F.conv(F.substring("__d", 1, 4), 16, 10).cast("int"))
+    totals = own.groupBy(*keys, "__b").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(Window.partitionBy(*keys).orderBy("__b")))
+    last = totals.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("upto") >= most, F.col("__b"))), F.lit(65535)).alias("__last"))
+    own = own.join(last, list(keys)).where("__b <= __last")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__d", *order))
+    return own.withColumn("__r", rank).where(F.col("__r") <= most).select(*rows.columns)
+
+
+def capped_sample(rows: DataFrame, per_file: int, in_all: int, file: Sequence[str], group: Sequence[str], order: Sequence[str], seed: int = 0) -> DataFrame:
+    """A sample with a cap for each file and one for each group of files."""
+    return sampled(sampled(rows, per_file, file, order, seed), in_all, group, order, seed)
 
 
 def stacked(parts: Sequence[DataFrame]) -> DataFrame:
