@@ -13,6 +13,10 @@ broadcast to the tasks. Each other word is folded once, in the place where the s
 blocks of like size by id and text; a word's path goes to the blocks that need it and meets their documents there, which gives the
 ids of whole texts. Which words count as frequent changes cost, not results.
 
+Units of over ``CUT_ABOVE`` characters (text without spaces) are cut again between any two characters that stand next to each other in no
+piece, where no edge can cross. What is still longer than ``LONG`` takes a way of its own, linear in its length: windows of LONG starts are exploded and joined
+like words, edges are grouped by unit and window, and the fold keeps the scores of the last window only and lays finished ones aside.
+
 Scores: the vocabulary at hand is of the merge kind, whose scores are ranks, not log-probabilities. A Viterbi path over ranks
 splits common words, so a rank r counts as log-probability -ln(r + RANK_SHIFT) - 5, and the result is the best unigram path
 over the model's pieces. It is not the library's merge order; both decode to the same text.
@@ -20,10 +24,9 @@ over the model's pieces. It is not the library's merge order; both decode to the
 Decoding looks up each id's bytes, writes marks as spaces, joins byte pieces and drops the first space; it returns the text
 exactly, a literal piece mark included (it goes by bytes).
 
-Defined cases: null text has null ids in ``encode`` and counts 0 in the query; empty text has no ids; very long texts are encoded whole; a
-unit's cost grows with the square of its length, and only a stretch of over ``MAX_UNIT`` (a million) characters without a space or line feed is
-cut; of paths with equal score the one with the longer last piece wins; repeated rows keep their rows, null and repeated ids included; columns
-beside id and text play no part; an empty table gives an empty result.
+Defined cases: null text has null ids in ``encode`` and counts 0 in the query; empty text has no ids; very long texts, with or without
+spaces, are encoded whole, and nothing is cut at a length; of paths with equal score the one with the longer last piece wins; repeated rows keep
+their rows, null and repeated ids included; ids may have any type; columns beside id and text play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,7 +50,6 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Stands for a literal mark while pieces are looked up; no piece holds it.
 OTHER = "\ue000"
-MAX_UNIT = 1 << 20
 RANK_SHIFT = 1000
 FALLBACK = -60.0
 BLOCK_BYTES = 8 << 20
@@ -59,10 +61,13 @@ COUNT_LEAST, COUNT_BYTES = 3, 16 << 20
 #: Partitions that blocks are dealt over, at most.
 MOST_PARTS = 100_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-_MARKS = rf"{MARK}{{0,{MAX_UNIT}}}"
-_UNITS = rf"\n|{_MARKS}[{_LETTER}]{{1,{MAX_UNIT}}}|{_MARKS}[^{_LETTER}{MARK}\n]{{1,{MAX_UNIT}}}|{MARK}{{1,{MAX_UNIT}}}"
+_UNITS = rf"\n|{MARK}*[{_LETTER}]+|{MARK}*[^{_LETTER}{MARK}\n]+|{MARK}+"
 #: Units for tables with pieces that hold both letters and other characters.
-_WHOLE = rf"\n|{_MARKS}[^{MARK}\n]{{1,{MAX_UNIT}}}|{MARK}{{1,{MAX_UNIT}}}"
+_WHOLE = rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+"
+#: Units above this length are cut where no piece joins two characters; longer ones than LONG are folded by windows.
+CUT_ABOVE, LONG = 32, 256
+#: A text without this has no unit longer than LONG.
+_LONG_RUN = rf"[^ \n]{{{LONG // 2}}}| {{{LONG // 2}}}"
 
 
 class PieceTable:
@@ -93,6 +98,29 @@ class PieceTable:
         cut = re.compile(_UNITS).fullmatch
         #: No piece may span two units: then the best path of a text is that of its units, one after the other.
         self.units = _UNITS if all(cut(p) for p, _, _ in self.rows) else _WHOLE
+        #: Characters that stand next to each other in some piece.
+        self.joined = {p[i : i + 2] for p, _, _ in self.rows for i in range(len(p) - 1)}
+
+    def splitter(self) -> Callable[[str], list[str]]:
+        """Cuts a spaced text into units."""
+        find, joined = re.compile(self.units).findall, self.joined
+
+        def cut(text: str) -> list[str]:
+            units = find(text)
+            if len(max(units, key=len, default="")) <= CUT_ABOVE:
+                return units
+            out = []
+            for u in units:
+                begin = 0
+                if len(u) > CUT_ABOVE:
+                    for i in range(1, len(u)):
+                        if u[i - 1 : i + 1] not in joined:
+                            out.append(u[begin:i])
+                            begin = i
+                out.append(u[begin:])
+            return out
+
+        return cut
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(pd.DataFrame(self.rows, columns=["sub", "id", "score"])[["sub", "id"]], "sub string, id int")
@@ -106,33 +134,42 @@ def marked_text(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.concat(F.lit(MARK), F.translate(text, MARK + " ", OTHER + MARK)))
 
 
-def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(blocks, ids): the best path of each of words (word, blocks). A negative id is a code point that goes by bytes; the ids spell the word.
+def _edge(start: Column, size: Column, sub: str) -> Column:
+    """An edge as one number: its end, its start back from the end (less than 2^8) and id + 2^22 in 21, 8 and 24 bits or more, so that edges sort by end and take little room. A negative id is a code point that goes by bytes."""
+    end = F.shiftleft((start + size).cast("long"), 32).bitwiseOR(F.shiftleft(F.lit(255) - size, 24).cast("long").bitwiseAND((1 << 32) - 1))
+    return end.bitwiseOR((F.coalesce("id", -F.ascii(sub)) + (1 << 22)).cast("long"))
 
-    An edge is one number, end, start back from the end (less than 2^8) and id + 2^22 in 21, 8 and 24 bits, so that edges sort by end and take little room.
-    """
+
+def _place(x: Column) -> Column:
+    """The start of an edge."""
+    return (F.shiftright(x, 32) - 255 + F.shiftright(x, 24).bitwiseAND(255)).cast("int")
+
+
+def _piece(x: Column) -> Column:
+    return x.bitwiseAND((1 << 24) - 1).cast("int") - (1 << 22)
+
+
+def _edges(spans: DataFrame, table: PieceTable) -> DataFrame:
+    """spans (with sub and l) that are pieces, or single characters, with the id of the piece."""
+    known = table.frame(spans.sparkSession).withColumnRenamed("sub", "piece").withColumn("key", F.xxhash64("piece"))
+    spans = spans.withColumn("key", F.xxhash64("sub"))  # a number as key makes the lookup cheap; the pieces themselves decide
+    return spans.join(F.broadcast(known), (spans["key"] == known["key"]) & (F.col("sub") == F.col("piece")), "left").where("id is not null or l = 1")
+
+
+def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
+    """(blocks, ids): the best path of each of words (word, blocks), which are LONG characters long at most. The ids spell the word."""
     keyed = words.withColumns({"n": F.length("word"), "wid": F.monotonically_increasing_id()})  # used within one task only
     spans = keyed.select("blocks", "wid", "word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
     size = F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.col("n") - F.col("s")))).alias("l")
     spans = spans.select("blocks", "wid", "word", "s", size).withColumn("sub", F.substring("word", F.col("s") + 1, F.col("l")))
-    known = table.frame(words.sparkSession).withColumnRenamed("sub", "piece").withColumn("key", F.xxhash64("piece"))
-    spans = spans.withColumn("key", F.xxhash64("sub"))  # a number as key makes the lookup cheap; the pieces themselves decide
-    edges = spans.join(F.broadcast(known), (spans["key"] == known["key"]) & (F.col("sub") == F.col("piece")), "left").where("id is not null or l = 1")
-    code = F.ascii("sub")
-    end = F.shiftleft((F.col("s") + F.col("l")).cast("long"), 32).bitwiseOR(F.shiftleft(F.lit(255) - F.col("l"), 24).cast("long").bitwiseAND((1 << 32) - 1))
-    edge = end.bitwiseOR((F.coalesce("id", -code) + (1 << 22)).cast("long"))
-    edges = edges.select("wid", "word", "blocks", edge.alias("edge")).groupBy("wid", "word", "blocks").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    edges = _edges(spans, table).select("wid", "word", "blocks", _edge(F.col("s"), F.col("l"), "sub").alias("edge"))
+    edges = edges.groupBy("wid", "word", "blocks").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     scores = F.lit(np.array(table.scores, np.float64))
-    def place(x: Column) -> Column:
-        return (F.shiftright(x, 32) - 255 + F.shiftright(x, 24).bitwiseAND(255)).cast("int")
-
-    def piece(x: Column) -> Column:
-        return x.bitwiseAND((1 << 24) - 1).cast("int") - (1 << 22)
 
     # The state is one flat array, for place p the best score at 2 p and the edge that gives it at 2 p + 1 (53 bits, exact as
     # a double): steps copy their state, so nested states are dear. Edges come in order, so of equal scores the smaller start wins.
     def step(acc: Column, x: Column) -> Column:
-        score = F.get(acc, 2 * place(x)) + F.coalesce(F.get(scores, piece(x)), F.lit(FALLBACK))
+        score = F.get(acc, 2 * _place(x)) + F.coalesce(F.get(scores, _piece(x)), F.lit(FALLBACK))
 
         def put(to: Column) -> Column:
             return F.array_append(F.array_append(to, score), x.cast("double"))
@@ -145,13 +182,67 @@ def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
         """The edges of the best path, from its end back to its start."""
         last = F.array(F.element_at(acc, -1).cast("long"))
         places = F.sequence(F.shiftright(F.size(acc), 1) - 2, F.lit(0), F.lit(-1))
-        return F.aggregate(places, last, lambda out, e: F.when((e > 0) & (e == place(F.element_at(out, -1))), F.array_append(out, F.get(acc, 2 * e + 1).cast("long"))).otherwise(out))
+        return F.aggregate(places, last, lambda out, e: F.when((e > 0) & (e == _place(F.element_at(out, -1))), F.array_append(out, F.get(acc, 2 * e + 1).cast("long"))).otherwise(out))
 
     start = F.array(F.lit(0.0), F.lit(0.0))
-    path = F.aggregate("edges", start, step, lambda acc: F.transform(F.reverse(back(acc)), piece))
+    path = F.aggregate("edges", start, step, lambda acc: F.transform(F.reverse(back(acc)), _piece))
     return edges.select("blocks", path.alias("ids"))
 
 
+def long_paths(windows: DataFrame, table: PieceTable) -> DataFrame:
+    """(blocks, ids) of units of any length from their windows (unit, off, sub_text, blocks): LONG starts each, with the characters that pieces from there may take.
+
+    Spark's fold copies its state in each step. So a fold over the windows holds what is finished, as an array a window, and a fold within each
+    window holds the scores of that window and of the last places before it only; the way back does the same.
+    """
+    own = windows.withColumn("n", F.length("sub_text"))
+    spans = own.select("unit", "off", "blocks", "sub_text", "n", F.explode(F.sequence(F.lit(0), F.least(F.lit(LONG), F.col("n")) - 1)).alias("s"))
+    size = F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.col("n") - F.col("s")))).alias("l")
+    spans = spans.select("unit", "blocks", (F.col("off") + F.col("s")).alias("s"), size, F.substring("sub_text", F.col("s") + 1, F.col("l")).alias("sub"))
+    edges = _edges(spans, table).select("unit", "blocks", F.floor((F.col("s") + F.col("l") - 1) / LONG).alias("part"), _edge(F.col("s"), F.col("l"), "sub").alias("edge"))
+    parts = edges.groupBy("unit", "blocks", "part").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    units = parts.groupBy("unit", "blocks").agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "edges"))), lambda p: p["edges"]).alias("parts"))
+    scores = F.lit(np.array(table.scores, np.float64))
+    more = 2 * table.longest
+
+    def step(tail: Column, x: Column, base: Column) -> Column:
+        """tail: pairs of score and edge of the places from base on."""
+        score = F.get(tail, 2 * (_place(x) - base)) + F.coalesce(F.get(scores, _piece(x)), F.lit(FALLBACK))
+        put = lambda to: F.concat(to, F.array(score, x.cast("double")))
+        first = F.size(tail) == 2 * (F.shiftright(x, 32).cast("int") - base)
+        return F.when(first, put(tail)).when(score > F.element_at(tail, -2), put(F.slice(tail, F.lit(1), F.size(tail) - 2))).otherwise(tail)
+
+    def window(acc: Column, part: Column) -> Column:
+        def end(tail: Column) -> Column:
+            held = F.least(F.lit(more), F.size(tail))
+            new = F.slice(tail, F.size(acc["tail"]) + 1, F.size(tail) - F.size(acc["tail"]))
+            base = acc["base"] + F.shiftright(F.size(tail) - held, 1)
+            return F.struct(F.slice(tail, F.size(tail) - held + 1, held).alias("tail"), base.alias("base"), F.array_append(acc["done"], new).alias("done"))
+
+        return F.aggregate(part, acc["tail"], lambda tail, x: step(tail, x, acc["base"]), end)
+
+    zero = F.array(F.lit(0.0), F.lit(0.0))
+    start = F.struct(zero.alias("tail"), F.lit(0).alias("base"), F.array().cast("array<array<double>>").alias("done"))
+    states = F.aggregate("parts", start, window, lambda acc: acc["done"])  # window k has the places from k LONG + 1 on
+
+    def back(acc: Column, k: Column) -> Column:
+        """acc: the place to go on from, and the edges taken in each window, the last ones first."""
+        own = F.element_at("states", k + 1)
+
+        def take(now: Column, i: Column) -> Column:
+            edge = F.get(own, 2 * i + 1).cast("long")
+            return F.when(now["need"] == k * LONG + i + 1, F.struct(_place(edge).alias("need"), F.array_append(now["out"], edge).alias("out"))).otherwise(now)
+
+        places = F.sequence(F.shiftright(F.size(own), 1) - 1, F.lit(0), F.lit(-1))
+        begin = F.struct(acc["need"].alias("need"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(places, begin, take, lambda now: F.struct(now["need"].alias("need"), F.array_append(acc["outs"], now["out"]).alias("outs")))
+
+    last = (F.size("states") - 1) * LONG + F.shiftright(F.size(F.element_at("states", -1)), 1)
+    begin = F.struct(last.alias("need"), F.array().cast("array<array<bigint>>").alias("outs"))
+    path = F.aggregate(F.sequence(F.size("states") - 1, F.lit(0), F.lit(-1)), begin, back, lambda acc: F.transform(F.reverse(F.flatten(acc["outs"])), _piece))
+    return units.select("blocks", states.alias("states")).select("blocks", path.alias("ids"))
+
+
 def even_labels(spark: SparkSession, parts: int) -> list[int]:
     """A number for each partition of a hash repartition into parts, so that blocks fill partitions evenly."""
     ids = spark.range(12 * parts + 200).select(F.col("id").cast("int").alias("i"))
@@ -215,7 +306,15 @@ def encode_with(docs: DataFrame, table: PieceTable, finish: Callable[[str | None
     # a block is told by id and text, so that rows of one id, or of none, spread as their texts do
     block = F.get(F.lit(np.array(labels, np.int32)), F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(len(labels))).cast("int"))
     shared = spark.sparkContext.broadcast(frequent_words(docs, table, text, frequent))
-    find, byte_ids, spelled = re.compile(table.units).findall, table.byte_ids, table.spelled
+    find, byte_ids, spelled, longest = table.splitter(), table.byte_ids, table.spelled, table.longest
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The long units of texts that may have some."""
+        for pdf in batches:
+            for t, b in zip(pdf["text"], pdf["block"], strict=True):
+                for u in {u for u in find(spaced(t)) if len(u) > LONG}:
+                    unit = hashlib.sha256(u.encode("utf-8", "surrogatepass")).digest()
+                    yield pd.DataFrame([(unit, i, u[i : i + LONG + longest - 1], b) for i in range(0, len(u), LONG)], columns=["unit", "off", "sub_text", "block"])
 
     def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The words of each block that are not frequent, once for each batch of texts."""
@@ -223,9 +322,11 @@ def encode_with(docs: DataFrame, table: PieceTable, finish: Callable[[str | None
             own: dict[int, set[str]] = {}
             for t, b in zip(pdf["text"], pdf["block"], strict=True):
                 if isinstance(t, str) and t:
-                    own.setdefault(b, set()).update(set(find(spaced(t))).difference(shared.value))
+                    found = set(find(spaced(t))).difference(shared.value)
+                    own.setdefault(b, set()).update(u for u in found if len(u) <= LONG)
             count = [len(w) for w in own.values()]
-            yield pd.DataFrame({"word": [w for words in own.values() for w in words], "block": np.repeat(np.array(list(own), np.int32), count)})
+            if any(count):
+                yield pd.DataFrame({"word": [w for words in own.values() for w in words], "block": np.repeat(np.array(list(own), np.int32), count)})
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
@@ -233,7 +334,9 @@ def encode_with(docs: DataFrame, table: PieceTable, finish: Callable[[str | None
 
     words = docs.select(F.col(text).alias("text"), block.alias("block")).mapInPandas(rare, "word string, block int")
     words = words.groupBy("word").agg(F.collect_set("block").alias("blocks"))  # no more than there are blocks
-    paths = best_paths(words, table).select(F.explode("blocks").alias("place"), "ids")
+    runs = docs.select(F.col(text).alias("text"), block.alias("block")).where(F.col("text").rlike(_LONG_RUN))
+    pieces = runs.mapInPandas(windows, "unit binary, off int, sub_text string, block int").groupBy("unit", "off", "sub_text").agg(F.sort_array(F.collect_set("block")).alias("blocks"))
+    paths = best_paths(words, table).unionByName(long_paths(pieces, table)).select(F.explode("blocks").alias("place"), "ids")
     dealt = docs.select(F.col(doc_id).alias("doc_id"), packed(text).alias("text"), block.alias("block")).repartition(len(labels), "block")
     names = [c.split()[0] for c in schema.split(", ")]
 
