@@ -14,7 +14,6 @@ or without a letter is `und` with score 0; ties go to the language first in code
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +28,6 @@ PER_LANG = 300
 #: Documents that the model is fitted on: per_lang times this at most, those that come first by a hash of the id.
 MOST_LANGS = 500
 CUTS = (12, 30, 80, 200)
-_LETTER = re.compile(r"[^\W\d_]")
 _BLOCK = 400_000
 
 
@@ -53,7 +51,7 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = [], np.zeros(len(texts))
         for i, text in enumerate(texts):
-            if not self.langs or not isinstance(text, str) or not _LETTER.search(text):
+            if not self.langs or not isinstance(text, str) or not any(map(str.isalpha, text)):
                 names.append("und")
                 continue
             total, n = np.zeros(len(self.langs)), 0
@@ -69,14 +67,21 @@ class LanguageModel:
         return names, scores
 
 
-def fit_language_model(docs: DataFrame, learn: Column, *, per_lang: int = PER_LANG, epochs: int = 30, precision: float = 0.995, seed: int = 7) -> LanguageModel:
-    """Trains on rows of docs (doc_id, text, lang) where learn holds and lang and text are not null."""
+def fit_language_model(docs: DataFrame, learn: Column, *, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS, epochs: int = 30, precision: float = 0.995, seed: int = 7) -> LanguageModel:
+    """Trains on rows of docs (doc_id, text, lang) where learn holds and lang and text are not null.
+
+    The fit takes at most per_lang documents of each language and per_lang * most_langs in all, those that come first by a hash of the
+    id: with more than most_langs languages some get fewer documents, or none, and are then not predicted; raise most_langs for them.
+    """
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     chosen = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang).select("doc_id").distinct()
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang * MOST_LANGS)
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang * most_langs)
     rows = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("t")).select("doc_id", "t.*")  # of rows that share an id one counts
 
+    if rows.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        rows = rows.withColumn("doc_id", F.xxhash64("doc_id"))
+
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
@@ -84,7 +89,7 @@ def fit_language_model(docs: DataFrame, learn: Column, *, per_lang: int = PER_LA
                 rng = np.random.default_rng(abs(hash(int(doc))) % (1 << 32))
                 pieces = [text] + [text[a : a + n] for n in CUTS if len(text) > n for a in [int(rng.integers(len(text) - n))]]
                 for piece in pieces:
-                    if not _LETTER.search(piece):
+                    if not any(map(str.isalpha, piece)):
                         continue
                     counts = sum(np.bincount(gram_buckets(piece[max(0, at - 2) : at + _BLOCK]), minlength=BUCKETS) for at in range(0, len(piece), _BLOCK))
                     keys = np.flatnonzero(counts)

@@ -8,8 +8,9 @@ taken differ from the target by less than the source's longest document.
 
 Positions come from counts by (source, size), then by id bucket, then from a row number within a bucket, so no window holds a
 source. Defined cases: null text or no word has size 0; null source is one source, last in order; repeated rows are rows of
-their own; a source of size 0 has target 0 and emits nothing; an empty table gives an empty result; columns of the input keep
-their values, whatever their names (helper columns start with two underscores).
+their own; rows that share size and id stand in order of a hash of all their columns, so that reruns agree; ids may have any type, null ids stand
+last; very long texts are counted whole; a source of size 0 has target 0 and emits nothing; an empty table gives an empty result; the columns of
+``mix_documents`` keep their values, whatever their names (``mix_copies`` adds columns that start with two underscores).
 """
 
 from __future__ import annotations
@@ -50,7 +51,8 @@ def mix_copies(docs: DataFrame, *, source: str = "source", doc_id: str = "doc_id
     """docs with __size, __source_size, __target and __copies, the number of times that the mix emits the row."""
     n_rows = docs.count() if n_rows is None else n_rows
     buckets = parts_for(n_rows, PER_BUCKET, 16)
-    rows = docs.withColumns({"__size": word_count(F.col(text)) if size is None else size, "__source": F.col(source), "__b": F.coalesce(F.pmod(F.col(doc_id), F.lit(buckets)), F.lit(0)).cast("long")})
+    number = F.col(doc_id) if docs.schema[doc_id].dataType.typeName() in ("byte", "short", "integer", "long") else F.when(F.col(doc_id).isNotNull(), F.xxhash64(doc_id))
+    rows = docs.withColumns({"__size": word_count(F.col(text)) if size is None else size, "__source": F.col(source), "__b": F.coalesce(F.pmod(number, F.lit(buckets)), F.lit(0)).cast("long")})
     counts = rows.groupBy("__source", "__size", "__b").agg(F.count("*").alias("__n"))
     by_size = counts.groupBy("__source", "__size").agg(F.sum("__n").alias("__n"))
     upto = Window.partitionBy("__source").orderBy("__size").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,7 +69,8 @@ def mix_copies(docs: DataFrame, *, source: str = "source", doc_id: str = "doc_id
     starts = same(same(counts, by_size, "__source", "__size"), targets, "__source")
     starts = starts.select("__source", "__size", "__b", (F.col("__p") + F.col("__q")).alias("__start"), "source_size", "target", "__u")
     starts = starts.withColumnsRenamed({"source_size": "__source_size", "target": "__target"})
-    place = Window.partitionBy("__source", "__size", "__b").orderBy(F.col(doc_id).asc_nulls_last())
+    # rows of one id are told apart by all their columns, so that reruns agree
+    place = Window.partitionBy("__source", "__size", "__b").orderBy(F.col(doc_id).asc_nulls_last(), F.xxhash64(*[f"`{c}`" for c in docs.columns]))
     rows = rows.withColumn("__k", F.row_number().over(place))
     rows = same(rows, starts, "__source", "__size", "__b")
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
@@ -76,11 +79,12 @@ def mix_copies(docs: DataFrame, *, source: str = "source", doc_id: str = "doc_id
     return rows.withColumn("__copies", F.when(F.col("__size") > 0, copies).otherwise(F.when(rate > 0, copies).otherwise(F.lit(0))).cast("long")).drop("__b", "__k", "__start", "__u", "__source")
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of docs as often as it is taken, with the columns of docs."""
-    mixed = mix_copies(docs, **options).where("__copies > 0")
-    copy = F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int"))).alias("__c")
-    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns], copy).drop("__c")
+def mix_documents(docs: DataFrame, *, source: str = "source", doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The mix itself: every row of docs as often as it is taken, with the columns of docs, whatever their names."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    packed = docs.select(row, F.col(source).alias("source"), F.col(doc_id).alias("doc_id"), word_count(F.col(text)).alias("size"))
+    mixed = mix_copies(packed, size=F.col("size"), **options).where("__copies > 0")
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select("row.*")
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
