@@ -66,8 +66,8 @@ _UNITS = rf"\n|{MARK}*[{_LETTER}]+|{MARK}*[^{_LETTER}{MARK}\n]+|{MARK}+"
 _WHOLE = rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+"
 #: Units above this length are cut where no piece joins two characters; longer ones than LONG are folded by windows.
 CUT_ABOVE, LONG = 32, 256
-#: A text without this has no unit longer than LONG.
-_LONG_RUN = rf"[^ \n]{{{LONG // 2}}}| {{{LONG // 2}}}"
+#: A text without this has no unit longer than LONG. Only the begin of a run is looked at.
+_LONG_RUN = rf"(?<![^ \n])[^ \n]{{{LONG // 2}}}|(?<! ) {{{LONG // 2}}}"
 
 
 class PieceTable:
