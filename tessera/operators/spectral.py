@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import bins, states
+from .states import block_starts as block_starts
 
 
 class ContractError(ValueError):
@@ -88,23 +88,10 @@ def band_energy(spectra: DataFrame, edges: DataFrame, n_fft: int, keys: Sequence
     return safe_normalized(dense, keys, "band", "e")
 
 
-def block_starts(n: int, n_fft: int, blocks: int, how: str = "uniform", seed: str = "") -> list[int]:
-    """Starts of blocks: all if there are few, the middle for one, rounded even steps, or a seeded choice in order."""
-    last = n - n_fft
-    if last < 0:
-        return []
-    if how == "uniform":
-        return [last // 2] if blocks == 1 else sorted({int(x) for x in np.linspace(0, last, blocks).round()})
-    if last + 1 <= blocks:
-        return list(range(last + 1))
-    rng = np.random.default_rng(int.from_bytes(hashlib.blake2b(seed.encode(), digest_size=8).digest(), "little"))
-    return sorted(int(x) for x in rng.choice(last + 1, size=blocks, replace=False))
-
-
 def padded_spectrum(vectors: DataFrame, n_fft: int, keys: Sequence[str] = ("mid", "channel")) -> DataFrame:
     """Power of the first n_fft finite samples, demeaned and filled up with zeros, without a window."""
 
-    def power(x: np.ndarray) -> np.ndarray | None:
+    def power(x: np.ndarray, _: str) -> np.ndarray | None:
         x = x[np.isfinite(x)][:n_fft]
         return np.abs(np.fft.rfft(x - x.mean(), n_fft)) ** 2 / n_fft if len(x) else None
 

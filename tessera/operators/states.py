@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -84,12 +85,27 @@ def consecutive_kl(pmf: DataFrame, keys=("lab", "laser"), step: str = "day", eps
 WINDOWS = {"boxcar": np.ones, "hann": np.hanning, "hamming": np.hamming, "blackman": np.blackman}
 
 
+def block_starts(n: int, n_fft: int, blocks: int, how: str = "uniform", seed: str = "") -> list[int]:
+    """Starts of blocks: the middle for one, rounded even steps (equal ones count again), or a seeded choice in order; all if there are few."""
+    last = n - n_fft
+    if last <= 0:
+        return [0] if last == 0 else []
+    blocks = max(1, blocks)
+    if how == "uniform":
+        return [last // 2] if blocks == 1 else [int(x) for x in np.linspace(0, last, blocks).round()]
+    if last + 1 <= blocks:
+        return list(range(last + 1))
+    rng = np.random.default_rng(int.from_bytes(hashlib.blake2b(seed.encode(), digest_size=8).digest(), "little"))
+    return sorted(int(x) for x in rng.choice(last + 1, size=blocks, replace=False))
+
+
 def _spectra(vectors: DataFrame, keys, power) -> DataFrame:
-    """keys and power(samples) of each signal, in Arrow batches."""
+    """keys and power(samples, name) of each signal, in Arrow batches; its name is its keys with a bar between."""
 
     def work(batches):
         for pdf in batches:
-            found = [power(np.zeros(0) if v is None else np.asarray(v, float)) for v in pdf["samples"]]
+            names = pdf[list(keys)].astype(str).agg("|".join, axis=1)
+            found = [power(np.zeros(0) if v is None else np.asarray(v, float), name) for v, name in zip(pdf["samples"], names, strict=True)]
             yield pd.concat([pdf[list(keys)].reset_index(drop=True), pd.DataFrame({"power": pd.Series(found, dtype=object)})], axis=1)
 
     kinds = ", ".join(f"{k} {vectors.schema[k].dataType.simpleString()}" for k in keys)
@@ -98,33 +114,31 @@ def _spectra(vectors: DataFrame, keys, power) -> DataFrame:
 
 def full_spectrum(vectors: DataFrame, keys=("mid", "channel")) -> DataFrame:
     """N13's spectrum: power of the demeaned signal over its full length; a missing sample makes it NaN, an empty signal has null power."""
-    return _spectra(vectors, keys, lambda x: np.abs(np.fft.rfft(x - x.mean())) ** 2 if len(x) else None)
+    return _spectra(vectors, keys, lambda x, _: np.abs(np.fft.rfft(x - x.mean())) ** 2 if len(x) else None)
 
 
-def psd(vectors: DataFrame, n_fft: int, keys=("mid", "channel"), blocks: int | None = None, window: str = "boxcar", max_bad: float = 0.05) -> DataFrame:
-    """N21's spectrum: mean power of the demeaned, windowed blocks of n_fft samples, at N20's uniform starts.
+def psd(vectors: DataFrame, n_fft: int, keys=("mid", "channel"), blocks: int | None = None, window: str = "boxcar", max_bad: float = 0.05, selection: str = "uniform", detrend: bool = True, min_blocks: int = 1) -> DataFrame:
+    """N21's spectrum: mean power of the demeaned, windowed blocks of n_fft samples, at N20's starts.
 
-    blocks: how many; as many as cover the whole signal if None. A block with a larger share of non-finite samples than max_bad is
-    left out, else these count as 0. A signal without a usable block, as one shorter than n_fft, has null power.
+    blocks: how many; as many as cover the whole signal if None. selection: uniform, or random with a seed of the signal's keys, so that
+    reruns and other partitions choose alike. A block with a larger share of non-finite samples than max_bad is left out, else these count
+    as 0. A signal with fewer usable blocks than min_blocks, as one shorter than n_fft, has null power. An unknown window or selection raises.
     """
+    if window not in WINDOWS or selection not in ("uniform", "random"):
+        raise ValueError(f"unknown window or selection: {window}, {selection}")
     w = WINDOWS[window](n_fft)
 
-    def power(x):
-        last = len(x) - n_fft
-        if last < 0:
-            return None
-        count = -(-len(x) // n_fft) if blocks is None else max(1, blocks)
-        starts = [last // 2] if count == 1 else np.linspace(0, last, count).round().astype(int) if last else [0]
+    def power(x, name):
         total, used = np.zeros(n_fft // 2 + 1), 0
-        for s in starts:
+        for s in block_starts(len(x), n_fft, -(-len(x) // n_fft) if blocks is None else blocks, selection, name):
             block = x[s : s + n_fft]
             bad = ~np.isfinite(block)
             if bad.mean() > max_bad:
                 continue
             block = np.where(bad, 0.0, block)
-            total += np.abs(np.fft.rfft((block - block.mean()) * w)) ** 2 / n_fft
+            total += np.abs(np.fft.rfft((block - block.mean() * detrend) * w)) ** 2 / n_fft
             used += 1
-        return total / used if used else None
+        return total / used if used >= max(1, min_blocks) else None
 
     return _spectra(vectors, keys, power)
 

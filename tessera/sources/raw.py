@@ -5,10 +5,12 @@ Files are read through Spark (`binaryFile`, text), so any store that Spark reach
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
 import zipfile
-from collections.abc import Iterator, Sequence
+import zlib
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,26 +40,71 @@ def discover(spark: SparkSession, root: str, dates: Sequence[str] | None = None,
     return rows
 
 
-def unzip(files: DataFrame) -> DataFrame:
-    """Members of csv_raw folders of archives and of archives inside them; damaged archives give no row."""
+def archive_members(files: DataFrame, labs: Mapping[str, str]) -> DataFrame:
+    """Path, name, date (as 04Mar26), lab, content and error of the CSV members of csv_raw folders of archives (path, content) and of archives inside them.
+
+    labs: what a path holds (lower case) and the laboratory it stands for; else a member has that of the archive it is in, or Unknown. The
+    first date YYYY-MM-DD in a member's name counts, else that of the archive it is in, or null. A damaged archive or member gives a row
+    with an error instead of content. Members go on one by one; a task holds one archive of each level and one member.
+    """
+    known = dict(labs)
+
+    def day(name: str) -> str | None:
+        found = re.search(r"(\d{4})-(\d{2})-(\d{1,2})", name)
+        try:
+            return datetime.date(*map(int, found.groups())).isoformat() if found else None
+        except ValueError:
+            return None
+
+    def lab_of(path: str) -> str | None:
+        return next((lab for part, lab in known.items() if part in path.lower()), None)
 
-    def walk(data: bytes, at: str) -> Iterator[tuple[str, bytes]]:
+    def walk(data: bytes, at: str, date: str | None, lab: str | None) -> Iterator[tuple]:
         try:
             archive = zipfile.ZipFile(io.BytesIO(data))
         except zipfile.BadZipFile:
+            yield at, at.rsplit("/", 1)[-1], date, lab, None, "damaged_archive"
             return
         for name in archive.namelist():
-            if name.lower().endswith(".zip"):
-                yield from walk(archive.read(name), f"{at}/{name}")
-            elif "csv_raw/" in name.lower() and name.lower().endswith(".csv"):
-                yield f"{at}/{name}", archive.read(name)
+            low, inner = name.lower(), (f"{at}/{name}", day(name) or date, lab_of(f"{at}/{name}") or lab)
+            if not (low.endswith(".zip") or ("csv_raw/" in low and low.endswith(".csv"))):
+                continue
+            try:
+                member = archive.read(name)
+            except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
+                yield inner[0], name.rsplit("/", 1)[-1], *inner[1:], None, "damaged_member"
+                continue
+            if low.endswith(".zip"):
+                yield from walk(member, *inner)
+            else:
+                yield inner[0], name.rsplit("/", 1)[-1], *inner[1:], member, None
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, data in zip(pdf["path"], pdf["content"], strict=True):
-                yield pd.DataFrame(list(walk(data, path)), columns=["path", "content"])
+                for row in walk(data or b"", path, day(path.rsplit("/", 1)[-1]), lab_of(path)):
+                    yield pd.DataFrame([row], columns=["path", "name", "day", "lab", "content", "error"])
+
+    rows = files.select("path", "content").mapInPandas(work, "path string, name string, day string, lab string, content binary, error string")
+    return rows.select("path", "name", F.date_format(F.to_date("day"), "ddMMMyy").alias("date"), F.coalesce("lab", F.lit("Unknown")).alias("lab"), "content", "error")
 
-    return files.select("path", "content").mapInPandas(work, "path string, content binary")
+
+def organised(members: DataFrame) -> DataFrame:
+    """Members with a place in the raw tree, month/date/lab/Raw Data/name; status undated or damaged without one.
+
+    Of members with one place the last path counts, as if each overwrote the one before; the others have status replaced.
+    """
+    month = F.substring("date", 3, 5)
+    place = F.when(F.col("error").isNull(), F.concat_ws("/", month, "date", "lab", F.lit("Raw Data"), "name"))
+    status = F.when(F.col("error").isNotNull(), "damaged").when(F.col("date").isNull(), "undated")
+    rows = members.withColumn("target", F.when(F.col("date").isNotNull(), place)).withColumn("status", status)
+    last = rows.where("target is not null").groupBy("target").agg(F.max("path").alias("__last"))
+    return rows.join(last, "target", "left").withColumn("status", F.coalesce("status", F.when(F.col("path") == F.col("__last"), "ok").otherwise("replaced"))).drop("__last")
+
+
+def unzip(files: DataFrame) -> DataFrame:
+    """Path and content of the members of csv_raw folders, dated or not; what is damaged gives no row."""
+    return archive_members(files, {}).where("error is null").select("path", "content")
 
 
 def lines_of(files: DataFrame) -> DataFrame:
