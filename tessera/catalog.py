@@ -542,4 +542,4 @@ def _(spark, d):
     return ladders.resolve_files(rows, listing).select("s_suppkey", "found_name", "resolve_tag")
 
 
-from . import catalog_levels, catalog_runs  # noqa: E402, F401  add the queries between the levels and those of runs
+from . import catalog_levels, catalog_reports, catalog_runs  # noqa: E402, F401  add the queries between the levels and those of runs and reports

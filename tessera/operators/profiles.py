@@ -95,3 +95,43 @@ def channel_global(base: DataFrame) -> DataFrame:
 def global_summary(pairs: DataFrame) -> DataFrame:
     """Mean pair correlation of each block."""
     return pairs.groupBy(*BLOCK).agg(F.avg("r").alias("mean_r"), F.count("r").alias("n_pairs"))
+
+
+def _wide(long: DataFrame, keys: list[str], metrics: list[str], values: list[str]) -> DataFrame:
+    """A row for each of keys with <metric>__<value> of every metric."""
+    cells = [F.max(F.when(F.col("metric") == m, F.col(v))).alias(f"{m}__{v}") for m in metrics for v in values]
+    return long.groupBy(*keys).agg(*cells, *[F.avg(v).alias(f"mean_{v}") for v in values])
+
+
+def metric_profiles(base: DataFrame) -> DataFrame:
+    """Profile of each block and metric: mean by laser. base: fecha, lab, mid, laser, metric, v."""
+    return base.groupBy("metric", *BLOCK, "laser").agg(F.avg("v").alias("v"))
+
+
+def metrics_summary(base: DataFrame, metrics: list[str]) -> DataFrame:
+    """A20 over several metrics: for each block and metric mean, deviation and anisotropy of its mean profile and its mean pair correlation, a row a
+    block, with their means over the metrics that have them. Metrics that are not named play no part."""
+    rows = base.where(F.col("metric").isin(metrics))
+    own = metric_profiles(rows).groupBy("metric", *BLOCK).agg(*profile_stats())
+    a = rows.select("metric", *BLOCK, "mid", F.col("laser").alias("i"), F.col("v").alias("x"))
+    b = rows.select("metric", *BLOCK, "mid", F.col("laser").alias("j"), F.col("v").alias("y"))
+    pairs = a.join(b, ["metric", *BLOCK, "mid"]).where("i < j").groupBy("metric", *BLOCK, "i", "j").agg(guarded_corr("x", "y").alias("r"))
+    own = own.join(pairs.groupBy("metric", *BLOCK).agg(F.avg("r").alias("pair_corr")), ["metric", *BLOCK], "left")
+    ids = rows.groupBy(*BLOCK).agg(F.countDistinct("mid").alias("n_measurements"))
+    return _wide(own, list(BLOCK), metrics, ["profile_mean", "profile_std", "anisotropy", "pair_corr"]).join(ids, list(BLOCK))
+
+
+def pairwise_metrics(base: DataFrame, metrics: list[str], vary: str = "fecha", least: int = 3) -> DataFrame:
+    """I9 over several metrics: block pairs a < b that share the other key and both have ``least`` measurements, with the counts of both, for each
+    metric correlation, distance and both anisotropies with their difference, and the means over metrics."""
+    fixed = "lab" if vary == "fecha" else "fecha"
+    rows = base.where(F.col("metric").isin(metrics))
+    fine = rows.groupBy(*BLOCK).agg(F.countDistinct("mid").alias("k")).where(F.col("k") >= least)
+    means = metric_profiles(rows).join(fine, list(BLOCK))
+    side = lambda c, x: means.select("metric", fixed, "laser", F.col(vary).alias(c), F.col("v").alias(x), F.col("k").alias(f"n_{c}"))
+    both = side("a", "x").join(side("b", "y"), ["metric", fixed, "laser"]).where("a < b")
+    aniso = lambda c: S.ratio_max_min(F.max(c), F.min(c))
+    keys = [fixed, "a", "b", "n_a", "n_b"]
+    own = both.groupBy("metric", *keys).agg(guarded_corr("x", "y").alias("corr"), distance("x", "y").alias("distance"), aniso("x").alias("anisotropy_a"), aniso("y").alias("anisotropy_b"))
+    own = own.withColumn("anisotropy_delta", F.col("anisotropy_b") - F.col("anisotropy_a"))
+    return _wide(own, keys, metrics, ["corr", "distance", "anisotropy_a", "anisotropy_b", "anisotropy_delta"])

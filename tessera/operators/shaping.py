@@ -57,6 +57,22 @@ def schema_rollup(files: DataFrame, group: Sequence[str], columns: str = "column
     return rows.groupBy(*group).agg(F.count("*").alias("n_files"), n.alias("n_schemas"), (n == 1).alias("consistent"))
 
 
+def schema_checks(files: DataFrame, expected: DataFrame, keys: Sequence[str] = ("mid",)) -> DataFrame:
+    """D8 by file: files (keys, columns) with both hashes and schema_ok: the columns are the expected ones in the same order. Without either side it is false."""
+    want = expected.select(*keys, F.col("columns").alias("__want")).dropDuplicates(list(keys))
+    rows = files.join(want, list(keys), "left")
+    own = lambda c: F.when(F.col(c).isNotNull(), S.columns_hash(F.col(c)))
+    return rows.select(*files.columns, own("columns").alias("actual_hash"), own("__want").alias("expected_hash"), F.coalesce(F.col("columns") == F.col("__want"), F.lit(False)).alias("schema_ok"))
+
+
+def schema_groups(checks: DataFrame, group: Sequence[str] = ("fecha", "lab"), label: str = "label") -> DataFrame:
+    """A7 over ``schema_checks``: files, sound and unsound ones, variants, consistent (one variant), labels_present (distinct, in order, UNK and null left out) and mixed_labels."""
+    labels = F.array_sort(F.collect_set(F.when(F.col(label) != "UNK", F.col(label))))
+    n = F.count_distinct(F.coalesce("actual_hash", F.lit("")))
+    rows = checks.groupBy(*group).agg(F.count("*").alias("n_files"), F.count_if("schema_ok").alias("n_schema_ok"), F.count_if(~F.col("schema_ok")).alias("n_schema_fail"), n.alias("n_schema_variants"), labels.alias("labels"))
+    return rows.select(*group, "n_files", "n_schema_ok", "n_schema_fail", "n_schema_variants", (F.col("n_schema_variants") == 1).alias("schema_consistent"), (F.size("labels") > 1).alias("mixed_labels"), F.array_join("labels", ",").alias("labels_present"))
+
+
 def rank_average(value: str, keys: Sequence[str]) -> Column:
     """W10."""
     return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2.0
