@@ -12,7 +12,9 @@ vectors (a documented bound); every vector is indexed. ``window`` is the share o
 structure (the test table's are spread evenly over 64 dimensions) need a wide one for recall 0.9; for clustered vectors a
 window of a few ranges does, and the work is then linear in the rows.
 
-Defined cases: vectors null, empty, zero, with null or non-finite components, or not of the table's most frequent length take no part;
+Defined cases: vectors null, empty, zero or with null or non-finite components take no part; vectors of another length have no inner product
+with a query and are searched apart, one search a length, each with its own curves; below 64 vectors of a length there is one range, so that search is exact;
+ids are whole numbers (others raise);
 repeated rows (id and vector equal) count once; ties go to smaller ids, those at the end of a list included; other columns play no part; an empty table gives an empty result.
 """
 
@@ -97,12 +99,20 @@ def _matrix(rows: pd.Series) -> np.ndarray:
 
 def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, window: float = WINDOW, fit_rows: int = FIT_ROWS, orderings: int = ORDERINGS) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of every row where is_query holds. vectors: vec_id, embedding."""
+    if dict(vectors.dtypes)["vec_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("vec_id must be a whole number")
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if length is None:
-        return vectors.sparkSession.createDataFrame([], empty)
-    rows = rows.where(F.size("v") == length["n"]).distinct()
+    rows = rows.distinct()
+    lengths = [r["n"] for r in rows.groupBy(F.size("v").alias("n")).agg(F.count("*")).orderBy("n").collect()]  # a number each
+    found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    parts = [_nearest(rows.where(F.size("v") == n) if len(lengths) > 1 else rows, is_query, k, window, fit_rows, orderings) for n in lengths]
+    for i, part in enumerate(parts):
+        found = part if i == 0 else found.unionByName(part)
+    return found
+
+
+def _nearest(rows: DataFrame, is_query: Column, k: int, window: float, fit_rows: int, orderings: int) -> DataFrame:
+    """nearest, for usable rows of one length."""
     same = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
     few = stash(rows.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1), "members")
     heads = few.where("r = 1").select(F.col("vec_id").alias("cid"), "v")

@@ -7,7 +7,8 @@ longest rule that fits decides, else the list does (listed: block).
 
 The filter is broadcast only while its computed size is below ``broadcast_bytes``; beyond that, pages meet their block in a
 shuffled join. Defined cases: null url or one without :// has empty host and path, fits no rule, is not listed and is allowed;
-repeated pages keep their rows; a list with repeats counts once; empty tables give empty results.
+repeated pages keep their rows; a list with repeats counts once; empty tables give empty results; columns of pages keep their values
+whatever their names, but for host, path, rule, listed and verdict, which the result replaces.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free
+
 # The rules of op9 in order, verdict, host, path.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 # Hosts whose pages make up the list of op9.
@@ -79,22 +82,26 @@ def filter_urls(pages: DataFrame, listed: DataFrame, *, url: str = "url", rules:
     listed = listed.where("canon is not null").select("canon").distinct()
     blocks = max(1, listed.count() * BITS_PER_URL // 256 + 1)
     bloom = bloom_filter(listed, blocks)
+    # an own column of pages may have any name
+    canon, h, p, block, maybe, entry = (free(pages, c) for c in ("__canon", "__h", "__p", "__block", "__maybe", "__listed"))
+    words = [free(pages, f"__w{i}") for i in range(4)]
+    bloom = bloom.withColumnsRenamed({"__block": block, **{f"__w{i}": w for i, w in enumerate(words)}})
     if blocks * BLOCK_BYTES <= broadcast_bytes:
         bloom = F.broadcast(bloom)
-    rows = pages.withColumns({"__canon": canonical(F.col(url)), "__h": host_of(F.col(url)), "__p": path_of(F.col(url))})
-    rows = rows.withColumn("__block", _block(F.coalesce("__canon", F.concat(F.lit(" "), F.col(url)), F.lit(" ")), blocks))
-    rows = rows.join(bloom, "__block", "left")
-    hit = F.col("__canon").isNotNull()
-    for i, bits in enumerate(_bits(F.col("__canon"))):
-        hit = hit & (bits.bitwiseAND(F.col(f"__w{i}")) == bits)
-    rows = rows.withColumn("__maybe", F.coalesce(hit, F.lit(False))).drop("__block", "__w0", "__w1", "__w2", "__w3")
-    exact = listed.withColumnsRenamed({"canon": "__listed"})
-    hits = rows.where("__maybe").join(exact, F.col("__canon") == F.col("__listed"), "left")
-    rows = hits.unionByName(rows.where("not __maybe").withColumn("__listed", F.lit(None).cast("string")))
-    host, path = F.col("__h"), F.col("__p")
-    verdict = F.coalesce(rule_of(host, path, rules, lambda r: r[0]), F.when(F.col("__listed").isNotNull(), "block").otherwise("allow"))
-    out = {"host": host, "path": path, "rule": rule_of(host, path, rules, lambda r: r[1] + r[2]), "listed": F.col("__listed").isNotNull(), "verdict": verdict}
-    return rows.withColumns(out).drop("__canon", "__h", "__p", "__maybe", "__listed")
+    rows = pages.withColumns({canon: canonical(F.col(url)), h: host_of(F.col(url)), p: path_of(F.col(url))})
+    rows = rows.withColumn(block, _block(F.coalesce(canon, F.concat(F.lit(" "), F.col(url)), F.lit(" ")), blocks))
+    rows = rows.join(bloom, block, "left")
+    hit = F.col(canon).isNotNull()
+    for w, bits in zip(words, _bits(F.col(canon)), strict=True):
+        hit = hit & (bits.bitwiseAND(F.col(w)) == bits)
+    rows = rows.withColumn(maybe, F.coalesce(hit, F.lit(False))).drop(block, *words)
+    exact = listed.withColumnsRenamed({"canon": entry})
+    hits = rows.where(F.col(maybe)).join(exact, F.col(canon) == F.col(entry), "left")
+    rows = hits.unionByName(rows.where(~F.col(maybe)).withColumn(entry, F.lit(None).cast("string")))
+    host, path = F.col(h), F.col(p)
+    verdict = F.coalesce(rule_of(host, path, rules, lambda r: r[0]), F.when(F.col(entry).isNotNull(), "block").otherwise("allow"))
+    out = {"host": host, "path": path, "rule": rule_of(host, path, rules, lambda r: r[1] + r[2]), "listed": F.col(entry).isNotNull(), "verdict": verdict}
+    return rows.withColumns(out).drop(canon, h, p, maybe, entry)
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
