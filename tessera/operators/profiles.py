@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import ProfilePolicy
 from ..functions import scalars as S
 
 BLOCK = ("fecha", "lab")
@@ -135,3 +136,17 @@ def pairwise_metrics(base: DataFrame, metrics: list[str], vary: str = "fecha", l
     own = both.groupBy("metric", *keys).agg(guarded_corr("x", "y").alias("corr"), distance("x", "y").alias("distance"), aniso("x").alias("anisotropy_a"), aniso("y").alias("anisotropy_b"))
     own = own.withColumn("anisotropy_delta", F.col("anisotropy_b") - F.col("anisotropy_a"))
     return _wide(own, keys, metrics, ["corr", "distance", "anisotropy_a", "anisotropy_b", "anisotropy_delta"])
+
+
+def profile_run(metrics: DataFrame, p: ProfilePolicy = ProfilePolicy()) -> dict[str, DataFrame]:
+    """The tables of a profile run under a policy, all lazy: base, means, profiles, summary, corr, matrix, dates, labs and overall.
+
+    metrics: fecha, lab, mid, laser, v. Each table is a plan of its own over the base; persist or write the base where several are read.
+    """
+    p = p.validate()
+    base = canonical_base(metrics, p.expected_lasers)
+    corr = intra_block_corr(base, p.corr_method)
+    return {
+        "base": base, "means": block_means(base, p.aggregate_mode), "profiles": measurement_profiles(base), "summary": block_summary(base, p.min_measurements),
+        "corr": corr, "matrix": corr_matrix(corr), "dates": pairwise(base, "fecha", p.min_measurements), "labs": pairwise(base, "lab", p.min_measurements), "overall": global_summary(corr),
+    }

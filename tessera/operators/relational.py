@@ -5,7 +5,6 @@ All functions take and return DataFrames or columns; only schemas and single cou
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -74,10 +73,6 @@ def light_channels(roles: DataFrame) -> DataFrame:
     return marked.where(keep).select(*roles.columns)
 
 
-def up_to(rows: DataFrame, most: int, n: str = "n") -> DataFrame:
-    """P12."""
-    return rows.where(F.col(n).between(1, most))
-
 
 def first_known(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str) -> DataFrame:
     """The first value of each column that is not null, in order."""
@@ -136,13 +131,6 @@ def preflight(catalog: DataFrame) -> DataFrame:
     return catalog.agg(F.count("*").alias("n"), F.countDistinct("fecha").alias("n_dates"), F.countDistinct("lab").alias("n_labs"), F.countDistinct("mid").alias("n_mids"), bad.alias("n_bad_numbers"), missing.alias("n_missing"))
 
 
-def checked_queue(queue: DataFrame, required: Sequence[str], alpha: float = 0.05) -> DataFrame:
-    """Raises on columns that are missing or an alpha outside (0, 1)."""
-    missing = [c for c in required if c not in queue.columns]
-    if missing or not 0 < alpha < 1:
-        raise ValueError(f"missing {missing}" if missing else "alpha must be in (0, 1)")
-    return queue
-
 
 def sorted_by(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Order by those keys that exist."""
@@ -258,8 +246,8 @@ def month_root(day: Column) -> Column:
 
 def listed_names(files: DataFrame, most: int = 3) -> DataFrame:
     """Files of each block with the first few names."""
-    return files.groupBy("date", "lab").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, most), ", ").alias("names"))
-
-
-def safe(name: str) -> str:
-    return re.sub(r"[^A-Za-z0-9._-]+", "_", name)
+    first = F.row_number().over(Window.partitionBy("date", "lab").orderBy("name"))
+    names = files.where("name is not null").select("date", "lab", "name").distinct().withColumn("__r", first).where(F.col("__r") <= most)
+    names = names.groupBy(F.col("date").alias("__d"), F.col("lab").alias("__l")).agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
+    n = files.groupBy("date", "lab").agg(F.count("*").alias("n"))
+    return n.join(names, F.col("date").eqNullSafe(F.col("__d")) & F.col("lab").eqNullSafe(F.col("__l")), "left").select("date", "lab", "n", F.coalesce("names", F.lit("")).alias("names"))
