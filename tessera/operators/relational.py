@@ -152,17 +152,21 @@ def natural(name: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(name, r"(\d+)", 1), F.lit("")).try_cast("int"), F.lit(1 << 30))
 
 
+def _digest(order: Sequence[str], seed: int) -> Column:
+    return F.md5(F.concat_ws(":", *order, F.lit(str(seed))).cast("binary"))
+
+
 def sampled(rows: DataFrame, most: int, keys: Sequence[str], order: Sequence[str], seed: int = 0) -> DataFrame:
     """A seeded sample without replacement, the rows of each group with the least digests of order and seed, at most so many.
 
-    Counts by the first 16 bits of the digest (65,536 at most a group, summed before the shuffle) tell up to which of these rows are needed,
-    so that only they are shuffled and ranked, not the group.
+    For few groups of any size (channels). Counts by the first 16 bits of the digest (65,536 at most a group, summed before the shuffle) tell up to
+    which of these rows are needed, so that only they are shuffled and ranked, not the group. A group's limit, a row, goes to the tasks by broadcast:
+    a join by group would bring each group to one task.
     """
-    digest = F.md5(F.concat_ws(":", *order, F.lit(str(seed))).cast("binary"))
-    own = rows.withColumn("__d", digest).withColumn("__b", F.conv(F.substring("__d", 1, 4), 16, 10).cast("int"))
+    own = rows.withColumn("__d", _digest(order, seed)).withColumn("__b", F.substring("__d", 1, 4))
     totals = own.groupBy(*keys, "__b").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(Window.partitionBy(*keys).orderBy("__b")))
-    last = totals.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("upto") >= most, F.col("__b"))), F.lit(65535)).alias("__last"))
-    own = own.join(last, list(keys)).where("__b <= __last")
+    last = totals.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("upto") >= most, F.col("__b"))), F.lit("ffff")).alias("__last"))
+    own = own.join(F.broadcast(last), list(keys)).where("__b <= __last")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__d", *order))
     return own.withColumn("__r", rank).where(F.col("__r") <= most).select(*rows.columns)
 
