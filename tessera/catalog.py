@@ -385,7 +385,7 @@ J AS (SELECT a.mid, a.channel AS channel_i, b.channel AS channel_j, a.bin AS bi,
 
 
 def joint(spark, d):
-    return states.joint_counts(views.signal_wide(spark, d), edges(spark, d), views.CHANNELS)
+    return states.joint_counts(views.signal_wide(spark, d, even=True), edges(spark, d), views.CHANNELS)
 
 
 @query("joint_counts", f"WITH {JOINT} SELECT mid, channel_i, channel_j, CAST(bi AS INTEGER) AS bi, CAST(bj AS INTEGER) AS bj, k FROM J")

@@ -26,3 +26,18 @@ def no_auto_broadcast(spark):
 def test_sample_limits_are_broadcast(spark, no_auto_broadcast):
     rows = spark.range(100).select(F.lit("c").alias("channel"), F.col("id").alias("idx"))
     assert "SortMergeJoin" not in plan(relational.sampled(rows, 5, ["channel"], ["idx"]))
+
+
+@pytest.mark.parametrize("name", ["joint_counts", "mutual_information", "uncertainty"])
+def test_measurements_are_dealt_by_samples(spark, monkeypatch, name):
+    monkeypatch.setattr(views, "EVEN", 100, raising=False)
+    n = -(-spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 100)
+    assert f"{n}), REPARTITION_BY_NUM" in plan(catalog.QUERIES[name](spark, DATA))
+
+
+def test_joint_groups_have_one_number_for_channels_and_bins(spark):
+    wide = spark.createDataFrame([(1, 0.5, 1.5, 9.0), (1, 0.5, 2.5, 9.0), (1, 0.5, 2.5, 9.0)], "mid int, b double, a double, c double")
+    edges = spark.createDataFrame([(c, [0.0, 1.0, 2.0, 3.0]) for c in "abc"], "channel string, edges array<double>")
+    joint = states.joint_counts(wide, edges, ["b", "a", "c"])
+    assert sorted(map(tuple, joint.collect())) == [(1, "a", "b", 1, 0, 1), (1, "a", "b", 2, 0, 2), (1, "a", "c", 1, 2, 1), (1, "a", "c", 2, 2, 2), (1, "b", "c", 0, 2, 3)]
+    assert "keys=[mid" in plan(joint) and "keys=[mid#" in plan(joint) and "channel_i" not in plan(joint).split("keys=[")[1].split("]")[0]
