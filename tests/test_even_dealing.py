@@ -28,7 +28,7 @@ def test_sample_limits_are_broadcast(spark, no_auto_broadcast):
     assert "SortMergeJoin" not in plan(relational.sampled(rows, 5, ["channel"], ["idx"]))
 
 
-@pytest.mark.parametrize("name", ["joint_counts", "mutual_information", "uncertainty"])
+@pytest.mark.parametrize("name", ["joint_counts", "mutual_information", "uncertainty", "capped_sample"])
 def test_measurements_are_dealt_by_samples(spark, monkeypatch, name):
     monkeypatch.setattr(views, "EVEN", 100, raising=False)
     n = -(-spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 100)
@@ -41,3 +41,10 @@ def test_joint_groups_have_one_number_for_channels_and_bins(spark):
     joint = states.joint_counts(wide, edges, ["b", "a", "c"])
     assert sorted(map(tuple, joint.collect())) == [(1, "a", "b", 1, 0, 1), (1, "a", "b", 2, 0, 2), (1, "a", "c", 1, 2, 1), (1, "a", "c", 2, 2, 2), (1, "b", "c", 0, 2, 3)]
     assert "keys=[mid" in plan(joint) and "keys=[mid#" in plan(joint) and "channel_i" not in plan(joint).split("keys=[")[1].split("]")[0]
+
+
+def test_files_are_ranked_where_they_are(spark, no_auto_broadcast):
+    rows = spark.range(400).select((F.col("id") % 7).alias("mid"), F.lit("c").alias("channel"), F.col("id").alias("idx")).repartition(3, "mid")
+    got = relational.capped_sample(rows, 5, 20, ["mid", "channel"], ["channel"], ["mid", "idx"])
+    assert "SortMergeJoin" not in plan(got) and plan(got).count("Exchange hashpartitioning(mid") <= 2  # the rows' own, once for counts and once for rows
+    assert got.count() == 20
