@@ -269,9 +269,14 @@ def _(spark, d):
     return edges(spark, d).select("channel", F.posexplode("edges").alias("i", "edge"))
 
 
+def steps_of(spark, d):
+    """First differences of all samples, null for the first of a measurement."""
+    return bins.steps(views.signal_wide(spark, d), views.CHANNELS)
+
+
 @query("increment_support", f"WITH {SIG}, D AS (SELECT channel, abs(value - lag(value) OVER (PARTITION BY mid, channel ORDER BY idx)) AS a FROM SIG) SELECT channel, CASE WHEN quantile_cont(a, 0.999) > 0 THEN round(quantile_cont(a, 0.999), 6) + 0.0 ELSE round(max(a), 6) + 0.0 END AS support, count(*) AS n FROM D WHERE a IS NOT NULL GROUP BY channel")
 def _(spark, d):
-    return bins.increment_support(views.signal(spark, d))
+    return bins.increment_support(None, steps=steps_of(spark, d))
 
 
 @query("coupling_q", f"WITH {SIG}, N AS (SELECT channel, count(value) AS n FROM SIG GROUP BY channel) SELECT CAST(greatest(4, least(16, floor(sqrt(min(n) / 25.0)))) AS INTEGER) AS q FROM N")
@@ -344,7 +349,7 @@ LEAST = (1000, 256)
 
 
 def spec(spark, d):
-    return contract.contract(views.signal(spark, d), least=LEAST)
+    return contract.contract(views.signal(spark, d), least=LEAST, steps=steps_of(spark, d))
 
 
 @query("bins_contract", f"WITH {CONTRACT} SELECT channel, kind, CAST(i - 1 AS INTEGER) AS i, round(edges[i], 6) + 0.0 AS edge FROM {ALL_EDGES}, range(1, 300) t(i) WHERE i <= len(edges)")
@@ -355,7 +360,7 @@ def _(spark, d):
 @query("bins_contract_summary", f"WITH {CONTRACT} SELECT SA.channel, SA.n, SD.n AS n_dx, round(SA.sigma, 6) + 0.0 AS sigma, round(SD.sigma, 6) + 0.0 AS sigma_dx, CAST(len(EA.edges) - 1 AS INTEGER) AS b_amp, CAST(len(ED.edges) - 1 AS INTEGER) AS b_dx, CAST(len(EQ.edges) - 1 AS INTEGER) AS q, CASE WHEN SA.n < 1000 THEN 'few_samples' WHEN len(EA.edges) < 3 THEN 'amplitude_collapsed' WHEN SD.n < 256 THEN 'few_increments' WHEN len(ED.edges) < 3 THEN 'increment_collapsed' END AS problem FROM SA JOIN SD USING (channel) JOIN EA USING (channel) JOIN ED USING (channel) JOIN EQ USING (channel)")
 def _(spark, d):
     size = lambda c: (F.size(c) - 1).alias
-    return contract.contract(views.signal(spark, d), least=LEAST, strict=False).select("channel", "n", "n_dx", "sigma", "sigma_dx", size("amplitude")("b_amp"), size("increment")("b_dx"), size("coupling")("q"), "problem")
+    return contract.contract(views.signal(spark, d), least=LEAST, strict=False, steps=steps_of(spark, d)).select("channel", "n", "n_dx", "sigma", "sigma_dx", size("amplitude")("b_amp"), size("increment")("b_dx"), size("coupling")("q"), "problem")
 
 
 MOVE = CONTRACT + """,
@@ -367,7 +372,7 @@ MP AS (SELECT mid, channel, bin, edges[bin + 1] AS bin_left, edges[bin + 2] AS b
 
 def movement(spark, d):
     """N12 on the contract's increment edges."""
-    return states.movement_pmf(views.signal(spark, d), contract.edges_of(spec(spark, d), "increment"))
+    return states.pmf(steps_of(spark, d), contract.edges_of(spec(spark, d), "increment"), missing=False)
 
 
 @query("pmf_movement", f"WITH {MOVE} SELECT mid, channel, bin, {r6('prob', 'bin_left', 'bin_right')} FROM MP")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,9 +64,16 @@ def increments(signal: DataFrame, keys=("mid", "channel"), order="idx") -> DataF
     return signal.withColumn("value", F.col("value") - F.lag("value").over(w)).where("value is not null")
 
 
-def increment_support(signal: DataFrame, p: BinsPolicy = BinsPolicy()) -> DataFrame:
-    """Quantile of absolute increments; where that is 0, six robust deviations, or else the largest one."""
-    with ranks.kept(ranks.counted(increments(signal), [PCT])) as counts:
+def steps(wide: DataFrame, channels: Sequence[str], keys=("mid",), order="idx") -> DataFrame:
+    """W1 of a frame with a column a channel: keys, channel and value. One window over the samples serves all channels; a first sample's value is null."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    own = wide.select(*keys, *[(F.col(c) - F.lag(c).over(w)).alias(c) for c in channels])
+    return own.select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias(PCT), F.col(c).alias("value")) for c in channels])))
+
+
+def increment_support(signal: DataFrame | None, p: BinsPolicy = BinsPolicy(), steps: DataFrame | None = None) -> DataFrame:
+    """Quantile of absolute increments; where that is 0, six robust deviations, or else the largest one. steps: the increments, where they are at hand."""
+    with ranks.kept(ranks.counted(increments(signal) if steps is None else steps, [PCT])) as counts:
         tail = ranks.quantiles(ranks.absolute(counts, [PCT]), [p.increment_q, 1.0]).select(PCT, "n", F.col("q")[0].alias("tail"), F.col("q")[1].alias("most"))
         sigma = ranks.mad_sigma(counts, ranks.quantiles(counts, [0.5]).select(PCT, F.col("q")[0].alias("med")), [PCT])
     return tail.join(sigma, PCT).select(PCT, tail_support(F.col("tail"), F.col("sigma"), F.col("most")).alias("support"), "n")

@@ -59,13 +59,13 @@ def statistics(amp: DataFrame, dx: DataFrame, p: BinsPolicy = BinsPolicy()) -> D
     return ranks.fixed(own.join(steps, PCT, "left"))
 
 
-def contract(signal: DataFrame, p: BinsPolicy = BinsPolicy(), least: tuple[int, int] = (4096, 1024), strict: bool = True) -> DataFrame:
+def contract(signal: DataFrame, p: BinsPolicy = BinsPolicy(), least: tuple[int, int] = (4096, 1024), strict: bool = True, steps: DataFrame | None = None) -> DataFrame:
     """Channel, n, n_dx, sigma, sigma_dx, amplitude, increment and coupling edges and problem, a row a channel.
 
     problem: few_samples, no_support, amplitude_collapsed, few_increments, no_increment_support, increment_collapsed, or null; where strict, a
-    problem raises. least: fewest samples and increments.
+    problem raises. least: fewest samples and increments. steps: the increments, where they are at hand (``bins.steps``).
     """
-    with ranks.kept(ranks.counted(signal, [PCT])) as amp, ranks.kept(ranks.counted(bins.increments(signal), [PCT])) as dx:
+    with ranks.kept(ranks.counted(signal, [PCT])) as amp, ranks.kept(ranks.counted(bins.increments(signal) if steps is None else steps, [PCT])) as dx:
         stats = statistics(amp, dx, p)
         wide = lambda sigma, floor: F.greatest(F.lit(floor), F.coalesce(p.width_sigma * F.col(sigma), F.lit(0.0)))
         amplitude = _edges(amp, stats, "b_amp", "lo", "hi", wide("sigma", p.epsilon), p).withColumnRenamed("edges", "amplitude")

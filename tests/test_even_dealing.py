@@ -48,3 +48,27 @@ def test_files_are_ranked_where_they_are(spark, no_auto_broadcast):
     got = relational.capped_sample(rows, 5, 20, ["mid", "channel"], ["channel"], ["mid", "idx"])
     assert "SortMergeJoin" not in plan(got) and plan(got).count("Exchange hashpartitioning(mid") <= 2  # the rows' own, once for counts and once for rows
     assert got.count() == 20
+
+
+def test_steps_of_all_channels_by_one_window(spark):
+    rng = np.random.default_rng(3)
+    rows = [(m, i, None if rng.random() < 0.2 else float(rng.integers(9)), float(rng.integers(9))) for m in range(4) for i in range(m * 9 + 1)]
+    wide = spark.createDataFrame(rows, "mid int, idx int, a double, b double").repartition(5)
+    one = bins.steps(wide, ["a", "b"])
+    assert plan(one).count("Window [") == 1
+    every = bins.increments(wide.unpivot(["mid", "idx"], ["a", "b"], "channel", "value"))
+    assert sorted(map(tuple, one.where("value is not null").collect())) == sorted((r.mid, r.channel, r.value) for r in every.collect())
+    assert one.count() == 2 * len(rows)
+
+
+@pytest.mark.parametrize("n", [2, 3, 31, 32, 33, 257, 511, 512, 700])
+def test_bins_are_found_by_halves(spark, n):
+    rng = np.random.default_rng(n)
+    edges = np.cumsum(rng.random(n))
+    x = np.concatenate([edges, rng.random(60) * (edges[-1] + 1) - 0.5])
+    rows = spark.createDataFrame([(float(v),) for v in x] + [(float("nan"),), (None,)], "x double").coalesce(1)
+    at = S.bin_index(F.array(*[F.lit(float(e)) for e in edges]), F.col("x"))
+    got = [r[0] for r in rows.select(at).collect()]
+    assert got == [*np.clip(np.searchsorted(edges, x, side="right") - 1, 0, n - 2), n - 2, 0]
+    if n == 257:
+        assert "filter(" not in at._jc.toString().split("512")[0]
