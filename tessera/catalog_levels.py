@@ -89,7 +89,7 @@ def _(spark, d):
 
 @query("sampled_channels", f"WITH {SIG} SELECT channel, least(count(*), 1000) AS n FROM SIG GROUP BY channel")
 def _(spark, d):
-    return relational.count_by(relational.sampled(views.signal(spark, d), 1000, ["channel"], ["mid", "idx"]), ["channel"])
+    return relational.count_by(relational.sampled(views.signal(spark, d, even=True), 1000, ["channel"], ["mid", "idx"]), ["channel"])
 
 
 SAMPLE = SIG + """,

@@ -28,7 +28,7 @@ def test_sample_limits_are_broadcast(spark, no_auto_broadcast):
     assert "SortMergeJoin" not in plan(relational.sampled(rows, 5, ["channel"], ["idx"]))
 
 
-@pytest.mark.parametrize("name", ["joint_counts", "mutual_information", "uncertainty", "capped_sample"])
+@pytest.mark.parametrize("name", ["joint_counts", "mutual_information", "uncertainty", "capped_sample", "sampled_channels"])
 def test_measurements_are_dealt_by_samples(spark, monkeypatch, name):
     monkeypatch.setattr(views, "EVEN", 100, raising=False)
     n = -(-spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 100)
