@@ -5,8 +5,8 @@ characters part where no piece of the table joins them. Distinct units are the w
 
 * bounded-length substrings of each word are exploded and equi-joined to the piece table (a vocabulary file of fixed size, so
   it may be broadcast); a character without a piece gets a byte-fallback edge;
-* edges are grouped by word and folded in order of their end by Spark's higher-order ``aggregate``: the Viterbi step keeps for
-  each position the best score and its pieces.
+* edges of a word stand together behind the join, as it keeps the order of rows; each task folds them in order of their end: the Viterbi step keeps for
+  each position of all words of a batch the best score and its piece.
 
 Words that are counted often in the corpus, ``FREQUENT`` at most and each of up to ``FREQUENT_LENGTH`` characters, are folded first and
 broadcast to the tasks. Each other word is folded once, in the place where the shuffle by word has put it. Documents are dealt into
@@ -36,11 +36,12 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,8 @@ OTHER = "\ue000"
 RANK_SHIFT = 1000
 FALLBACK = -60.0
 BLOCK_BYTES = 8 << 20
+#: Edges that are folded, and ids that are decoded, at once, about.
+FOLDED, DECODED = 1 << 16, 1 << 16
 #: Words that are folded once for all blocks and broadcast, at most, and their length in characters, at most.
 FREQUENT = 1 << 17
 FREQUENT_LENGTH = 32
@@ -66,8 +69,6 @@ _UNITS = rf"\n|{MARK}*[{_LETTER}]+|{MARK}*[^{_LETTER}{MARK}\n]+|{MARK}+"
 _WHOLE = rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+"
 #: Units above this length are cut where no piece joins two characters; longer ones than LONG are folded by windows.
 CUT_ABOVE, LONG = 32, 256
-#: A text without this has no unit longer than LONG. Only the begin of a run is looked at.
-_LONG_RUN = rf"(?<![^ \n])[^ \n]{{{LONG // 2}}}|(?<! ) {{{LONG // 2}}}"
 
 
 class PieceTable:
@@ -94,6 +95,9 @@ class PieceTable:
         self.scores = [FALLBACK] * model.get_piece_size()
         for _, i, score in self.rows:
             self.scores[i] = score
+        sizes = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
+        #: The bytes of all pieces one after the other, and where those of each begin and end.
+        self.bytes, self.begins, self.ends = np.frombuffer(b"".join(self.raw), np.uint8), np.cumsum(sizes) - sizes, np.cumsum(sizes)
         self.longest = max(len(p) for p, _, _ in self.rows)
         cut = re.compile(_UNITS).fullmatch
         #: No piece may span two units: then the best path of a text is that of its units, one after the other.
@@ -101,13 +105,12 @@ class PieceTable:
         #: Characters that stand next to each other in some piece.
         self.joined = {p[i : i + 2] for p, _, _ in self.rows for i in range(len(p) - 1)}
 
-    def splitter(self) -> Callable[[str], list[str]]:
-        """Cuts a spaced text into units."""
-        find, joined = re.compile(self.units).findall, self.joined
+    def cutter(self) -> Callable[[Collection[str]], Collection[str]]:
+        """Cuts long ones of units where no piece joins two characters."""
+        joined = self.joined
 
-        def cut(text: str) -> list[str]:
-            units = find(text)
-            if len(max(units, key=len, default="")) <= CUT_ABOVE:
+        def cut(units: Collection[str]) -> Collection[str]:
+            if max(map(len, units), default=0) <= CUT_ABOVE:
                 return units
             out = []
             for u in units:
@@ -123,10 +126,15 @@ class PieceTable:
         return cut
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(pd.DataFrame(self.rows, columns=["sub", "id", "score"])[["sub", "id"]], "sub string, id int")
+        return spark.createDataFrame(pd.DataFrame(self.rows, columns=["sub", "id", "score"]), "sub string, id int, score double")
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.raw.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
+    def decode(self, ids: np.ndarray) -> str:
+        def part(own: np.ndarray) -> bytes:
+            begins, sizes = self.begins[own], self.ends[own] - self.begins[own]
+            ends = np.cumsum(sizes)
+            return self.bytes[np.arange(ends[-1]) + np.repeat(begins - ends + sizes, sizes)].tobytes()
+
+        return b"".join([part(ids[i : i + DECODED]) for i in range(0, len(ids), DECODED)])[1:].decode("utf-8", "surrogatepass")
 
 
 def marked_text(text: Column) -> Column:
@@ -134,6 +142,11 @@ def marked_text(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.concat(F.lit(MARK), F.translate(text, MARK + " ", OTHER + MARK)))
 
 
+def may_be_long(text: Column) -> Column:
+    """False for texts that surely have no unit longer than LONG: half of such a unit at least is marks, or characters between spaces."""
+    return F.contains(text, F.lit(" " * (LONG // 2))) | F.exists(F.split(text, " "), lambda x: F.length(x) >= LONG // 2)
+
+
 def _edge(start: Column, size: Column, sub: str) -> Column:
     """An edge as one number: its end, its start back from the end (less than 2^8) and id + 2^22 in 21, 8 and 24 bits or more, so that edges sort by end and take little room. A negative id is a code point that goes by bytes."""
     end = F.shiftleft((start + size).cast("long"), 32).bitwiseOR(F.shiftleft(F.lit(255) - size, 24).cast("long").bitwiseAND((1 << 32) - 1))
@@ -152,45 +165,84 @@ def _piece(x: Column) -> Column:
 def _edges(spans: DataFrame, table: PieceTable) -> DataFrame:
     """spans (with sub and l) that are pieces, or single characters, with the id of the piece."""
     known = table.frame(spans.sparkSession).withColumnRenamed("sub", "piece").withColumn("key", F.xxhash64("piece"))
-    spans = spans.withColumn("key", F.xxhash64("sub"))  # a number as key makes the lookup cheap; the pieces themselves decide
-    return spans.join(F.broadcast(known), (spans["key"] == known["key"]) & (F.col("sub") == F.col("piece")), "left").where("id is not null or l = 1")
-
-
-def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(blocks, ids): the best path of each of words (word, blocks), which are LONG characters long at most. The ids spell the word."""
-    keyed = words.withColumns({"n": F.length("word"), "wid": F.monotonically_increasing_id()})  # used within one task only
-    spans = keyed.select("blocks", "wid", "word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
+    spans = spans.withColumn("key", F.xxhash64("sub"))  # a number as the only key makes the lookup cheap; the pieces themselves decide behind it
+    spans = spans.join(F.broadcast(known), spans["key"] == known["key"], "left").where("piece = sub or l = 1")
+    return spans.withColumns({c: F.when(F.col("piece") == F.col("sub"), F.col(c)) for c in ("id", "score")})
+
+
+def _folded(first: np.ndarray, edges: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the best paths of some words, and how many each has. first: whether an edge is its word's first; scores: by id, the one of characters without a piece behind them."""
+    word = np.cumsum(first) - 1
+    end, size, ids = edges >> 32, 255 - (edges >> 24 & 255), ((edges & (1 << 24) - 1) - (1 << 22)).astype(np.int32)
+    order = np.lexsort((-size, word, end))  # of equal scores the longer last piece wins, so it stands first
+    length = np.maximum.reduceat(end, np.flatnonzero(first))
+    base = np.cumsum(length + 1) - length - 1  # of each word's places 0 to length
+    to = (base[word] + end)[order]
+    since = to - size[order]
+    score = scores[np.where(ids < 0, len(scores) - 1, ids)[order]]
+    best, taken = np.zeros(base[-1] + length[-1] + 1), np.zeros(base[-1] + length[-1] + 1, np.int64)
+    for part in np.split(np.arange(len(order)), np.flatnonzero(np.diff(end[order])) + 1):
+        value, place = best[since[part]] + score[part], to[part]
+        begins = np.flatnonzero(np.diff(place, prepend=-1))
+        most = np.maximum.reduceat(value, begins)
+        hit = np.flatnonzero(value == np.repeat(most, np.diff(begins, append=len(place))))
+        hit = hit[np.diff(place[hit], prepend=-1) != 0]  # the first of each place
+        best[place[hit]], taken[place[hit]] = most, part[hit]
+    own, at, found = np.arange(len(base)), base + length, []
+    while len(own):  # from the ends of all words back to their starts
+        edge = taken[at]
+        found.append((own, edge))
+        left = since[edge] > base[own]
+        own, at = own[left], since[edge][left]
+    own, edge = (np.concatenate([x[i] for x in found][::-1]) for i in (0, 1))
+    return ids[order][edge[np.argsort(own, kind="stable")]], np.bincount(own, minlength=len(base))
+
+
+def folded_paths(words: DataFrame, table: PieceTable) -> DataFrame:
+    """(blocks, path): the best path of each of words (word, blocks), which are LONG characters long at most, as 32-bit numbers. The ids spell the word."""
+    spans = words.select("word", "blocks", F.length("word").alias("n")).select("blocks", "word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
     size = F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.col("n") - F.col("s")))).alias("l")
-    spans = spans.select("blocks", "wid", "word", "s", size).withColumn("sub", F.substring("word", F.col("s") + 1, F.col("l")))
-    edges = _edges(spans, table).select("wid", "word", "blocks", _edge(F.col("s"), F.col("l"), "sub").alias("edge"))
-    edges = edges.groupBy("wid", "word", "blocks").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    scores = F.lit(np.array(table.scores, np.float64))
+    spans = spans.select("blocks", "word", "s", size).withColumn("sub", F.substring("word", F.col("s") + 1, F.col("l")))
+    # a word's first edge is its first character, which tells words apart and holds what belongs to the word
+    edges = _edges(spans, table).select(F.when((F.col("s") == 0) & (F.col("l") == 1), F.col("blocks")).alias("blocks"), _edge(F.col("s"), F.col("l"), "sub").alias("edge"))
+    scores = np.array([*table.scores, FALLBACK])
+
+    def done(batch: pa.Table) -> pa.RecordBatch:
+        ids, count = _folded(batch["blocks"].is_valid().to_numpy(), batch["edge"].to_numpy(), scores)
+        data, ends = ids.tobytes(), (4 * np.cumsum(count)).tolist()
+        paths = pa.array([data[a:b] for a, b in zip([0, *ends], ends, strict=False)], pa.binary())
+        return pa.RecordBatch.from_arrays([batch["blocks"].drop_null().combine_chunks(), paths], ["blocks", "path"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= FOLDED:
+                own = pa.Table.from_batches(held)
+                last = int(np.flatnonzero(own["blocks"].is_valid().to_numpy())[-1])
+                if last:
+                    yield done(own[:last])
+                held = own[last:].to_batches()  # a word that may go on in the next batch
+                rows = sum(map(len, held))
+        if rows:
+            yield done(pa.Table.from_batches(held))
+
+    return edges.mapInArrow(fold, f"blocks {words.schema['blocks'].dataType.simpleString()}, path binary")
 
-    # The state is one flat array, for place p the best score at 2 p and the edge that gives it at 2 p + 1 (53 bits, exact as
-    # a double): steps copy their state, so nested states are dear. Edges come in order, so of equal scores the smaller start wins.
-    def step(acc: Column, x: Column) -> Column:
-        score = F.get(acc, 2 * _place(x)) + F.coalesce(F.get(scores, _piece(x)), F.lit(FALLBACK))
 
-        def put(to: Column) -> Column:
-            return F.array_append(F.array_append(to, score), x.cast("double"))
-
-        first = F.size(acc) == 2 * F.shiftright(x, 32).cast("int")
-        better = score > F.element_at(acc, -2)
-        return F.when(first, put(acc)).when(better, put(F.slice(acc, F.lit(1), F.size(acc) - 2))).otherwise(acc)
+def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
+    """``folded_paths`` with ids as an array."""
 
-    def back(acc: Column) -> Column:
-        """The edges of the best path, from its end back to its start."""
-        last = F.array(F.element_at(acc, -1).cast("long"))
-        places = F.sequence(F.shiftright(F.size(acc), 1) - 2, F.lit(0), F.lit(-1))
-        return F.aggregate(places, last, lambda out, e: F.when((e > 0) & (e == _place(F.element_at(out, -1))), F.array_append(out, F.get(acc, 2 * e + 1).cast("long"))).otherwise(out))
+    @F.pandas_udf("array<int>")
+    def ids(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda x: np.frombuffer(x, np.int32))
 
-    start = F.array(F.lit(0.0), F.lit(0.0))
-    path = F.aggregate("edges", start, step, lambda acc: F.transform(F.reverse(back(acc)), _piece))
-    return edges.select("blocks", path.alias("ids"))
+    return folded_paths(words, table).select("blocks", ids("path").alias("ids"))
 
 
 def long_paths(windows: DataFrame, table: PieceTable) -> DataFrame:
-    """(blocks, ids) of units of any length from their windows (unit, off, sub_text, blocks): LONG starts each, with the characters that pieces from there may take.
+    """(blocks, path) of units of any length from their windows (unit, off, sub_text, blocks): LONG starts each, with the characters that pieces from there may take.
 
     Spark's fold copies its state in each step. So a fold over the windows holds what is finished, as an array a window, and a fold within each
     window holds the scores of that window and of the last places before it only; the way back does the same.
@@ -199,15 +251,15 @@ def long_paths(windows: DataFrame, table: PieceTable) -> DataFrame:
     spans = own.select("unit", "off", "blocks", "sub_text", "n", F.explode(F.sequence(F.lit(0), F.least(F.lit(LONG), F.col("n")) - 1)).alias("s"))
     size = F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.col("n") - F.col("s")))).alias("l")
     spans = spans.select("unit", "blocks", (F.col("off") + F.col("s")).alias("s"), size, F.substring("sub_text", F.col("s") + 1, F.col("l")).alias("sub"))
-    edges = _edges(spans, table).select("unit", "blocks", F.floor((F.col("s") + F.col("l") - 1) / LONG).alias("part"), _edge(F.col("s"), F.col("l"), "sub").alias("edge"))
+    edges = _edges(spans, table).select("unit", "blocks", F.floor((F.col("s") + F.col("l") - 1) / LONG).alias("part"), F.struct(_edge(F.col("s"), F.col("l"), "sub").alias("edge"), F.coalesce("score", F.lit(FALLBACK)).alias("score")).alias("edge"))
     parts = edges.groupBy("unit", "blocks", "part").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     units = parts.groupBy("unit", "blocks").agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "edges"))), lambda p: p["edges"]).alias("parts"))
-    scores = F.lit(np.array(table.scores, np.float64))
     more = 2 * table.longest
 
-    def step(tail: Column, x: Column, base: Column) -> Column:
-        """tail: pairs of score and edge of the places from base on."""
-        score = F.get(tail, 2 * (_place(x) - base)) + F.coalesce(F.get(scores, _piece(x)), F.lit(FALLBACK))
+    def step(tail: Column, scored: Column, base: Column) -> Column:
+        """tail: pairs of score and edge of the places from base on (an edge has 53 bits, exact as a double)."""
+        x = scored["edge"]
+        score = F.get(tail, 2 * (_place(x) - base)) + scored["score"]
         put = lambda to: F.concat(to, F.array(score, x.cast("double")))
         first = F.size(tail) == 2 * (F.shiftright(x, 32).cast("int") - base)
         return F.when(first, put(tail)).when(score > F.element_at(tail, -2), put(F.slice(tail, F.lit(1), F.size(tail) - 2))).otherwise(tail)
@@ -240,7 +292,13 @@ def long_paths(windows: DataFrame, table: PieceTable) -> DataFrame:
     last = (F.size("states") - 1) * LONG + F.shiftright(F.size(F.element_at("states", -1)), 1)
     begin = F.struct(last.alias("need"), F.array().cast("array<array<bigint>>").alias("outs"))
     path = F.aggregate(F.sequence(F.size("states") - 1, F.lit(0), F.lit(-1)), begin, back, lambda acc: F.transform(F.reverse(F.flatten(acc["outs"])), _piece))
-    return units.select("blocks", states.alias("states")).select("blocks", path.alias("ids"))
+    paths = units.select("blocks", states.alias("states")).select("blocks", path.alias("ids"))
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"blocks": pdf["blocks"], "path": [np.asarray(x, np.int32).tobytes() for x in pdf["ids"]]})
+
+    return paths.mapInPandas(packed, f"blocks {windows.schema['blocks'].dataType.simpleString()}, path binary")
 
 
 def even_labels(spark: SparkSession, parts: int) -> list[int]:
@@ -289,13 +347,24 @@ def frequent_words(docs: DataFrame, table: PieceTable, text: str, most: int = FR
     """Ids of the words that stand most often in the corpus; at most ``most`` words of bounded length reach the driver."""
     words = counted(docs, table, text).orderBy(F.desc("n"), "word").limit(most).select("word", F.lit(0).alias("blocks"))
     words = words.repartition(parts_for(most, 8192, 8), "word")
-    out = {}
-    for batch in best_paths(words, table).select("ids").toArrow().to_batches():
-        for ids in batch["ids"].to_pylist():
-            word = "".join([table.spelled[i] if i >= 0 else chr(-i) for i in ids])
-            if OTHER not in word:
-                out[word] = by_bytes(ids, repeat(MARK), table.byte_ids)
-    return out
+    found, odd = spelled_paths(folded_paths(words, table).select("path").toArrow()["path"].to_pylist(), table.spelled, table.byte_ids)
+    return {w: path for w, path in found.items() if w not in odd}
+
+
+def spelled_paths(paths: list[bytes], spelled: list[str], byte_ids: list[int]) -> tuple[dict[str, bytes], dict[str, list[int]]]:
+    """The words that paths spell with their ids, and the ids of those that hold a stand-in."""
+    flat = np.frombuffer(b"".join(paths), np.int32)
+    parts = [spelled[i] if i >= 0 else chr(-i) for i in flat.tolist()]
+    ends = (np.cumsum(np.fromiter(map(len, paths), np.int64, len(paths))) // 4).tolist()
+    known = {"".join(parts[a:b]): path for a, b, path in zip([0, *ends], ends, paths, strict=False)}
+    odd = {}
+    for k in np.unique(np.searchsorted(ends, np.flatnonzero(flat < 0), "right")).tolist():
+        ids = np.frombuffer(paths[k], np.int32).tolist()
+        word = "".join([spelled[i] if i >= 0 else chr(-i) for i in ids])
+        known[word] = by_bytes(ids, repeat(MARK), byte_ids)
+        if OTHER in word:
+            odd[word] = ids
+    return known, odd
 
 
 def encode_with(docs: DataFrame, table: PieceTable, finish: Callable[[str | None, np.ndarray | None], tuple], schema: str, *, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
@@ -306,24 +375,25 @@ def encode_with(docs: DataFrame, table: PieceTable, finish: Callable[[str | None
     # a block is told by id and text, so that rows of one id, or of none, spread as their texts do
     block = F.get(F.lit(np.array(labels, np.int32)), F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(len(labels))).cast("int"))
     shared = spark.sparkContext.broadcast(frequent_words(docs, table, text, frequent))
-    find, byte_ids, spelled, longest = table.splitter(), table.byte_ids, table.spelled, table.longest
+    raw, cut, byte_ids, spelled, longest = re.compile(table.units).findall, table.cutter(), table.byte_ids, table.spelled, table.longest
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The long units of texts that may have some."""
         for pdf in batches:
             for t, b in zip(pdf["text"], pdf["block"], strict=True):
-                for u in {u for u in find(spaced(t)) if len(u) > LONG}:
+                for u in {u for u in cut(raw(spaced(t))) if len(u) > LONG}:
                     unit = hashlib.sha256(u.encode("utf-8", "surrogatepass")).digest()
                     yield pd.DataFrame([(unit, i, u[i : i + LONG + longest - 1], b) for i in range(0, len(u), LONG)], columns=["unit", "off", "sub_text", "block"])
 
     def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The words of each block that are not frequent, once for each batch of texts."""
+        always = shared.value
         for pdf in batches:
             own: dict[int, set[str]] = {}
             for t, b in zip(pdf["text"], pdf["block"], strict=True):
                 if isinstance(t, str) and t:
-                    found = set(find(spaced(t))).difference(shared.value)
-                    own.setdefault(b, set()).update(u for u in found if len(u) <= LONG)
+                    found = cut(set(raw(spaced(t))).difference(always))
+                    own.setdefault(b, set()).update([u for u in found if len(u) <= LONG and u not in always])
             count = [len(w) for w in own.values()]
             if any(count):
                 yield pd.DataFrame({"word": [w for words in own.values() for w in words], "block": np.repeat(np.array(list(own), np.int32), count)})
@@ -334,31 +404,29 @@ def encode_with(docs: DataFrame, table: PieceTable, finish: Callable[[str | None
 
     words = docs.select(F.col(text).alias("text"), block.alias("block")).mapInPandas(rare, "word string, block int")
     words = words.groupBy("word").agg(F.collect_set("block").alias("blocks"))  # no more than there are blocks
-    runs = docs.select(F.col(text).alias("text"), block.alias("block")).where(F.col("text").rlike(_LONG_RUN))
+    runs = docs.select(F.col(text).alias("text"), block.alias("block")).where(may_be_long(F.col("text")))
     pieces = runs.mapInPandas(windows, "unit binary, off int, sub_text string, block int").groupBy("unit", "off", "sub_text").agg(F.sort_array(F.collect_set("block")).alias("blocks"))
-    paths = best_paths(words, table).unionByName(long_paths(pieces, table)).select(F.explode("blocks").alias("place"), "ids")
+    paths = folded_paths(words, table).unionByName(long_paths(pieces, table)).select(F.explode("blocks").alias("place"), "path")
     dealt = docs.select(F.col(doc_id).alias("doc_id"), packed(text).alias("text"), block.alias("block")).repartition(len(labels), "block")
     names = [c.split()[0] for c in schema.split(", ")]
 
     def whole(texts: pd.DataFrame, paths: pd.DataFrame) -> pd.DataFrame:
-        known, odd, always = {}, {}, shared.value
-        for ids in paths["ids"]:
-            ids = ids.tolist()
-            word = "".join([spelled[i] if i >= 0 else chr(-i) for i in ids])
-            if OTHER in word:
-                odd[word] = ids
-            known[word] = by_bytes(ids, repeat(MARK), byte_ids) if min(ids) < 0 else np.asarray(ids, np.int32).tobytes()
+        known, odd = spelled_paths(paths["path"].tolist(), spelled, byte_ids)
+        known |= shared.value
         out = []
         for data in texts["text"]:
             text = ids = None
             if data is not None:
                 text = zlib.decompress(data).decode("utf-8", "surrogatepass")
-                units = find(spaced(text)) if text else []
+                units = raw(spaced(text)) if text else []
                 if OTHER in text:  # a text that holds the stand-in itself: its places are told apart
                     places = iter([c for c in text if c in (MARK, OTHER)])
-                    parts = [by_bytes(odd[u], places, byte_ids) if u in odd else known.get(u) or always[u] for u in units]
+                    parts = [by_bytes(odd[u], places, byte_ids) if u in odd else known[u] for u in cut(units)]
                 else:
-                    parts = [always.get(u) or known[u] for u in units]
+                    try:
+                        parts = list(map(known.__getitem__, units))
+                    except KeyError:  # a unit that is cut; none such is a word
+                        parts = list(map(known.__getitem__, cut(units)))
                 ids = np.frombuffer(b"".join(parts), np.int32)
             out.append(finish(text, ids))
         return pd.concat([texts[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
@@ -377,7 +445,7 @@ def decode(rows: DataFrame, table: PieceTable, ids: str = "ids", text: str = "te
 
     @F.pandas_udf("string")
     def back(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: None if x is None else table.decode(list(x)))
+        return values.map(lambda x: None if x is None else table.decode(np.asarray(x, np.int64)))
 
     return rows.withColumn(text, back(ids))
 
@@ -391,7 +459,7 @@ def digest(table: PieceTable) -> Callable[[str | None, np.ndarray | None], tuple
     def finish(text: str | None, ids: np.ndarray | None) -> tuple:
         if ids is None:
             return 0, 0, hashlib.md5(b"").hexdigest(), True
-        return len(ids), int(in_bytes[ids].sum()), hashlib.md5(ids.astype("<i4").tobytes()).hexdigest(), table.decode(ids.tolist()) == text
+        return len(ids), int(in_bytes[ids].sum()), hashlib.md5(ids.astype("<i4").tobytes()).hexdigest(), table.decode(ids) == text
 
     return finish
 

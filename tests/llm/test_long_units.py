@@ -62,3 +62,36 @@ def test_long_texts_take_linear_time(spark, table):
         took.append(time.time() - t)
         assert sorted(r.back for r in rows) == sorted(texts)
     assert took[1] < 10 * took[0]
+
+
+def test_no_table_in_expressions(spark, table):
+    """The scores of all pieces must not stand in the plan, whose text the driver makes anew for each stage."""
+    words = spark.createDataFrame([("▁changed", [0])], "word string, blocks array<int>")
+    windows = spark.createDataFrame([(b"u", 0, "a" * 300, [0])], "unit binary, off int, sub_text string, blocks array<int>")
+    for df in (pieces.best_paths(words, table), pieces.long_paths(windows, table)):
+        assert len(df._jdf.queryExecution().toString()) < 100_000
+
+
+def test_words_across_batches(spark, table):
+    """Words whose edges lie in several batches, and words with equal scores, have the paths of a plain search."""
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abst日▁é") for _ in range(rng.randint(1, 90))) for _ in range(400)})
+    before, size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), pieces.FOLDED
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        pieces.FOLDED = 40
+        found = pieces.best_paths(spark.createDataFrame([(w, [k]) for k, w in enumerate(words)], "word string, blocks array<int>").coalesce(1), table).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        pieces.FOLDED = size
+    by = {p: (i, score) for p, i, score in table.rows}
+    assert len(found) == len(words)
+    for r in found:
+        w = words[r.blocks[0]]
+        best = [(0.0, [])] + [None] * len(w)
+        for end in range(1, len(w) + 1):
+            for start in range(max(0, end - table.longest), end):
+                own = by.get(w[start:end]) or ((-ord(w[start]), pieces.FALLBACK) if end == start + 1 else None)
+                if own and (best[end] is None or best[start][0] + own[1] > best[end][0]):
+                    best[end] = (best[start][0] + own[1], [*best[start][1], own[0]])
+        assert r.ids == best[-1][1]
