@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_words, components, marked, runs, stash
+from .common import bit_words, components, map_texts, marked, runs, stash
 
 SHINGLE = 5
 #: Heavy shingles that are ordered last, at most: a bound for what the driver and the tasks hold. It changes cost, not results.
@@ -144,22 +144,20 @@ def _stats(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, dict[int,
     """One pass over the texts: rows (doc_id, n, sig), classes (sig, rep, n, bits), heavy shingles, size histogram, and the length of the list that a light shingle's entry stands in, on average."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 1500):
-                part = pdf.iloc[at : at + 1500]
-                sets = [t for _, t in _batches(part)]
-                sigs = [set_digest(t) if len(t) else None for t in sets]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n": [len(t) for t in sets], "sig": pd.array(sigs, "Int64"), "bits": [parity(t) if len(t) else None for t in sets], "token": pd.array([None] * len(sets), "Int64")})
-                once = {s: t for s, t in zip(sigs, sets, strict=True) if s is not None}
-                if once:
-                    tokens = np.sort(np.concatenate(list(once.values())))
-                    starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-                    counts = np.diff(np.r_[starts, len(tokens)])
-                    often = counts >= 2
-                    yield pd.DataFrame({"doc_id": None, "n": counts[often], "sig": pd.array([None] * int(often.sum()), "Int64"), "bits": None, "token": tokens[starts[often]].view(np.int64)})
+        for part in batches:
+            sets = [t for _, t in _batches(part)]
+            sigs = [set_digest(t) if len(t) else None for t in sets]
+            yield pd.DataFrame({"doc_id": part["doc_id"], "n": [len(t) for t in sets], "sig": pd.array(sigs, "Int64"), "bits": [parity(t) if len(t) else None for t in sets], "token": pd.array([None] * len(sets), "Int64")})
+            once = {s: t for s, t in zip(sigs, sets, strict=True) if s is not None}
+            if once:
+                tokens = np.sort(np.concatenate(list(once.values())))
+                starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+                counts = np.diff(np.r_[starts, len(tokens)])
+                often = counts >= 2
+                yield pd.DataFrame({"doc_id": None, "n": counts[often], "sig": pd.array([None] * int(often.sum()), "Int64"), "bits": None, "token": tokens[starts[often]].view(np.int64)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = stash(docs.select("doc_id", "text").mapInPandas(work, f"doc_id {kind}, n long, sig long, bits binary, token long"), "sets")
+    found = stash(map_texts(docs.select("doc_id", "text"), work, f"doc_id {kind}, n long, sig long, bits binary, token long", rows=1500), "sets")
     often = found.where("token is not null").groupBy("token").agg(F.sum("n").alias("n"))
     heavy = often.where("n >= 4").orderBy(F.desc("n"), "token").limit(HEAVY).select("token", "n").toArrow()  # at most HEAVY
     top = np.sort(heavy["token"].to_numpy().astype(np.int64).view(np.uint64))
@@ -180,14 +178,13 @@ def set_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                out = {}
-                for _, tokens in _batches(pdf.iloc[at : at + 500]):
-                    if len(tokens) and (sig := set_digest(tokens)) not in out:
-                        out[sig] = (list_keys(tokens, heavy, small).view(np.int64), len(tokens))
-                if out:
-                    count = [len(k) for k, _ in out.values()]
-                    yield pd.DataFrame({"token": np.concatenate([k for k, _ in out.values()]), "sig": np.repeat(np.array(list(out), np.int64), count), "n": np.repeat(np.array([n for _, n in out.values()], np.int32), count)})
+            out = {}
+            for _, tokens in _batches(pdf):
+                if len(tokens) and (sig := set_digest(tokens)) not in out:
+                    out[sig] = (list_keys(tokens, heavy, small).view(np.int64), len(tokens))
+            if out:
+                count = [len(k) for k, _ in out.values()]
+                yield pd.DataFrame({"token": np.concatenate([k for k, _ in out.values()]), "sig": np.repeat(np.array(list(out), np.int64), count), "n": np.repeat(np.array([n for _, n in out.values()], np.int32), count)})
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pairs of lists with up to SHORT classes; of longer lists the pairs with the first member and with the one before, and the members."""
@@ -220,7 +217,7 @@ def set_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 t = np.repeat(np.add.reduceat(mixed, starts), np.diff(np.r_[starts, len(t)])).view(np.int64)
                 yield pd.DataFrame({"token": t, "a": s, "b": s, "n": n}).drop_duplicates()
 
-    keys = docs.select("doc_id", "text").mapInPandas(emit, "token long, sig long, n int")
+    keys = map_texts(docs.select("doc_id", "text"), emit, "token long, sig long, n int")
     met = keys.repartition("token").sortWithinPartitions("token", "sig").mapInPandas(meet, "token long, a long, b long, n int")
     met = stash(met, "met")
     pairs = stash(_allowed(met.where("a <> b").select("a", "b").distinct(), classes), "pairs")
@@ -366,7 +363,7 @@ def _verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
             out = []
 
     both = left.unionByName(right).repartition("a", "z").sortWithinPartitions("a", "z", "other", "b")
-    return stash(both.mapInPandas(compare, "a long, b long"), "links")
+    return stash(map_texts(both, compare, "a long, b long"), "links")
 
 
 def _components(docs: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_for
+from .common import map_texts, parts_for
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -60,7 +60,9 @@ FOLDED, DECODED = 1 << 16, 1 << 16
 FREQUENT = 1 << 17
 FREQUENT_LENGTH = 32
 #: A word counts in a part of COUNT_BYTES of text if it stands there so often, at least.
-COUNT_LEAST, COUNT_BYTES = 3, 16 << 20
+COUNT_LEAST, COUNT_BYTES = 3, 4 << 20
+#: Words that are not frequent and that a task holds before it gives them on, about.
+HELD = 1 << 16
 #: Partitions that blocks are dealt over, at most.
 MOST_PARTS = 100_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -328,7 +330,7 @@ def counted(docs: DataFrame, table: PieceTable, text: str) -> DataFrame:
                         seen, size = Counter(), 0
         yield often()
 
-    parts = docs.select(F.col(text).alias("text")).mapInPandas(work, "word string, n long")
+    parts = map_texts(docs.select(F.col(text).alias("text")), work, "word string, n long")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -386,28 +388,36 @@ def encode_with(docs: DataFrame, table: PieceTable, finish: Callable[[str | None
                     yield pd.DataFrame([(unit, i, u[i : i + LONG + longest - 1], b) for i in range(0, len(u), LONG)], columns=["unit", "off", "sub_text", "block"])
 
     def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The words of each block that are not frequent, once for each batch of texts."""
+        """The words of each block that are not frequent, once for each HELD of them."""
         always = shared.value
+        own: dict[int, set[str]] = {}
+
+        def held() -> pd.DataFrame:
+            count = [len(w) for w in own.values()]
+            return pd.DataFrame({"word": [w for words in own.values() for w in words], "block": np.repeat(np.array(list(own), np.int32), count)})
+
         for pdf in batches:
-            own: dict[int, set[str]] = {}
             for t, b in zip(pdf["text"], pdf["block"], strict=True):
                 if isinstance(t, str) and t:
                     found = cut(set(raw(spaced(t))).difference(always))
                     own.setdefault(b, set()).update([u for u in found if len(u) <= LONG and u not in always])
-            count = [len(w) for w in own.values()]
-            if any(count):
-                yield pd.DataFrame({"word": [w for words in own.values() for w in words], "block": np.repeat(np.array(list(own), np.int32), count)})
+            if sum(map(len, own.values())) >= HELD:
+                yield held()
+                own = {}
+        yield held()
 
-    @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: zlib.compress(t.encode("utf-8", "surrogatepass"), 6) if isinstance(t, str) else None)
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(text=[zlib.compress(t.encode("utf-8", "surrogatepass"), 6) if isinstance(t, str) else None for t in pdf["text"]])
 
-    words = docs.select(F.col(text).alias("text"), block.alias("block")).mapInPandas(rare, "word string, block int")
+    words = map_texts(docs.select(F.col(text).alias("text"), block.alias("block")), rare, "word string, block int")
     words = words.groupBy("word").agg(F.collect_set("block").alias("blocks"))  # no more than there are blocks
     runs = docs.select(F.col(text).alias("text"), block.alias("block")).where(may_be_long(F.col("text")))
-    pieces = runs.mapInPandas(windows, "unit binary, off int, sub_text string, block int").groupBy("unit", "off", "sub_text").agg(F.sort_array(F.collect_set("block")).alias("blocks"))
+    pieces = map_texts(runs, windows, "unit binary, off int, sub_text string, block int").groupBy("unit", "off", "sub_text").agg(F.sort_array(F.collect_set("block")).alias("blocks"))
     paths = folded_paths(words, table).unionByName(long_paths(pieces, table)).select(F.explode("blocks").alias("place"), "path")
-    dealt = docs.select(F.col(doc_id).alias("doc_id"), packed(text).alias("text"), block.alias("block")).repartition(len(labels), "block")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    dealt = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), block.alias("block"))
+    dealt = map_texts(dealt, packed, f"doc_id {kind}, text binary, block int").repartition(len(labels), "block")
     names = [c.split()[0] for c in schema.split(", ")]
 
     def whole(texts: pd.DataFrame, paths: pd.DataFrame) -> pd.DataFrame:
@@ -431,7 +441,6 @@ def encode_with(docs: DataFrame, table: PieceTable, finish: Callable[[str | None
             out.append(finish(text, ids))
         return pd.concat([texts[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
-    kind = docs.schema[doc_id].dataType.simpleString()
     return dealt.groupBy("block").cogroup(paths.groupBy("place")).applyInPandas(whole, f"doc_id {kind}, {schema}")
 
 
