@@ -38,6 +38,8 @@ SHORT = 64
 SIGNS = 16
 #: Pairs whose texts meet in one task, about: such rows are small but dear, so their bytes alone would put them in too few tasks.
 MET = 10_000
+#: Shingles of its line before it that a row of an inverted list holds, so that a pair comes from few of the lists that it shares.
+BEFORE = 8
 #: Shingles that one row of the signature pass takes: it bounds the length of an expression, not the work.
 STEP = 8
 # Constants that the shingle hashes are xor-ed with.
@@ -60,7 +62,7 @@ def shingle(data: Column, start: Column) -> Column:
 
 def shingles(line: Column) -> Column:
     """Hashes of a line's shingles in their order, repeats included."""
-    whole = lambda data: F.transform(F.sequence(F.lit(0), last_start(data)), lambda i: F.xxhash64(shingle(data, i)))
+    whole = lambda data: F.transform(F.sequence(F.lit(1), 4 * last_start(data) + 1, F.lit(4)), lambda at: F.xxhash64(F.substring(data, at, F.lit(4 * SHINGLE))))
     return F.get(F.transform(F.array(points(line)), whole), 0)  # over an array of one, so that the points are made once
 
 
@@ -73,7 +75,8 @@ def line_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """(d, tie, i, line, h): the lines of each document that hold a word."""
     cut = F.posexplode(F.split(text, "\n")).alias("i", "line")
     rows = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("tie"), cut)
-    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
+    # most lines tell by their first character, without a regular expression
+    return rows.where((F.ascii("line") > 32) | F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
 def shingle_rows(lines: DataFrame, step: int, *keys: str) -> DataFrame:
@@ -88,8 +91,9 @@ def line_signs(texts: DataFrame) -> DataFrame:
     x = F.col("x")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
     word = F.shiftright(x, 6).bitwiseAND(SIGNS - 1)
-    own = [F.bit_xor(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{j}") for j in range(SIGNS)]
-    return texts.select("h", F.explode(shingle_set(F.col("line"))).alias("x")).groupBy("h").agg(F.count("*").alias("size"), *own)
+    own = [F.bit_xor(F.when(F.col("word") == j, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"s{j}") for j in range(SIGNS)]
+    rows = texts.select("h", F.explode(shingle_set(F.col("line"))).alias("x")).select("h", bit.alias("bit"), word.cast("int").alias("word"))
+    return rows.groupBy("h").agg(F.count("*").alias("size"), *own)
 
 
 def _partner(signs: DataFrame) -> DataFrame:
@@ -121,28 +125,34 @@ def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = marked(lines.select("h", "line"), F.col("h"), bit_words(wanted, "h")).where("__hit").select("h", "line")
     texts = stash(texts.join(wanted, "h", "left_semi").dropDuplicates(["h"]), "line-texts")
     signs = stash(line_signs(texts), "line-signs")
-    comps = components(_linked(pairs, texts, signs, threshold))
+    comps = components(_linked(_near(pairs, signs, threshold), texts, threshold))
     bands = stash(_mixed(rows.select("band", "h", "k"), comps, "band"), "mixed-bands")
     forget(rows)
     if bands.isEmpty():
         forget(pairs, texts, signs, bands)
         return comps
-    short = bands.where(F.col("k") <= SHORT).select("band", "h")
+    short = bands.where(F.col("k") <= SHORT).select("band", "h", F.array().cast("array<bigint>").alias("before"))
     lists = stash(_head_lists(bands.where(F.col("k") > SHORT).select("h").distinct(), texts, threshold), "line-lists")
     if not lists.isEmpty():
         fresh = stash(_apart(_offered(_beside(lists, "band")), comps).join(pairs, ["a", "b"], "left_anti"), "line-pairs")
-        comps = _joined(comps, _linked(fresh, texts, signs, threshold))
+        known = marked(signs, F.col("h"), _end_words(fresh)).where("__hit").drop("__hit")
+        comps = _joined(comps, _linked(_near(fresh, known, threshold), texts, threshold))
         pairs = pairs.unionByName(fresh)
-        lists = _mixed(lists, comps, "band")
-    left = stash(_mixed(short.unionByName(lists.select("band", "h")), comps, "band").select("band", "h", "c"), "mixed-lists")
+    left = stash(_mixed(short.unionByName(lists), comps, "band").select("band", "h", "c", "before"), "mixed-lists")
     if left.isEmpty():
         return comps
-    left = left.join(signs, "h")
-    other = _partner(left).withColumnsRenamed({"band": "other", "c": "cb"})
+    near = stash(_met(left.join(signs, "h"), threshold).distinct().join(pairs, ["a", "b"], "left_anti"), "near-pairs")
+    return _joined(comps, _linked(near, texts, threshold))
+
+
+def _met(left: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, n): the pairs of lists (band, h, c, before, and signs) across components that sizes and bitmaps allow. Lines that share several
+    inverted lists meet in the first of them, at least: in a later one the shingles before it show that they have met."""
+    other = _partner(left).withColumnsRenamed({"band": "other", "c": "cb", "before": "past"})
+    new = ~F.arrays_overlap("before", "past")
     # all in the join's condition, so that no other pair ever is a row
-    fresh = left.join(other, (F.col("band") == F.col("other")) & (F.col("h") < F.col("b")) & (F.col("c") != F.col("cb")) & _may(threshold))
-    fresh = stash(fresh.select(F.col("h").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"), "line-pairs")
-    return _joined(comps, _linked(fresh, texts, signs, threshold))
+    both = left.join(other, (F.col("band") == F.col("other")) & (F.col("h") < F.col("b")) & (F.col("c") != F.col("cb")) & _may(threshold) & new)
+    return both.select(F.col("h").alias("a"), "b", (F.col("size") + F.col("m")).alias("n"))
 
 
 def _beside(lists: DataFrame, key: str) -> DataFrame:
@@ -157,10 +167,21 @@ def _offered(lists: DataFrame) -> DataFrame:
     return pairs.select(F.col("o").alias("a"), F.col("h").alias("b")).distinct()
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, signs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose sets reach the threshold; bitmaps decide which texts have to meet."""
-    near = pairs.join(signs.withColumnRenamed("h", "a"), "a").join(_partner(signs), "b").where(_may(threshold)).select("a", "b", (F.col("size") + F.col("m")).alias("n"))
-    tasks = parts_for(pairs.count(), MET, most=100_000)
+def _end_words(pairs: DataFrame) -> DataFrame:
+    """``bit_words`` of the lines in pairs."""
+    return bit_words(pairs.select(F.explode(F.array("a", "b")).alias("h")), "h")
+
+
+def _near(pairs: DataFrame, signs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, n): the pairs that sizes and bitmaps allow, with the sum of sizes."""
+    near = pairs.join(signs.withColumnRenamed("h", "a"), "a").join(_partner(signs), "b").where(_may(threshold))
+    return stash(near.select("a", "b", (F.col("size") + F.col("m")).alias("n")), "near-pairs")
+
+
+def _linked(near: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b, n) whose sets reach the threshold; only texts of such pairs are shuffled."""
+    tasks = parts_for(near.count(), MET, most=100_000)
+    texts = marked(texts, F.col("h"), _end_words(near)).where("__hit")
     own = texts.select(F.col("h").alias("a"), F.col("line").alias("x")).repartition(tasks, "a")
     both = near.repartition(tasks, "b").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").join(own, "a")
     shared = F.size(F.array_intersect(shingles(F.col("x")), shingles(F.col("y"))))  # distinct ones; their number is computed once
@@ -185,14 +206,16 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _head_lists(hashes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(band, h): inverted lists of the lines of long bands, by shingle. Rare shingles come first; a line misses at most n - ceil(threshold n) of
-    a similar line's shingles, so both have one of their first n - ceil(threshold n) + 1 in common, and no similar pair is lost."""
+    """(band, h, before): inverted lists of the lines of long bands, by shingle. Rare shingles come first; a line misses at most n - ceil(threshold n) of
+    a similar line's shingles, so both have one of their first n - ceil(threshold n) + 1 in common, and no similar pair is lost. before: the last
+    of the line's own shingles in that order that have a list and stand before this one, BEFORE at most."""
     rows = texts.join(hashes, "h", "left_semi").select("h", F.explode(shingle_set(F.col("line"))).alias("x"))
     rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("x")))
     heads = rows.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("s"))
     n = F.size("s")
-    heads = heads.select("h", F.explode(F.slice("s", F.lit(1), n - F.ceil(threshold * n).cast("int") + 1)).alias("s")).where("s.df > 1")
-    return heads.select(F.col("s.x").alias("band"), "h")
+    heads = heads.select("h", F.filter(F.slice("s", F.lit(1), n - F.ceil(threshold * n).cast("int") + 1), lambda x: x["df"] > 1)["x"].alias("s"))
+    heads = heads.select("h", "s", F.posexplode("s").alias("i", "band"))
+    return heads.select("band", "h", F.slice("s", F.greatest(F.lit(1), F.col("i") - BEFORE + 1), F.least(F.col("i"), F.lit(BEFORE))).alias("before"))
 
 
 def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
