@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.llm import lines
-from tessera.llm.common import FRAME, map_texts
+from tessera.llm.common import BATCH_KEY, FRAME, map_texts
 
 
 def test_frames_are_small_and_ids_exact(spark):
@@ -24,6 +25,20 @@ def test_frames_are_small_and_ids_exact(spark):
     assert max(r.n for r in found) <= FRAME
 
 
+def test_batches_of_texts_are_small(spark):
+    docs = spark.range(4000, numPartitions=1).select(F.repeat(F.lit("some words "), 400).alias("text"))
+    before = spark.conf.get(BATCH_KEY)
+    spark.conf.unset(BATCH_KEY)
+    map_texts(docs, lambda batches: batches, "text string")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    assert docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 8 << 20
+    spark.conf.set(BATCH_KEY, before)
+
+
 def test_pairs_come_from_few_lists(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
